@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -20,6 +20,9 @@ from colsight.functions.numbers import as_number, col
 NAMING_DEVIATION = 0.15
 NAMING_GUARD = 1e-5
 
+#: Training stops once the squared moves of all centres sum to no more than this.
+TOLERANCE = 1e-4
+
 #: Rows used for the pairwise silhouette.
 SILHOUETTE_ROWS = 2000
 
@@ -90,8 +93,8 @@ def segments(
 ) -> Segments | None:
     """K-means on standardised complete rows, best of several starts; None below two columns or three rows.
 
-    Training data stay cached (memory, then disk) over the starts. Only centres travel, so copies or one big segment do
-    not skew the work. Clusters are numbered by their centres in ascending order. ``fit_rows`` trains on a sample of
+    Training data stay cached (memory, then disk) over the starts, spread over all slots if the source has fewer
+    splits. Only centres travel, so copies or one big segment do not skew the work. Clusters are numbered by their centres in ascending order. ``fit_rows`` trains on a sample of
     about that many rows; all rows are assigned either way.
     """
     if len(names) < 2:
@@ -104,10 +107,14 @@ def segments(
     training = featured.select("features")
     if fit_rows is not None and fit_rows < scaling.n_rows:
         training = training.sample(fraction=fit_rows / scaling.n_rows, seed=seed)
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if training.rdd.getNumPartitions() < slots:
+        training = training.repartition(slots)
     training = training.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         models = [
-            KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4).fit(training) for i in range(restarts)
+            KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=math.sqrt(TOLERANCE / k)).fit(training)
+            for i in range(restarts)
         ]
         best = min(models, key=lambda m: m.summary.trainingCost)
         inertia = best.summary.trainingCost

@@ -107,5 +107,6 @@ def grouped_quantiles(
     ranked = _ranked(bucketed, groups, probs).groupBy(*groups).agg(
         F.array_sort(F.collect_list(F.struct("p", "q"))).alias("pairs")
     )
-    picked = F.array(*(F.filter("pairs", lambda x, p=p: x["p"] == F.lit(float(p)))[0]["q"] for p in probs))
+    by_prob = F.map_from_entries("pairs")
+    picked = F.array(*(F.try_element_at(by_prob, F.lit(float(p))) for p in probs))
     return ranked.select(*(F.col(g).alias(k) for g, k in zip(groups, keys)), picked.alias("quantiles"))
