@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -89,13 +90,14 @@ class Segments:
 
 def segments(
     df: DataFrame, names: list[str], k: int = 4, *, seed: int = 42, restarts: int = 10, max_iter: int = 100,
-    fit_rows: int | None = None,
+    fit_rows: int | None = None, parallelism: int = 5,
 ) -> Segments | None:
     """K-means on standardised complete rows, best of several starts; None below two columns or three rows.
 
     Training data stay cached (memory, then disk) over the starts, spread over all slots if the source has fewer
-    splits. Only centres travel, so copies or one big segment do not skew the work. Clusters are numbered by their centres in ascending order. ``fit_rows`` trains on a sample of
-    about that many rows; all rows are assigned either way.
+    splits. Only centres travel, so copies or one big segment do not skew the work. Clusters are numbered by their centres in ascending order. ``parallelism`` starts run at a
+    time, since a pass over little data leaves slots idle. ``fit_rows`` trains on a sample of about that many rows; all
+    rows are assigned either way.
     """
     if len(names) < 2:
         return None
@@ -112,10 +114,13 @@ def segments(
         training = training.repartition(slots)
     training = training.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        models = [
-            KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=math.sqrt(TOLERANCE / k)).fit(training)
-            for i in range(restarts)
-        ]
+        training.count()
+
+        def fit(start: int):
+            return KMeans(k=k, seed=seed + start, maxIter=max_iter, tol=math.sqrt(TOLERANCE / k)).fit(training)
+
+        with ThreadPool(max(1, min(restarts, parallelism))) as pool:
+            models = pool.map(inheritable_thread_target(df.sparkSession)(fit), range(restarts))
         best = min(models, key=lambda m: m.summary.trainingCost)
         inertia = best.summary.trainingCost
     finally:

@@ -26,7 +26,7 @@ def _split_points(df: DataFrame, names: list[str]) -> dict[str, list[float]]:
 def _bucketed(df: DataFrame, names: list[str], splits: dict[str, list[float]]) -> DataFrame:
     """Adds ``_b_<name>``: the value's bucket; nulls stay out."""
     for name in names:
-        edges = [-float("inf"), *splits[name], float("inf")]
+        edges = [-float("inf"), *(splits[name] or [0.0]), float("inf")]
         df = Bucketizer(splits=edges, inputCol=name, outputCol=f"_b_{name}", handleInvalid="keep").transform(df)
     return df
 
