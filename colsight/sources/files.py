@@ -15,24 +15,15 @@ from colsight.functions.numbers import col, string_value
 #: Column that names the file a merged row came from.
 SOURCE_COLUMN = "_source_file"
 
-_REPLACEMENT = "�"
-
 
 def csv_encoding(spark: SparkSession, path: str) -> str:
     """``UTF-8``, or ``ISO-8859-1`` where the bytes are not UTF-8.
 
-    Lines are read as text, in splits and on all executors; invalid bytes show up as the replacement character. A file
-    that holds that character itself is still UTF-8, so its lines are compared as bytes with what UTF-8 would encode.
+    The lines of a text scan keep their bytes, so each is tested as it is, in splits on all executors, and the scan
+    stops at the first line that fails.
     """
-    lines = spark.read.text(path).where(F.col("value").contains(_REPLACEMENT))
-    if lines.limit(1).count() == 0:
-        return "UTF-8"
-    whole = spark.read.format("binaryFile").load(path).select(F.is_valid_utf8(F.col("content")).alias("ok"))
-    size = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
-    # Small files can be tested as a whole, which is exact; in large ones a replacement character means invalid bytes.
-    if size <= 64 * 1024 * 1024 and whole.agg(F.every("ok")).first()[0]:
-        return "UTF-8"
-    return "ISO-8859-1"
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value"))
+    return "UTF-8" if broken.limit(1).count() == 0 else "ISO-8859-1"
 
 
 def read_csv(
