@@ -12,7 +12,7 @@ from colsight.functions.dates import DATE_FORMATS, parse_timestamp
 from colsight.functions.numbers import as_number, col, is_integral, is_number, nan_to_null
 from colsight.functions.text import keeps_case, null_tokens_to_null, title_case
 from colsight.operators.profile import Roles, categorical_stats, clamp_score, null_counts, raw_score
-from colsight.operators.quantiles import IN_TASK_ROWS, exact_quantiles
+from colsight.operators.quantiles import SMALL_ROWS, exact_quantiles
 from colsight.session import materialize
 
 POLICIES = ("median_mode", "mean", "drop")
@@ -58,7 +58,7 @@ def fill_values(
     policy: str = "median_mode",
     *,
     only: list[str] | None = None,
-    in_task_rows: int = IN_TASK_ROWS,
+    in_task_rows: int = SMALL_ROWS,
 ) -> dict[str, object]:
     """One fill value per numeric and categorical column: median or mean, and mode; at most one per column.
 
@@ -103,6 +103,7 @@ class Cleaned:
 
     data: DataFrame
     base: DataFrame
+    tidy: DataFrame
     roles: Roles
     fills: dict[str, object]
     report: DataFrame
@@ -114,6 +115,22 @@ def _with_dates_parsed(df: DataFrame, roles: Roles, formats) -> DataFrame:
     return coerce_dates(df, roles.date, formats)
 
 
+def _stored(distinct: DataFrame, with_tidy: bool) -> tuple[DataFrame, DataFrame]:
+    """Writes the distinct rows, with a tidy copy of each string column beside it; returns raw and tidy views.
+
+    String hygiene is the costliest work per row; this way it runs once, and passes over one view do not read the
+    columns of the other.
+    """
+    names = distinct.columns
+    strings = [c for c in names if _is_string(distinct, c)] if with_tidy else []
+    extra = {c: f"{c}\x1ftidy" for c in strings}
+    stored = materialize(distinct.select("*", *(hygienic(c).alias(extra[c]) for c in strings)), "dedup")
+    return (
+        stored.select(*(col(c) for c in names)),
+        stored.select(*(col(extra[c]).alias(c) if c in extra else col(c) for c in names)),
+    )
+
+
 def clean(
     df: DataFrame,
     roles: Roles,
@@ -121,7 +138,7 @@ def clean(
     policy: str = "median_mode",
     order: str = "hygiene_first",
     formats=DATE_FORMATS,
-    in_task_rows: int = IN_TASK_ROWS,
+    in_task_rows: int = SMALL_ROWS,
 ) -> Cleaned:
     """Drop copies, tidy strings, fill missing cells, parse dates.
 
@@ -129,14 +146,14 @@ def clean(
     taken on tidy text; ``"impute_first"`` fills first, as older tools do. ``policy`` is ``median_mode``, ``mean`` or
     ``drop`` (rows with any null go, after hygiene and date parsing).
 
-    The deduplicated table is written once to the shared folder: fill values, result, report and diff all read that,
-    instead of shuffling all rows again for each.
+    The deduplicated table is written once to the shared folder, tidy strings included: fill values, result, report
+    and diff all read that, instead of shuffling all rows again for each.
     """
     if policy not in POLICIES or order not in ORDERS:
         raise ValueError(f"policy is one of {POLICIES}, order one of {ORDERS}")
     raw = nan_to_null(df)
-    base = materialize(raw.dropDuplicates(), "dedup")
-    early = string_hygiene(base) if order == "hygiene_first" else base
+    base, tidy = _stored(raw.dropDuplicates(), order == "hygiene_first")
+    early = tidy if order == "hygiene_first" else base
 
     before = null_counts(early)
     gaps = {r["column"]: r["nulls"] for r in before.collect()}
@@ -153,7 +170,7 @@ def clean(
         "position", "column", F.when(F.col("column").isin(*fills), F.col("nulls")).otherwise(0).alias("imputed")
     ) if fills else before.select("position", "column", F.lit(0).cast("long").alias("imputed"))
     report = _report(raw, base, data, roles, {c: gaps[c] for c in fills}, policy)
-    return Cleaned(data, base, roles, fills, report, _steps(report), imputed)
+    return Cleaned(data, base, tidy, roles, fills, report, _steps(report), imputed)
 
 
 def _report(

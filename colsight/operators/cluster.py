@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colsight.functions.numbers import as_number, col
+from colsight.session import spread
 
 # Deviation from the overall mean that names a segment, and the guard in its denominator.
 NAMING_DEVIATION = 0.15
@@ -94,8 +95,7 @@ def segments(
 ) -> Segments | None:
     """K-means on standardised complete rows, best of several starts; None below two columns or three rows.
 
-    Training data stay cached (memory, then disk) over the starts, spread over all slots if the source has fewer
-    splits. Only centres travel, so copies or one big segment do not skew the work. Clusters are numbered by their centres in ascending order. ``parallelism`` starts run at a
+    Training data stay cached (memory, then disk) over the starts, spread over all slots if there are few of them. Only centres travel, so copies or one big segment do not skew the work. Clusters are numbered by their centres in ascending order. ``parallelism`` starts run at a
     time, since a pass over little data leaves slots idle. ``fit_rows`` trains on a sample of about that many rows; all
     rows are assigned either way.
     """
@@ -109,10 +109,7 @@ def segments(
     training = featured.select("features")
     if fit_rows is not None and fit_rows < scaling.n_rows:
         training = training.sample(fraction=fit_rows / scaling.n_rows, seed=seed)
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if training.rdd.getNumPartitions() < slots:
-        training = training.repartition(slots)
-    training = training.persist(StorageLevel.MEMORY_AND_DISK)
+    training = spread(training).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         training.count()
 

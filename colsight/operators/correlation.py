@@ -9,31 +9,75 @@ from pyspark.sql import functions as F
 
 from colsight.functions.numbers import as_number
 
+#: Share of a sum of squares that rounding may leave behind.
+NOISE = 1e-12
 
-def correlation_pairs(df: DataFrame, names: list[str]) -> DataFrame:
-    """``i, j, row, col, r`` for each pair of columns, rows with a gap in either one left out of that pair.
 
-    One aggregate over all pairs, one row per task in the shuffle; a constant column gives null.
+def _sums(df: DataFrame, names: list[str]) -> tuple[DataFrame, set[int]]:
+    """One row of sums for :func:`correlation_pairs` and the positions of columns with gaps.
+
+    A first scan finds means and gaps; the second sums products of values less their means, which keeps large numbers
+    exact and, unlike a covariance aggregate per pair, compiles to plain additions. Per-pair sums of single columns are
+    only needed where a column has gaps.
     """
     values = df.select(*(as_number(df, n).alias(f"v{i}") for i, n in enumerate(names)))
-    aggregates = []
-    for i, j in combinations(range(len(names)), 2):
+    row = values.agg(
+        F.count(F.lit(1)), *(F.count(v) for v in values.columns), *(F.avg(v) for v in values.columns)
+    ).first()
+    p = len(names)
+    gaps = {i for i in range(p) if row[1 + i] < row[0]}
+    centred = values.select(
+        *((F.col(f"v{i}") - F.lit(row[1 + p + i] or 0.0)).alias(f"v{i}") for i in range(p))
+    )
+    sums = [F.count(F.lit(1)).cast("double").alias("n")]
+    for i in range(p):
+        x = F.col(f"v{i}")
+        sums += [F.sum(x).alias(f"s_{i}"), F.sum(x * x).alias(f"q_{i}")]
+    for i, j in combinations(range(p), 2):
         x, y = F.col(f"v{i}"), F.col(f"v{j}")
-        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-        aggregates.append(F.try_divide(F.covar_pop(x, y), spread).alias(f"r_{i}_{j}"))
+        sums.append(F.sum(x * y).alias(f"p_{i}_{j}"))
+        if i in gaps or j in gaps:
+            both = x.isNotNull() & y.isNotNull()
+            sums.append(F.count_if(both).cast("double").alias(f"n_{i}_{j}"))
+            for key, v in (("x", x), ("y", y)):
+                sums += [
+                    F.sum(F.when(both, v)).alias(f"s{key}_{i}_{j}"), F.sum(F.when(both, v * v)).alias(f"q{key}_{i}_{j}")
+                ]
+    return centred.agg(*sums), gaps
+
+
+def correlation_pairs(df: DataFrame, names: list[str]) -> DataFrame:
+    """``i, j, row, col, r`` for each pair of columns, rows with a gap in either one left out of that pair.
+
+    Two scans of the columns; the shuffle moves one row per task. A constant column gives null.
+    """
     schema = "i int, j int, row string, col string, r double"
-    if not aggregates:
+    pairs = list(combinations(range(len(names)), 2))
+    if not pairs:
         return df.sparkSession.createDataFrame([], schema)
+    sums, gaps = _sums(df, names)
+
+    def pearson(i: int, j: int):
+        if i in gaps or j in gaps:
+            n, sx, qx, sy, qy = (F.col(f"{k}_{i}_{j}") for k in ("n", "sx", "qx", "sy", "qy"))
+        else:
+            n, sx, qx, sy, qy = (F.col(k) for k in ("n", f"s_{i}", f"q_{i}", f"s_{j}", f"q_{j}"))
+        sxy = F.col(f"p_{i}_{j}") - F.try_divide(sx * sy, n)
+        sxx, syy = qx - F.try_divide(sx * sx, n), qy - F.try_divide(sy * sy, n)
+        # What rounding leaves of a constant column's deviations is no variance.
+        varied = (sxx > qx * NOISE) & (syy > qy * NOISE)
+        return F.when(varied, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(sxy, F.sqrt(sxx * syy)))))
+
     cells = F.array(
         *(
             F.struct(
                 F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(names[i]).alias("row"), F.lit(names[j]).alias("col"),
-                F.col(f"r_{i}_{j}").alias("r"),
+                pearson(i, j).alias("r"),
             )
-            for i, j in combinations(range(len(names)), 2)
+            for i, j in pairs
         )
     )
-    return values.agg(*aggregates).select(F.inline(cells))
+    return sums.select(F.inline(cells))
 
 
 def correlation_matrix(df: DataFrame, names: list[str]) -> DataFrame:

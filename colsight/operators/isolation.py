@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colsight.functions.numbers import as_number, col
-from colsight.operators.quantiles import IN_TASK_ROWS, exact_quantiles
-from colsight.session import materialize
+from colsight.operators.quantiles import SMALL_ROWS, exact_quantiles
+from colsight.session import materialize, spread
 
 TREES = 100
 TREE_ROWS = 256
@@ -78,7 +78,7 @@ def _tree_samples(numbers: DataFrame, n_rows: int, trees: int, tree_rows: int, s
 
 def fit_forest(
     df: DataFrame, names: list[str], *, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 42,
-    in_task_rows: int = IN_TASK_ROWS,
+    in_task_rows: int = SMALL_ROWS,
 ) -> Forest | None:
     """Trees on random rows, gaps filled with the column's median; None without columns or below five rows.
 
@@ -112,44 +112,56 @@ def fit_forest(
     return Forest(list(names), fills, nodes.sort_values(["tree", "node"], ignore_index=True), size)
 
 
-def score_rows(df: DataFrame, forest: Forest, name: str = "isolation") -> DataFrame:
-    """Adds the score ``-2^(-E[depth]/c)`` in [-1, 0); the lower, the easier a row is to isolate."""
+def _walk_table(forest: Forest) -> dict:
+    """All trees in flat arrays: node ``i`` continues at ``after[2i]`` (left) or ``after[2i + 1]``; leaves stay put.
+
+    ``path`` is the depth of a leaf plus the expected depth below it, read once when a row has arrived.
+    """
     nodes = forest.nodes
-    offset = nodes.groupby("tree")["node"].transform("size").groupby(nodes["tree"]).first().cumsum().shift(fill_value=0)
-    base = nodes["tree"].map(offset).to_numpy()
-    feature = nodes["feature"].to_numpy()
-    leaf = feature < 0
-    index = np.arange(len(nodes))
-    table = {
-        "root": offset.to_numpy(),
-        "feature": np.where(leaf, 0, feature),
+    starts = np.flatnonzero(nodes["node"].to_numpy() == 0)
+    base = np.repeat(starts, np.diff([*starts, len(nodes)]))
+    leaf = nodes["feature"].to_numpy() < 0
+    here = np.arange(len(nodes))
+    left = np.where(leaf, here, base + nodes["left"].to_numpy())
+    right = np.where(leaf, here, base + nodes["right"].to_numpy())
+    depth = np.zeros(len(nodes))
+    levels = math.ceil(math.log2(max(forest.tree_rows, 2)))
+    reached = starts
+    for level in range(1, levels + 1):
+        inner = reached[~leaf[reached]]
+        reached = np.concatenate([left[inner], right[inner]])
+        depth[reached] = level
+    return {
+        "roots": starts,
+        "feature": np.where(leaf, 0, nodes["feature"].to_numpy()),
         "split": np.where(leaf, np.inf, nodes["split"].to_numpy()),
-        "left": np.where(leaf, index, base + nodes["left"].to_numpy()),
-        "right": np.where(leaf, index, base + nodes["right"].to_numpy()),
-        "leaf": leaf,
-        "extra": mean_path(nodes["size"].to_numpy()),
-        "scale": float(mean_path(forest.tree_rows)),
-        "depth": math.ceil(math.log2(max(forest.tree_rows, 2))),
+        "after": np.column_stack([left, right]).ravel(),
+        "path": depth + mean_path(nodes["size"].to_numpy()),
+        "levels": levels,
+        "scale": len(starts) * float(mean_path(forest.tree_rows)),
     }
-    shared = df.sparkSession.sparkContext.broadcast(table)
+
+
+def score_rows(df: DataFrame, forest: Forest, name: str = "isolation") -> DataFrame:
+    """Adds the score ``-2^(-E[depth]/c)`` in [-1, 0); the lower, the easier a row is to isolate.
+
+    The forest is at most 511 nodes per tree and goes to each executor once; rows pass through in Arrow batches.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(_walk_table(forest))
 
     @F.pandas_udf("double")
     def score(*columns: pd.Series) -> pd.Series:
         t = shared.value
-        x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-        depth = np.zeros(len(x))
-        row = np.arange(len(x))
-        for root in t["root"]:
-            at = np.full(len(x), root)
-            for _ in range(t["depth"]):
-                inner = ~t["leaf"][at]
-                if not inner.any():
-                    break
-                depth += inner
-                left = x[row, t["feature"][at]] <= t["split"][at]
-                at = np.where(left, t["left"][at], t["right"][at])
-            depth += t["extra"][at]
-        return pd.Series(-np.power(2.0, -depth / (len(t["root"]) * t["scale"])))
+        x = np.column_stack([c.to_numpy(dtype=float) for c in columns]).ravel()
+        row = np.arange(len(columns[0])) * len(columns)
+        total = np.zeros(len(row))
+        for root in t["roots"]:
+            at = np.full(len(row), root)
+            for _ in range(t["levels"]):
+                goes_right = x.take(row + t["feature"].take(at)) > t["split"].take(at)
+                at = t["after"].take(2 * at + goes_right)
+            total += t["path"].take(at)
+        return pd.Series(-np.power(2.0, -total / t["scale"]))
 
     inputs = [F.coalesce(as_number(df, n), F.lit(f)) for n, f in zip(forest.names, forest.fills)]
     return df.withColumn(name, score(*inputs))
@@ -167,7 +179,7 @@ class Outliers:
 
 def find_outliers(
     df: DataFrame, names: list[str], *, contamination: float = 0.05, trees: int = TREES, seed: int = 42,
-    in_task_rows: int = IN_TASK_ROWS,
+    in_task_rows: int = SMALL_ROWS,
 ) -> Outliers | None:
     """Rows whose isolation score lies below the ``contamination`` quantile of all scores.
 
@@ -177,7 +189,7 @@ def find_outliers(
     forest = fit_forest(df, names, trees=trees, seed=seed, in_task_rows=in_task_rows)
     if forest is None:
         return None
-    scored = materialize(score_rows(df, forest), "isolation")
+    scored = materialize(score_rows(spread(df), forest), "isolation")
     threshold = exact_quantiles(scored, ["isolation"], [contamination], in_task_rows=in_task_rows)["isolation"][0]
     rows = (
         scored.withColumn("anomaly_score", F.col("isolation") - F.lit(threshold))

@@ -22,6 +22,7 @@ from colsight.functions.numbers import (
     unpivot,
 )
 from colsight.functions.text import compact_key
+from colsight.session import spread
 
 ROLES = ("numeric", "categorical", "date", "id_high_cardinality", "text")
 
@@ -164,7 +165,7 @@ def _screened_stats(df: DataFrame, names: list[str], formats) -> DataFrame:
                 else F.first(F.lit(None).cast("double"))
             ).alias(f"date_share_{i}"),
         ]
-    wide = df.agg(*aggregates)
+    wide = spread(df).agg(*aggregates)
     cells = F.array(
         *(
             F.struct(

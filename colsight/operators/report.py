@@ -13,7 +13,7 @@ from colsight.operators.clean import Cleaned
 from colsight.operators.cluster import Segments
 from colsight.operators.isolation import Outliers, outlier_summary
 from colsight.operators.profile import categorical_stats
-from colsight.operators.quantiles import IN_TASK_ROWS, exact_quantiles
+from colsight.operators.quantiles import SMALL_ROWS, exact_quantiles
 
 # How many columns the distribution chunk describes.
 NUMERIC_COLUMNS = 6
@@ -22,7 +22,7 @@ CATEGORY_COLUMNS = 4
 CHUNK_SCHEMA = "chunk_id string, title string, category string, content string, metadata map<string,string>"
 
 
-def numeric_stats(df: DataFrame, names: list[str], *, in_task_rows: int = IN_TASK_ROWS) -> DataFrame:
+def numeric_stats(df: DataFrame, names: list[str], *, in_task_rows: int = SMALL_ROWS) -> DataFrame:
     """Mean, median, minimum, maximum per column, in the order given."""
     values = [as_number(df, n) for n in names]
     medians = exact_quantiles(df, names, [0.5], in_task_rows=in_task_rows)
@@ -84,7 +84,7 @@ def _chunk(content: DataFrame, chunk_id: str, title: str, category: str, **metad
 def knowledge_chunks(
     cleaned: Cleaned, pairs: DataFrame | None = None, segments: Segments | None = None,
     explained: list[float] | None = None, silhouette: float | None = None, outliers: Outliers | None = None,
-    *, in_task_rows: int = IN_TASK_ROWS,
+    *, in_task_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Six rows of text about a table: ingestion, distributions, correlations, segments, outliers, levers.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from colsight.functions.numbers import col
 from colsight.functions.text import tokens
+from colsight.session import spread
 
 #: Vocabulary size of the classic index; None keeps every term.
 MAX_TERMS = 1000
@@ -34,7 +35,8 @@ def english_stop_words() -> list[str]:
 
 def term_counts(docs: DataFrame, key: str, text: str, stop_words: Sequence[str] = ()) -> DataFrame:
     """``doc, term, tf``; a document's equal terms are combined before anything is shuffled."""
-    words = docs.select(col(key).alias("doc"), F.explode(tokens(col(text))).alias("term"))
+    texts = spread(docs.select(col(key).alias("doc"), col(text).alias("text")))
+    words = texts.select("doc", F.explode(tokens(F.col("text"))).alias("term"))
     if stop_words:
         words = words.where(~F.col("term").isin(*stop_words))
     return words.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -12,7 +12,7 @@ from colsight.functions.numbers import as_number, col
 from colsight.operators.charts import histogram, points
 from colsight.operators.nlfilter import Filtered, Rule, best_column, filter_rows
 from colsight.operators.profile import Roles, hygiene_score
-from colsight.operators.quantiles import IN_TASK_ROWS, exact_quantiles
+from colsight.operators.quantiles import SMALL_ROWS, exact_quantiles
 from colsight.operators.retrieval import search
 from colsight.operators.sampling import hashed_sample
 
@@ -77,7 +77,7 @@ def top_ranking(df: DataFrame, category: str, number: str, n: int = TOP_ROWS) ->
     )
 
 
-def column_stats(df: DataFrame, name: str, *, in_task_rows: int = IN_TASK_ROWS) -> DataFrame:
+def column_stats(df: DataFrame, name: str, *, in_task_rows: int = SMALL_ROWS) -> DataFrame:
     """Sum, mean, median, extremes, sample deviation and count of one column."""
     value = as_number(df, name)
     median = exact_quantiles(df, [name], [0.5], in_task_rows=in_task_rows)[name][0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
@@ -44,7 +44,7 @@ def diagnose(
     roles = detect_roles(df, formats=formats)
     cleaned = clean(df, roles, policy=policy, order=order, formats=formats)
     data = materialize(cleaned.data, "clean")
-    stored = Cleaned(data, cleaned.base, roles, cleaned.fills, cleaned.report, cleaned.steps, cleaned.imputed)
+    stored = replace(cleaned, data=data)
     names = roles.numeric
     pairs = top_pairs(data, names) if len(names) >= 2 else None
     found = segments(data, names, k, seed=seed, restarts=restarts) if len(names) >= 2 else None

@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Largest estimated size of a table side this library broadcasts by hint.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+#: A split of this size keeps a slot busy; inputs with fewer of them than slots are spread by :func:`spread`.
+SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def build_session(app_name: str = "colsight", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,3 +52,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Evens out a small input before costly work per row.
+
+    A table of less than one full split per slot often sits in a few row groups, which would leave most slots idle.
+    Larger inputs have splits enough and are returned as they are, without a shuffle. The size is the planner's
+    estimate, so nothing runs to find it.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(slots) if size < slots * SPLIT_BYTES else df
