@@ -23,7 +23,8 @@ DATE_FORMATS: tuple[tuple[str, str | None], ...] = (
 #: The one ISO shape, for callers who want a single strict format.
 ISO_ONLY = DATE_FORMATS[:1]
 
-_LONGEST_DATE_TEXT = 40
+#: Lengths a date text can have; anything else is not even compared with the shapes.
+_SHORTEST_DATE_TEXT, _LONGEST_DATE_TEXT = 8, 40
 
 
 def parse_timestamp(text: Column, formats=DATE_FORMATS) -> Column:
@@ -35,7 +36,7 @@ def parse_timestamp(text: Column, formats=DATE_FORMATS) -> Column:
         return F.when(text.rlike(shape), parsed)
 
     first = F.coalesce(*(attempt(shape, pattern) for shape, pattern in formats))
-    return F.when(F.length(text) <= _LONGEST_DATE_TEXT, first)
+    return F.when(F.length(text).between(_SHORTEST_DATE_TEXT, _LONGEST_DATE_TEXT), first)
 
 
 def has_date_separator(text: Column) -> Column:

@@ -111,10 +111,6 @@ class Cleaned:
     imputed: DataFrame
 
 
-def _with_dates_parsed(df: DataFrame, roles: Roles, formats) -> DataFrame:
-    return coerce_dates(df, roles.date, formats)
-
-
 def _stored(distinct: DataFrame, with_tidy: bool) -> tuple[DataFrame, DataFrame]:
     """Writes the distinct rows, with a tidy copy of each string column beside it; returns raw and tidy views.
 
@@ -162,7 +158,7 @@ def clean(
 
     filled = impute(early, fills)
     late = filled if order == "hygiene_first" else string_hygiene(filled)
-    data = _with_dates_parsed(late, roles, formats)
+    data = coerce_dates(late, roles.date, formats)
     if policy == "drop":
         data = data.na.drop("any")
 

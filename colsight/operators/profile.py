@@ -22,7 +22,6 @@ from colsight.functions.numbers import (
     unpivot,
 )
 from colsight.functions.text import compact_key
-from colsight.session import spread
 
 ROLES = ("numeric", "categorical", "date", "id_high_cardinality", "text")
 
@@ -44,7 +43,7 @@ TEXT_LENGTH = 40
 
 #: Sketch size of the distinct-count screen, its relative standard deviation, and how many of those a threshold must
 #: be away.
-_SCREEN_LOG_SIZE = 14
+_SCREEN_LOG_SIZE = 12
 _SCREEN_RSD = 1.04 / 2 ** (_SCREEN_LOG_SIZE / 2)
 _SCREEN_MARGIN = 6
 
@@ -101,14 +100,17 @@ def _date_like(df: DataFrame, name: str, formats) -> Column:
     return reads if _date_named(name) else has_date_separator(col(name)) & reads
 
 
-def _column_facts(df: DataFrame) -> DataFrame:
-    """What the schema alone says, one row per column (bounded by the width of the table)."""
-    rows = [
-        (i, f.name, f.dataType.simpleString(), _kind(f.dataType), _date_named(f.name), _key_named(f.name))
-        for i, f in enumerate(df.schema)
+def _facts(df: DataFrame, name: str) -> list[Column]:
+    """What the schema alone says about a column, as literals."""
+    data_type = df.schema[name].dataType
+    return [
+        F.lit(df.columns.index(name)).alias("position"),
+        F.lit(name).alias("column"),
+        F.lit(data_type.simpleString()).alias("dtype"),
+        F.lit(_kind(data_type)).alias("kind"),
+        F.lit(_date_named(name)).alias("date_named"),
+        F.lit(_key_named(name)).alias("key_named"),
     ]
-    schema = "position int, column string, dtype string, kind string, date_named boolean, key_named boolean"
-    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def _exact_stats(df: DataFrame, names: list[str], formats) -> DataFrame:
@@ -141,9 +143,9 @@ def _exact_stats(df: DataFrame, names: list[str], formats) -> DataFrame:
         )
         branches.append(
             counted.agg(
-                F.lit(name).alias("column"), F.sum("n").alias("n_rows"), non_null.alias("non_null"),
-                F.count("cell").alias("n_unique"), string_only[0].alias("avg_len"), string_only[1].alias("date_share"),
-            )
+                F.sum("n").alias("n_rows"), non_null.alias("non_null"), F.count("cell").alias("n_unique"),
+                string_only[0].alias("avg_len"), string_only[1].alias("date_share"),
+            ).select(*_facts(df, name), "*")
         )
     return reduce(DataFrame.unionAll, branches)
 
@@ -165,11 +167,11 @@ def _screened_stats(df: DataFrame, names: list[str], formats) -> DataFrame:
                 else F.first(F.lit(None).cast("double"))
             ).alias(f"date_share_{i}"),
         ]
-    wide = spread(df).agg(*aggregates)
+    wide = df.agg(*aggregates)
     cells = F.array(
         *(
             F.struct(
-                F.lit(name).alias("column"),
+                *_facts(df, name),
                 F.col("n_rows"),
                 F.col(f"non_null_{i}").alias("non_null"),
                 F.col(f"n_unique_{i}").alias("n_unique"),
@@ -231,7 +233,6 @@ def profile(
     stats = {"exact": _exact_stats, "screened": _screened_stats}[distinct](df, df.columns, formats)
     return (
         stats.where(F.col("n_rows") > 0)
-        .join(F.broadcast(_column_facts(df)), "column")
         .withColumn("nulls", F.col("n_rows") - F.col("non_null"))
         .withColumn("unique_ratio", F.try_divide(F.col("n_unique"), F.col("n_rows")))
         .withColumn("role", _role(bool_as_numeric, strict_order))
@@ -243,12 +244,17 @@ def profile(
 
 
 def _undecided(row) -> bool:
-    """Whether a distinct estimate is too close to a threshold to decide a role."""
+    """Whether a distinct estimate is too close to a threshold of a rule that concerns the column."""
+    edges = []
+    if row.key_named:
+        edges += [KEY_DISTINCT + 0.5, KEY_RATIO * row.n_rows]
+    if row.kind != "fractional":
+        edges.append(UNIQUE_RATIO * row.n_rows)
+    if row.kind == "integral":
+        edges.append(CODED_INT_DISTINCT + 0.5)
+    if row.kind in ("string", "boolean"):
+        edges += [CATEGORY_DISTINCT + 0.5, CATEGORY_RATIO * row.n_rows]
     slack = max(2.0, _SCREEN_MARGIN * _SCREEN_RSD * row.n_unique)
-    edges = (
-        CODED_INT_DISTINCT + 0.5, KEY_DISTINCT + 0.5, CATEGORY_DISTINCT + 0.5,
-        KEY_RATIO * row.n_rows, CATEGORY_RATIO * row.n_rows, UNIQUE_RATIO * row.n_rows,
-    )
     return row.role != "date" and any(abs(row.n_unique - edge) <= slack for edge in edges)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -69,13 +70,61 @@ def _ranked(cells: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
     return found.select(*keys, "p", ((1 - F.col("fraction")) * F.col("a") + F.col("fraction") * F.col("b")).alias("q"))
 
 
-def _brackets(numbers: DataFrame, probs: list[float]) -> dict[str, list[float]]:
-    """Ascending bounds around the quantiles of each column, from sketches of known rank error."""
+def _brackets(numbers: DataFrame, probs: list[float]) -> dict[str, list[tuple[float, float]]]:
+    """Bounds around each quantile of each column, from sketches of known rank error; none for a column of nulls."""
     slack = 4.0 / _ACCURACY
-    ends = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)})
+    ends = [min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)]
     row = numbers.agg(*(F.percentile_approx(v, ends, _ACCURACY).alias(v) for v in numbers.columns)).first()
-    at = {p: [ends.index(min(1.0, max(0.0, p + d))) for d in (-slack, slack)] for p in probs}
-    return {v: [(row[v][at[p][0]], row[v][at[p][1]]) for p in probs] if row[v] else [] for v in numbers.columns}
+    return {v: list(zip(row[v][::2], row[v][1::2])) if row[v] else [] for v in numbers.columns}
+
+
+def _narrowed(numbers: DataFrame, probs: list[float]) -> dict[str, list[float | None]]:
+    """Quantiles by three scans: bracket, count around the brackets, pick inside them."""
+    brackets = _brackets(numbers, probs)
+    wanted = [(v, k, *bounds) for v in numbers.columns for k, bounds in enumerate(brackets[v])]
+    if not wanted:
+        return {v: [None] * len(probs) for v in numbers.columns}
+    counts = numbers.agg(
+        *(F.count(v).alias(v) for v in numbers.columns),
+        *(F.count_if(F.col(v) < low).alias(f"below_{v}_{k}") for v, k, low, _ in wanted),
+        *(F.count_if(F.col(v).between(low, high)).alias(f"inside_{v}_{k}") for v, k, low, high in wanted),
+    ).first()
+    picks, found = [], {}
+    for v, k, low, high in wanted:
+        rank = probs[k] * (counts[v] - 1)
+        first, last = math.floor(rank) - counts[f"below_{v}_{k}"], math.ceil(rank) - counts[f"below_{v}_{k}"]
+        inside = counts[f"inside_{v}_{k}"]
+        if not 0 <= first <= last < inside or (low < high and inside > IN_TASK_ROWS):
+            continue
+        if low == high:
+            found[v, k] = low
+            continue
+        ordered = F.sort_array(F.collect_list(F.when(F.col(v).between(low, high), F.col(v))))
+        share = rank - math.floor(rank)
+        picks.append(((1 - share) * ordered[first] + share * ordered[last]).alias(f"{v}_{k}"))
+    if picks:
+        row = numbers.agg(*picks).first().asDict()
+        found.update({(v, k): row[f"{v}_{k}"] for v, k, *_ in wanted if f"{v}_{k}" in row})
+    rest = sorted({v for v, k, *_ in wanted if (v, k) not in found})
+    result = {v: [found.get((v, k)) for k in range(len(probs))] for v in numbers.columns}
+    # A bracket holding very many rows, as one around a hot value does, is ranked value by value instead.
+    result.update(_spread_out(numbers.select(*rest), probs) if rest else {})
+    return result
+
+
+def _spread_out(numbers: DataFrame, probs: list[float]) -> dict[str, list[float | None]]:
+    """Quantiles of several columns by counting equal values bucket by bucket; holds for any number of rows."""
+    values = numbers.columns
+    cells = F.array(
+        *(
+            F.struct(F.lit(v).alias("column"), F.col(f"_b_{v}").alias("bucket"), F.col(v).alias("value"))
+            for v in values
+        )
+    )
+    bucketed = _bucketed(numbers, values, _split_points(numbers, values))
+    long = bucketed.select(F.inline(cells)).where(F.col("value").isNotNull())
+    found = {(r["column"], r["p"]): r["q"] for r in _ranked(long, ["column"], probs).collect()}
+    return {v: [found.get((v, float(p))) for p in probs] for v in values}
 
 
 def exact_quantiles(
@@ -83,9 +132,8 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Interpolated quantiles of numeric columns as plain numbers, nulls ignored; an all-null column gives None.
 
-    Beyond ``in_task_rows`` rows a sketch brackets each quantile within a few ten-thousandths of the rows. A second
-    scan counts what lies outside and keeps the values inside, of which only the ones holding the rank are put in
-    order.
+    Beyond ``in_task_rows`` rows a sketch brackets each quantile within about a thousandth of the rows; a second scan
+    counts what lies below and inside, and a third puts the values inside in order, at most two million of them.
     """
     if not names:
         return {}
@@ -93,27 +141,12 @@ def exact_quantiles(
     values = numbers.columns
     if n_rows is None:
         n_rows = numbers.count()
-    if n_rows <= in_task_rows:
+    if n_rows > in_task_rows:
+        found = _narrowed(numbers, probs)
+    else:
         row = numbers.agg(*(F.percentile(F.col(v), probs).alias(v) for v in values)).first()
-        return {n: list(row[v]) if row[v] is not None else [None] * len(probs) for n, v in zip(names, values)}
-    cells = []
-    for v, brackets in _brackets(numbers, probs).items():
-        value = F.col(v)
-        edges = sorted({edge for bracket in brackets for edge in bracket})
-        bucket = F.when(value.isNull(), F.lit(None).cast("int"))
-        # Buckets alternate: below an edge, at it, between it and the next.
-        for k, edge in enumerate(edges):
-            bucket = bucket.when(value < edge, 2 * k).when(value == edge, 2 * k + 1)
-        bucket = bucket.otherwise(2 * len(edges))
-        inside = F.lit(False)
-        for low, high in brackets:
-            inside = inside | value.between(low, high)
-        cells.append(
-            F.struct(F.lit(v).alias("column"), bucket.alias("bucket"), F.when(inside, value).alias("value"))
-        )
-    long = numbers.select(F.inline(F.array(*cells))).where(F.col("bucket").isNotNull())
-    found = {(r["column"], r["p"]): r["q"] for r in _ranked(long, ["column"], probs).collect()}
-    return {n: [found.get((v, float(p))) for p in probs] for n, v in zip(names, values)}
+        found = {v: list(row[v]) if row[v] is not None else [None] * len(probs) for v in values}
+    return {n: found[v] for n, v in zip(names, values)}
 
 
 def grouped_quantiles(

@@ -52,3 +52,13 @@ def test_null_keys_form_a_group(spark, limit):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, x double")
     found = {r["g"]: r["quantiles"] for r in grouped_quantiles(df, ["g"], "x", [0.5], in_task_rows=limit).collect()}
     assert found == {None: [2.0], "a": [5.0]}
+
+
+def test_hot_brackets_are_ranked_value_by_value(frame, monkeypatch):
+    from colsight.operators import quantiles
+
+    pdf, df = frame
+    monkeypatch.setattr(quantiles, "IN_TASK_ROWS", 0)
+    found = quantiles.exact_quantiles(df, ["x", "k"], PROBS, in_task_rows=0)
+    for name in ("x", "k"):
+        assert found[name] == pytest.approx(np.quantile(pdf[name], PROBS), abs=1e-12)
