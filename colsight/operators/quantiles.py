@@ -70,44 +70,62 @@ def _ranked(cells: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
     return found.select(*keys, "p", ((1 - F.col("fraction")) * F.col("a") + F.col("fraction") * F.col("b")).alias("q"))
 
 
-def _brackets(numbers: DataFrame, probs: list[float]) -> dict[str, list[tuple[float, float]]]:
-    """Bounds around each quantile of each column, from sketches of known rank error; none for a column of nulls."""
-    slack = 4.0 / _ACCURACY
-    ends = [min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)]
-    row = numbers.agg(*(F.percentile_approx(v, ends, _ACCURACY).alias(v) for v in numbers.columns)).first()
-    return {v: list(zip(row[v][::2], row[v][1::2])) if row[v] else [] for v in numbers.columns}
+def _narrowed(numbers: DataFrame, probs: list[float]) -> dict[str, list[float | None]]:
+    """Quantiles by rounds of two scans, then one that picks.
 
+    A round sketches the values inside the current bounds of each wanted rank and moves the bounds close to it, keeping
+    about a thousandth of the rows; the second scan counts what lies below and inside. Rounds end when so few rows are
+    left that one task can order them.
+    """
+    wanted = [(v, k) for v in numbers.columns for k in range(len(probs))]
+    bounds: dict[tuple, tuple[float, float]] = {}
+    place = {(v, k): probs[k] for v, k in wanted}
+    slack = 4.0 / _ACCURACY
+    done, found, picks, hot = set(), {}, {}, set()
+
+    def inside(key):
+        value = F.col(key[0])
+        return value.between(*bounds[key]) if key in bounds else value.isNotNull()
+
+    while open_keys := [key for key in wanted if key not in done]:
+        ends = {key: [min(1.0, max(0.0, place[key] + d)) for d in (-slack, slack)] for key in open_keys}
+        sketched = numbers.agg(
+            *(F.percentile_approx(F.when(inside(key), F.col(key[0])), ends[key], _ACCURACY) for key in open_keys)
+        ).first()
+        before = dict(bounds)
+        bounds.update({key: tuple(pair) for key, pair in zip(open_keys, sketched) if pair})
+        done |= {key for key in open_keys if key not in bounds}
+        open_keys = [key for key in open_keys if key in bounds]
+        if not open_keys:
+            break
+        counts = numbers.agg(
+            *(x for key in open_keys for x in
+              (F.count(key[0]), F.count_if(F.col(key[0]) < bounds[key][0]), F.count_if(inside(key))))
+        ).first()
+        for at, key in enumerate(open_keys):
+            total, below, n = counts[3 * at : 3 * at + 3]
+            rank, (low, high) = probs[key[1]] * (total - 1), bounds[key]
+            first, last = math.floor(rank) - below, math.ceil(rank) - below
+            if not 0 <= first <= last < n or (before.get(key) == bounds[key] and low < high and n > IN_TASK_ROWS):
+                hot.add(key)
+            elif low == high:
+                found[key] = low
+            elif n <= IN_TASK_ROWS:
+                picks[key] = (first, last, rank - math.floor(rank))
+            else:
+                place[key] = (rank - below) / (n - 1)
+                continue
+            done.add(key)
 
-def _narrowed(numbers: DataFrame, probs: list[float]) -> dict[str, list[float | None]]:
-    """Quantiles by three scans: bracket, count around the brackets, pick inside them."""
-    brackets = _brackets(numbers, probs)
-    wanted = [(v, k, *bounds) for v in numbers.columns for k, bounds in enumerate(brackets[v])]
-    if not wanted:
-        return {v: [None] * len(probs) for v in numbers.columns}
-    counts = numbers.agg(
-        *(F.count(v).alias(v) for v in numbers.columns),
-        *(F.count_if(F.col(v) < low).alias(f"below_{v}_{k}") for v, k, low, _ in wanted),
-        *(F.count_if(F.col(v).between(low, high)).alias(f"inside_{v}_{k}") for v, k, low, high in wanted),
-    ).first()
-    picks, found = [], {}
-    for v, k, low, high in wanted:
-        rank = probs[k] * (counts[v] - 1)
-        first, last = math.floor(rank) - counts[f"below_{v}_{k}"], math.ceil(rank) - counts[f"below_{v}_{k}"]
-        inside = counts[f"inside_{v}_{k}"]
-        if not 0 <= first <= last < inside or (low < high and inside > IN_TASK_ROWS):
-            continue
-        if low == high:
-            found[v, k] = low
-            continue
-        ordered = F.sort_array(F.collect_list(F.when(F.col(v).between(low, high), F.col(v))))
-        share = rank - math.floor(rank)
-        picks.append(((1 - share) * ordered[first] + share * ordered[last]).alias(f"{v}_{k}"))
     if picks:
-        row = numbers.agg(*picks).first().asDict()
-        found.update({(v, k): row[f"{v}_{k}"] for v, k, *_ in wanted if f"{v}_{k}" in row})
-    rest = sorted({v for v, k, *_ in wanted if (v, k) not in found})
+        ordered = {key: F.sort_array(F.collect_list(F.when(inside(key), F.col(key[0])))) for key in picks}
+        row = numbers.agg(
+            *((1 - share) * ordered[key][a] + share * ordered[key][b] for key, (a, b, share) in picks.items())
+        ).first()
+        found.update(dict(zip(picks, row)))
     result = {v: [found.get((v, k)) for k in range(len(probs))] for v in numbers.columns}
-    # A bracket holding very many rows, as one around a hot value does, is ranked value by value instead.
+    # Where bounds stop moving, as around values that many rows share, equal values are counted instead.
+    rest = sorted({v for v, _ in hot})
     result.update(_spread_out(numbers.select(*rest), probs) if rest else {})
     return result
 
@@ -132,8 +150,8 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Interpolated quantiles of numeric columns as plain numbers, nulls ignored; an all-null column gives None.
 
-    Beyond ``in_task_rows`` rows a sketch brackets each quantile within about a thousandth of the rows; a second scan
-    counts what lies below and inside, and a third puts the values inside in order, at most two million of them.
+    Up to ``in_task_rows`` rows the built-in aggregate is used. Beyond, sketches narrow down the values around each
+    quantile a thousandfold per round, until at most two million are left to be put in order.
     """
     if not names:
         return {}

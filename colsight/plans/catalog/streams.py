@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from colsight.operators.profile import Roles
 from colsight.operators.sampling import hashed_sample
-from colsight.plans.catalog.base import query, rounded, table
+from colsight.plans.catalog.base import hygiene_sql, mode_sql, query, rounded, table
 from colsight.streaming.batches import (
     batch_summary,
     clean_batches,
@@ -75,12 +75,23 @@ def stream_dedup(spark, sf_dir):
     return write_stream_table(once.select("event_id", "user_id", "event_type", "value"))
 
 
-@query()
+@query(f"""WITH gapped AS (
+  SELECT * REPLACE (CASE WHEN NOT {GAPS} THEN value END AS value,
+                    CASE WHEN NOT {GAPS} THEN event_type END AS event_type) FROM events),
+tidy AS (
+  SELECT event_id, CAST(ts AS VARCHAR) AS ts, user_id, {hygiene_sql('event_type')} AS event_type, value,
+         {hygiene_sql('props')} AS props FROM gapped)
+SELECT * REPLACE (round(coalesce(value, (SELECT median(value) FROM tidy)), 4) AS value,
+                  coalesce(event_type, {mode_sql('tidy', 'event_type')}) AS event_type) FROM tidy""")
 def stream_clean_batches(spark, sf_dir):
-    return clean_batches(_gapped(spark, sf_dir), ROLES)[0]
+    """The events are one file and so one batch, whose median and mode are those of the table."""
+    done = clean_batches(_gapped(spark, sf_dir), ROLES)[0]
+    return rounded(done.withColumn("ts", F.col("ts").cast("string")))
 
 
-@query()
+@query(f"""SELECT CAST(0 AS INTEGER) AS batch_id, count(*) AS rows_in, count(*) AS distinct_rows,
+CAST(0 AS BIGINT) AS duplicates, 2 * count(*) FILTER (WHERE {GAPS}) AS missing_cells,
+2 * count(*) FILTER (WHERE {GAPS}) AS imputed_cells FROM events""")
 def stream_batch_log(spark, sf_dir):
     return clean_batches(_gapped(spark, sf_dir), ROLES)[1]
 

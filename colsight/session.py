@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,11 @@ def build_session(app_name: str = "colsight", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="colsight-")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder the cluster shares (``spark.checkpoint.dir``).
 
@@ -38,8 +44,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="colsight-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root.rstrip('/')}/colsight/{label}-{uuid.uuid4().hex}"
 
 

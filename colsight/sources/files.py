@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +18,7 @@ from colsight.functions.numbers import col, string_value
 SOURCE_COLUMN = "_source_file"
 
 
-def csv_encoding(spark: SparkSession, path: str) -> str:
+def csv_encoding(spark: SparkSession, path: str | list[str]) -> str:
     """``UTF-8``, or ``ISO-8859-1`` where the bytes are not UTF-8.
 
     The lines of a text scan keep their bytes, so each is tested as it is, in splits on all executors, and the scan
@@ -27,10 +29,10 @@ def csv_encoding(spark: SparkSession, path: str) -> str:
 
 
 def read_csv(
-    spark: SparkSession, path: str, *, schema: T.StructType | str | None = None, encoding: str | None = None,
+    spark: SparkSession, path: str | list[str], *, schema: T.StructType | str | None = None, encoding: str | None = None,
     multiline: bool = False, **options,
 ) -> DataFrame:
-    """A CSV file or folder with a header. Types are inferred unless a schema is given, the encoding likewise.
+    """A CSV file, folder or list of them, each with a header. Types are inferred unless a schema is given, the encoding likewise.
 
     Give both for large inputs: each inference is a pass over the data. Without ``multiline`` files are split.
     """
@@ -65,9 +67,13 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
+def _is_parquet(path: str) -> bool:
+    return path.rstrip("/").lower().endswith(".parquet")
+
+
 def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
     """One table by file ending: Parquet, otherwise CSV."""
-    if path.rstrip("/").lower().endswith(".parquet"):
+    if _is_parquet(path):
         return read_parquet(spark, path)
     return read_csv(spark, path, **options)
 
@@ -109,20 +115,34 @@ def merge_files(
 ) -> tuple[DataFrame, list[str]]:
     """All files as one table by column name plus ``_source_file``; returns it with the paths that were skipped.
 
-    Columns a file lacks are null. Types are aligned before the union, as a union would otherwise pick a type that
-    fails on the first value of the other.
+    Columns a file lacks are null. Files of one format, encoding and schema become a single scan, so the plan grows
+    with the number of different schemas, not of files. Types are aligned before the union, as a union would otherwise
+    pick a type that fails on the first value of the other. ``options`` are those of :func:`read_csv`.
     """
-    tables, skipped = [], []
+    groups: dict[tuple, list[str]] = {}
+    skipped = []
     for path in paths:
         try:
-            table = read_table(spark, path, **options)
-            tables.append(table.select("*", F.col("_metadata.file_name").alias(SOURCE_COLUMN)))
-        except AnalysisException:
+            if _is_parquet(path):
+                kind, encoding, schema = "parquet", None, read_parquet(spark, path).schema
+            else:
+                kind, encoding = "csv", options.get("encoding") or csv_encoding(spark, path)
+                schema = read_csv(spark, path, **{**options, "encoding": encoding}).schema
+            groups.setdefault((kind, encoding, schema.json()), []).append(path)
+        except (PySparkException, Py4JJavaError):
             if not skip_unreadable:
                 raise
             skipped.append(path)
-    if not tables:
+    if not groups:
         raise ValueError("none of the files could be read")
+    tables = []
+    for (kind, encoding, schema), members in groups.items():
+        if kind == "parquet":
+            table = read_parquet(spark, *members)
+        else:
+            known = T.StructType.fromJson(json.loads(schema))
+            table = read_csv(spark, members, **{**options, "encoding": encoding, "schema": known})
+        tables.append(table.select("*", F.col("_metadata.file_name").alias(SOURCE_COLUMN)))
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), _aligned(tables))
     others = [c for c in merged.columns if c != SOURCE_COLUMN]
     return merged.select(*(col(c) for c in others), SOURCE_COLUMN), skipped

@@ -54,11 +54,14 @@ def test_null_keys_form_a_group(spark, limit):
     assert found == {None: [2.0], "a": [5.0]}
 
 
-def test_hot_brackets_are_ranked_value_by_value(frame, monkeypatch):
+@pytest.mark.parametrize("limit", [0, 2, 40])
+def test_rounds_of_narrowing(frame, monkeypatch, limit):
+    """Few rows per task force several rounds, and values shared by many rows the count of equal values."""
     from colsight.operators import quantiles
 
     pdf, df = frame
-    monkeypatch.setattr(quantiles, "IN_TASK_ROWS", 0)
+    monkeypatch.setattr(quantiles, "IN_TASK_ROWS", limit)
+    monkeypatch.setattr(quantiles, "_ACCURACY", 100)
     found = quantiles.exact_quantiles(df, ["x", "k"], PROBS, in_task_rows=0)
     for name in ("x", "k"):
         assert found[name] == pytest.approx(np.quantile(pdf[name], PROBS), abs=1e-12)

@@ -49,6 +49,11 @@ def test_merge_aligns_columns_and_types(spark, tmp_path):
         (1, "10", "x", None, "a.csv"), (2, "20", "y", None, "a.csv"),
         (3, "abc", None, 1.5, "b.csv"), (4, "def", None, 2.5, "b.csv"),
     ]
+    a2 = put(tmp_path / "a2.csv", b"id,v,w\n9,90,z\n")
+    bad = put(tmp_path / "bad.parquet", b"this is no parquet file")
+    more, skipped = merge_files(spark, [a, b, a2, bad])
+    assert skipped == [bad] and more.count() == 5
+    assert {r["_source_file"] for r in more.where("id in (1, 9)").collect()} == {"a.csv", "a2.csv"}
     c = put(tmp_path / "c.csv", b"id,v\n5,2.5\n")
     numbers, _ = merge_files(spark, [a, c])
     assert numbers.schema["v"].dataType.simpleString() == "double"
