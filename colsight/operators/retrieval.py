@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from colsight.functions.numbers import col
 from colsight.functions.text import tokens
-from colsight.session import spread
+from colsight.session import materialize, spread
 
 #: Vocabulary size of the classic index; None keeps every term.
 MAX_TERMS = 1000
@@ -68,45 +69,64 @@ def _with_idf(counts: DataFrame, terms: DataFrame, max_terms: int | None) -> Dat
     )
 
 
-def tfidf_weights(
+@dataclass(frozen=True)
+class TextIndex:
+    """Written term counts of a table of texts and its vocabulary; build once, search often."""
+
+    documents: DataFrame
+    counts: DataFrame
+    terms: DataFrame
+    stop_words: tuple[str, ...]
+    max_terms: int | None
+
+
+def build_index(
     docs: DataFrame, key: str, text: str, *, stop_words: Sequence[str] | None = None,
     max_terms: int | None = MAX_TERMS,
-) -> DataFrame:
-    """``doc, term, tf, weight`` with unit length per document; save it as a table to search it many times."""
-    stop_words = english_stop_words() if stop_words is None else stop_words
-    counts = term_counts(docs, key, text, stop_words)
-    terms = vocabulary(counts, docs.count(), max_terms)
-    raw = _with_idf(counts, terms, max_terms).withColumn("raw", F.col("tf") * F.col("idf"))
+) -> TextIndex:
+    """Tokenises every text once and writes the counts per (document, term) to the shared folder.
+
+    Vocabulary, weights and searches read that table by column; without it each of them would tokenise and shuffle all
+    texts again.
+    """
+    stop_words = tuple(english_stop_words() if stop_words is None else stop_words)
+    counts = materialize(term_counts(docs, key, text, stop_words), "term-counts")
+    terms = materialize(vocabulary(counts, docs.count(), max_terms), "vocabulary")
+    return TextIndex(docs.select(col(key).alias("doc")), counts, terms, stop_words, max_terms)
+
+
+def index_weights(index: TextIndex) -> DataFrame:
+    """``doc, term, tf, weight`` with unit length per document."""
+    raw = _with_idf(index.counts, index.terms, index.max_terms).withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc")))
     return raw.select("doc", "term", "tf", (F.col("raw") / norm).alias("weight"))
 
 
+def tfidf_weights(docs: DataFrame, key: str, text: str, **options) -> DataFrame:
+    """:func:`index_weights` of a new index."""
+    return index_weights(build_index(docs, key, text, **options))
+
+
 def query_terms(query: str, stop_words: Sequence[str]) -> Counter:
     """Terms of a query with their counts, split as documents are."""
     skip = set(stop_words)
     return Counter(w for w in re.findall(r"\w{2,}", query.lower()) if w not in skip)
 
 
-def search(
-    docs: DataFrame, key: str, text: str, query: str, *, k: int | None = 3, stop_words: Sequence[str] | None = None,
-    max_terms: int | None = MAX_TERMS, floor: float = SCORE_FLOOR,
+def search_index(
+    index: TextIndex, query: str, *, k: int | None = 3, floor: float = SCORE_FLOOR
 ) -> DataFrame:
     """``doc, cosine, score``: the ``k`` best documents for a query (all of them with ``k=None``).
 
     Length and product of each document are two sums in one aggregate, so the shuffle carries one row per document and
     task, not the weights. ``score`` is the cosine raised to ``floor``. An empty query gives the first ``k`` rows.
     """
-    stop_words = english_stop_words() if stop_words is None else stop_words
-    everything = docs.select(col(key).alias("doc")).distinct()
+    everything = index.documents.distinct()
     if not query.strip():
-        first = everything.orderBy("doc")
-        first = first if k is None else first.limit(k)
-        return first.select("doc", F.lit(None).cast("double").alias("cosine"), F.lit(EMPTY_QUERY_SCORE).alias("score"))
-    asked = query_terms(query, stop_words)
-    counts = term_counts(docs, key, text, stop_words)
-    terms = vocabulary(counts, docs.count(), max_terms)
+        return _first_documents(everything, k)
+    asked = query_terms(query, index.stop_words)
     known = (
-        {r["term"]: r["idf"] for r in terms.where(F.col("term").isin(*asked)).collect()} if asked else {}
+        {r["term"]: r["idf"] for r in index.terms.where(F.col("term").isin(*asked)).collect()} if asked else {}
     )
     weights = {t: asked[t] * idf for t, idf in known.items()}
     length = math.sqrt(sum(w * w for w in weights.values()))
@@ -116,7 +136,7 @@ def search(
         wanted = F.create_map(*(x for t, w in weights.items() for x in (F.lit(t), F.lit(w / length))))
         raw = F.col("tf") * F.col("idf")
         per_doc = (
-            _with_idf(counts, terms, max_terms)
+            _with_idf(index.counts, index.terms, index.max_terms)
             .groupBy("doc")
             .agg(
                 F.sum(raw * F.coalesce(F.try_element_at(wanted, F.col("term")), F.lit(0.0))).alias("product"),
@@ -129,3 +149,18 @@ def search(
     ranked = scored.orderBy(F.desc("cosine"), "doc")
     ranked = ranked if k is None else ranked.limit(k)
     return ranked.withColumn("score", F.greatest(F.col("cosine"), F.lit(floor)))
+
+
+def _first_documents(documents: DataFrame, k: int | None) -> DataFrame:
+    first = documents.orderBy("doc")
+    first = first if k is None else first.limit(k)
+    return first.select("doc", F.lit(None).cast("double").alias("cosine"), F.lit(EMPTY_QUERY_SCORE).alias("score"))
+
+
+def search(
+    docs: DataFrame, key: str, text: str, query: str, *, k: int | None = 3, floor: float = SCORE_FLOOR, **options
+) -> DataFrame:
+    """:func:`search_index` on a new index, which an empty query does without."""
+    if not query.strip():
+        return _first_documents(docs.select(col(key).alias("doc")).distinct(), k)
+    return search_index(build_index(docs, key, text, **options), query, k=k, floor=floor)
