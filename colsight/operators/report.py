@@ -14,6 +14,7 @@ from colsight.operators.cluster import Segments
 from colsight.operators.isolation import Outliers, outlier_summary
 from colsight.operators.profile import categorical_stats
 from colsight.operators.quantiles import SMALL_ROWS, exact_quantiles
+from colsight.operators.retrieval import TextIndex, build_index
 
 # How many columns the distribution chunk describes.
 NUMERIC_COLUMNS = 6
@@ -194,6 +195,11 @@ def knowledge_chunks(
     return reduce(DataFrame.unionByName, parts)
 
 
+def index_chunks(chunks: DataFrame) -> TextIndex:
+    """An index over title, category and text of chunks, by their id."""
+    return build_index(chunks.withColumn("_all", F.concat_ws(" ", "title", "category", "content")), "chunk_id", "_all")
+
+
 def executive_brief(chunks: DataFrame) -> DataFrame:
     """One row with a narrative and the chunk texts in named columns."""
     def text(chunk_id: str) -> Column:

@@ -13,7 +13,7 @@ from colsight.operators.charts import histogram, points
 from colsight.operators.nlfilter import Filtered, Rule, best_column, filter_rows
 from colsight.operators.profile import Roles, hygiene_score
 from colsight.operators.quantiles import SMALL_ROWS, exact_quantiles
-from colsight.operators.retrieval import search
+from colsight.operators.retrieval import TextIndex, search_index
 from colsight.operators.sampling import hashed_sample
 
 # Words that reveal what a question asks for, in order of precedence.
@@ -146,23 +146,19 @@ def _chart(df: DataFrame, roles: Roles, question: str, category: str | None, num
 
 
 def ask(
-    df: DataFrame, roles: Roles, question: str, *, chunks: DataFrame | None = None,
+    df: DataFrame, roles: Roles, question: str, *, index: TextIndex | None = None,
     order_by: list[str] | None = None,
 ) -> Answer:
     """Route a question to an operator.
 
     Words count only whole (``transactions`` is no ``action``), SQL requests come first, and asking for a distribution
-    gives a histogram even if there are categories. ``order_by`` makes the listed rows of a filter repeatable; without
+    gives a histogram even if there are categories. ``index`` holds the chunks to cite, see
+    :func:`colsight.operators.report.index_chunks`. ``order_by`` makes the listed rows of a filter repeatable; without
     it the listing is the lowest row hashes.
     """
     category = match_column(question, roles.categorical)
     number = match_column(question, roles.numeric)
-    citations = (
-        search(chunks.withColumn("_all", F.concat_ws(" ", "title", "category", "content")), "chunk_id", "_all",
-               question)
-        if chunks is not None
-        else None
-    )
+    citations = search_index(index, question) if index is not None else None
     intent = intent_of(question)
     if intent == "code" and category and number:
         text = top_sql(category, number)

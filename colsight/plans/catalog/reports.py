@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from colsight.operators.clean import clean
 from colsight.operators.correlation import top_pairs
-from colsight.operators.report import executive_brief, knowledge_chunks, kpi_row
-from colsight.operators.retrieval import search
+from colsight.operators.report import executive_brief, index_chunks, knowledge_chunks, kpi_row
+from colsight.operators.retrieval import search_index
 from colsight.plans.catalog.base import DIRTY_ROLES, dirty_orders, query, rounded, table
 from colsight.plans.catalog.cleaning import REPORT_SQL
 from colsight.plans.catalog.models import _once
@@ -46,8 +44,8 @@ def executive_brief_orders(spark, sf_dir):
 @query()
 def retrieve_chunks_orders(spark, sf_dir):
     """Chunks that answer a question."""
-    chunks = _chunks(spark, sf_dir).withColumn("all", F.concat_ws(" ", "title", "category", "content"))
-    return rounded(search(chunks, "chunk_id", "all", "which columns are correlated"), 6)
+    index = _once(spark, sf_dir, "chunk-index", lambda: index_chunks(_chunks(spark, sf_dir)))
+    return rounded(search_index(index, "which columns are correlated"), 6)
 
 
 @query()

@@ -12,7 +12,8 @@ from colsight.operators.cluster import Projection, Segments, project, segments,
 from colsight.operators.correlation import top_pairs
 from colsight.operators.isolation import Outliers, find_outliers
 from colsight.operators.profile import Roles, detect_roles
-from colsight.operators.report import executive_brief, knowledge_chunks, kpi_row
+from colsight.operators.report import executive_brief, index_chunks, knowledge_chunks, kpi_row
+from colsight.operators.retrieval import TextIndex
 from colsight.session import materialize
 
 
@@ -31,6 +32,7 @@ class Diagnosis:
     kpis: DataFrame
     chunks: DataFrame
     brief: DataFrame
+    index: TextIndex
 
 
 def diagnose(
@@ -51,10 +53,9 @@ def diagnose(
     projection = project(found.rows, names, found.scaling) if found else None
     silhouette = silhouette_squared(found.rows) if found else None
     outliers = find_outliers(data, names, contamination=contamination, seed=seed) if names else None
-    chunks = knowledge_chunks(
-        stored, pairs, found, projection.explained if projection else None, silhouette, outliers
-    )
+    explained = projection.explained if projection else None
+    chunks = materialize(knowledge_chunks(stored, pairs, found, explained, silhouette, outliers), "chunks")
     return Diagnosis(
         roles, stored, data, pairs, found, projection, silhouette, outliers, kpi_row(stored, outliers), chunks,
-        executive_brief(chunks),
+        executive_brief(chunks), index_chunks(chunks),
     )
