@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from colsight.functions.numbers import as_number, col
 
-#: Up to this many rows per group the built-in exact percentile is used; its memory is bounded by this number.
-IN_TASK_ROWS = 2_000_000
+#: Up to this many rows in the largest group the built-in exact percentile is used. It keeps the values of a group in
+#: memory, for up to 128 groups at a time.
+IN_TASK_ROWS = 300_000
 
 #: The same for whole columns, where narrowing by a sketch is soon faster.
 SMALL_ROWS = 100_000
 
+#: Narrowing stops once this many values or fewer are left to be put in order.
+PICK_ROWS = 1_000_000
+
 _SPLITS = 1000
 _ACCURACY = 10_000
 
@@ -106,11 +110,11 @@ def _narrowed(numbers: DataFrame, probs: list[float]) -> dict[str, list[float |
             total, below, n = counts[3 * at : 3 * at + 3]
             rank, (low, high) = probs[key[1]] * (total - 1), bounds[key]
             first, last = math.floor(rank) - below, math.ceil(rank) - below
-            if not 0 <= first <= last < n or (before.get(key) == bounds[key] and low < high and n > IN_TASK_ROWS):
+            if not 0 <= first <= last < n or (before.get(key) == bounds[key] and low < high and n > PICK_ROWS):
                 hot.add(key)
             elif low == high:
                 found[key] = low
-            elif n <= IN_TASK_ROWS:
+            elif n <= PICK_ROWS:
                 picks[key] = (first, last, rank - math.floor(rank))
             else:
                 place[key] = (rank - below) / (n - 1)
@@ -151,7 +155,7 @@ def exact_quantiles(
     """Interpolated quantiles of numeric columns as plain numbers, nulls ignored; an all-null column gives None.
 
     Up to ``in_task_rows`` rows the built-in aggregate is used. Beyond, sketches narrow down the values around each
-    quantile a thousandfold per round, until at most two million are left to be put in order.
+    quantile a thousandfold per round, until at most a million are left to be put in order.
     """
     if not names:
         return {}

@@ -25,6 +25,9 @@ SCORE_FLOOR = 0.1
 #: Score given to the first rows when there is nothing to search for.
 EMPTY_QUERY_SCORE = 0.85
 
+#: Vocabularies capped at this size or less are broadcast.
+_BROADCAST_TERMS = 100_000
+
 #: Terms that hold at least this share of all (document, term) pairs; there are at most 1/share of them.
 _HOT_TERM_SHARE = 1e-4
 
@@ -55,11 +58,11 @@ def vocabulary(counts: DataFrame, n_docs: int, max_terms: int | None = MAX_TERMS
 def _with_idf(counts: DataFrame, terms: DataFrame, max_terms: int | None) -> DataFrame:
     """Joins idf to the counts.
 
-    A capped vocabulary is small by definition and is broadcast. An open one may be large and its frequent terms are
-    hot join keys, so terms with at least 0.01 % of all pairs, at most ten thousand of them, are broadcast, and only
+    A vocabulary capped at no more than a hundred thousand terms is broadcast. A larger or open one is not, and its
+    frequent terms are hot join keys, so terms with at least 0.01 % of all pairs, at most ten thousand of them, are broadcast, and only
     the others, none of which is hot, are joined by shuffle.
     """
-    if max_terms is not None:
+    if max_terms is not None and max_terms <= _BROADCAST_TERMS:
         return counts.join(F.broadcast(terms), "term")
     hot = F.col("df") >= terms.agg(F.sum("df")).scalar() * _HOT_TERM_SHARE
     frequent = F.broadcast(terms.where(hot))

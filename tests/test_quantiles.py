@@ -60,7 +60,7 @@ def test_rounds_of_narrowing(frame, monkeypatch, limit):
     from colsight.operators import quantiles
 
     pdf, df = frame
-    monkeypatch.setattr(quantiles, "IN_TASK_ROWS", limit)
+    monkeypatch.setattr(quantiles, "PICK_ROWS", limit)
     monkeypatch.setattr(quantiles, "_ACCURACY", 100)
     found = quantiles.exact_quantiles(df, ["x", "k"], PROBS, in_task_rows=0)
     for name in ("x", "k"):
