@@ -31,10 +31,14 @@ def _is_string(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.StringType)
 
 
+def _tidied(text: Column, name: str) -> Column:
+    value = null_tokens_to_null(text)
+    return value if keeps_case(name) else title_case(value)
+
+
 def hygienic(name: str) -> Column:
     """Trimmed text with null tokens as null, in title case unless the column is a key by name."""
-    value = null_tokens_to_null(col(name))
-    return value if keeps_case(name) else title_case(value)
+    return _tidied(col(name), name)
 
 
 def string_hygiene(df: DataFrame) -> DataFrame:
@@ -109,6 +113,8 @@ class Cleaned:
     report: DataFrame
     steps: DataFrame
     imputed: DataFrame
+    order: str
+    formats: tuple
 
 
 def _stored(distinct: DataFrame, with_tidy: bool) -> tuple[DataFrame, DataFrame]:
@@ -166,7 +172,7 @@ def clean(
         "position", "column", F.when(F.col("column").isin(*fills), F.col("nulls")).otherwise(0).alias("imputed")
     ) if fills else before.select("position", "column", F.lit(0).cast("long").alias("imputed"))
     report = _report(raw, base, data, roles, {c: gaps[c] for c in fills}, policy)
-    return Cleaned(data, base, tidy, roles, fills, report, _steps(report), imputed)
+    return Cleaned(data, base, tidy, roles, fills, report, _steps(report), imputed, order, tuple(formats))
 
 
 def _report(
@@ -254,29 +260,28 @@ def column_audit(cleaned: Cleaned) -> DataFrame:
     )
 
 
-def changed_cells(cleaned: Cleaned, order: str = "hygiene_first", formats=DATE_FORMATS) -> DataFrame:
+def changed_cells(cleaned: Cleaned) -> DataFrame:
     """Cells per column whose value differs between the deduplicated and the cleaned table.
 
     Both sides are columns of one projection, so no join is needed. A date text counts as changed when it could not be
     read or is not already the ISO form of its date.
     """
     base, roles = cleaned.base, cleaned.roles
-    early = string_hygiene(base) if order == "hygiene_first" else base
 
     def after(name: str) -> Column:
-        value = hygienic(name) if order == "hygiene_first" and _is_string(base, name) else col(name)
-        if name in cleaned.fills:
-            fill = cleaned.fills[name]
-            if _is_string(base, name):
-                value = F.coalesce(value, F.lit(str(fill)))
-            else:
-                value = _filled(early, name, fill)
-        if order != "hygiene_first" and _is_string(base, name):
-            filled = value
-            tidy = null_tokens_to_null(filled)
-            value = tidy if keeps_case(name) else title_case(tidy)
-        if name in roles.date and _is_string(base, name):
-            parsed = parse_timestamp(value, formats)
+        fill = cleaned.fills.get(name)
+        if not _is_string(base, name):
+            return col(name) if fill is None else _filled(base, name, fill)
+
+        def filled(value: Column) -> Column:
+            return value if fill is None else F.coalesce(value, F.lit(str(fill)))
+
+        if cleaned.order == "hygiene_first":
+            value = filled(_tidied(col(name), name))
+        else:
+            value = _tidied(filled(col(name)), name)
+        if name in roles.date:
+            parsed = parse_timestamp(value, cleaned.formats)
             midnight = parsed == F.date_trunc("day", parsed)
             return F.when(midnight, F.date_format(parsed, "yyyy-MM-dd")).otherwise(
                 F.date_format(parsed, "yyyy-MM-dd HH:mm:ss")

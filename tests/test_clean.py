@@ -76,6 +76,8 @@ def test_order_of_steps(spark):
     fill_first = clean(df, roles, order="impute_first")
     assert fill_first.data.where("kind is null").count() == 2
     assert fill_first.report.first()["categorical_imputed"] == 1
+    changed = [{r["column"]: r["changed"] for r in changed_cells(c).collect()} for c in (tidy_first, fill_first)]
+    assert changed == [{"n": 0, "kind": 5}, {"n": 0, "kind": 5}]
 
 
 def test_policies(spark):
