@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from colsight.llm.common import table
 from colsight.llm.decontaminate import decontaminate
 from colsight.llm.mixing import mix_sources
+from colsight.llm.prefix_free import cut_repeated_bytes
 from colsight.llm.simhash import near_duplicates
+from colsight.llm.substring_dedup import cut_repeated_words
 from colsight.llm.token_counts import count_tokens
 from colsight.llm.url_filter import ALLOW, BLOCK, GlobRule, HostRule, filter_urls
 from colsight.session import scratch_path
@@ -39,6 +41,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 HOST_RULES = (
     HostRule(ALLOW, "org"), HostRule(BLOCK, "example.org", "/es/"), HostRule(BLOCK, "example.org", "/en/1"),
     HostRule(ALLOW, "com", "/fr/"), HostRule(BLOCK, "com", "/de/"),
@@ -109,6 +116,26 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query(r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spots AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM doc)),
+gone AS (
+  SELECT DISTINCT doc_id, i + k AS i
+  FROM (SELECT doc_id, i, unnest(range(0, 50)) AS k
+        FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY gram) AS least FROM spots) WHERE doc_id > least)),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM doc),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS text, count(*) AS n
+  FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)""")
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeated_words(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

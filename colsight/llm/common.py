@@ -118,4 +118,12 @@ def word_spans(raw: np.ndarray, limits: np.ndarray, outside: np.ndarray = BLANK)
 
 
 def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return FIRST.spans(FIRST.prefix(BYTE_SYMBOLS[raw]), begin, end)
+    """A 64-bit hash of each word, taken over pieces of the bytes that end between words."""
+    out, at = np.empty(len(begin), np.uint64), 0
+    while at < len(begin):
+        to = max(at + 1, int(np.searchsorted(end, begin[at] + PIECE_BYTES, side="right")))
+        first = begin[at]
+        prefix = FIRST.prefix(BYTE_SYMBOLS[raw[first:end[to - 1]]])
+        out[at:to] = FIRST.spans(prefix, begin[at:to] - first, end[at:to] - first)
+        at = to
+    return out
