@@ -12,6 +12,8 @@ from colsight.llm.common import table
 from colsight.llm.decontaminate import decontaminate
 from colsight.llm.mixing import mix_sources
 from colsight.llm.prefix_free import cut_repeated_bytes
+from colsight.llm.quality import judge_quality
+from colsight.llm.secrets import scan_secrets
 from colsight.llm.simhash import near_duplicates
 from colsight.llm.substring_dedup import cut_repeated_words
 from colsight.llm.token_counts import count_tokens
@@ -139,3 +141,24 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    name = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    base = F.filter("spans", lambda s: s["kind"] != "learned")
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", number("assign"), number("access"), number("hex"), number("learned"),
+        F.sha2(F.array_join(F.transform(base, name), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", name), ",").alias("spans"),
+    )
+
+
+@query()
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
