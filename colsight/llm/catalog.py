@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from colsight.llm.common import table
 from colsight.llm.decontaminate import decontaminate
+from colsight.llm.katz import score_texts
 from colsight.llm.mixing import mix_sources
 from colsight.llm.prefix_free import cut_repeated_bytes
 from colsight.llm.quality import judge_quality
@@ -162,3 +163,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
