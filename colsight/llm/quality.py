@@ -33,7 +33,7 @@ def _removed(text: Column, characters: str) -> Column:
 
 def statistics(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
     """Counts of every text: id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_digits,
-    n_marks and the kept columns.
+    n_marks, and the columns ``keep`` as a struct ``doc``.
 
     Words are runs without white space. Repeated words lie in a window of eight that begins twice or more in the text;
     windows are compared by 64-bit hashes, sorted with their places, so equal ones are neighbours. A null text counts as
@@ -41,7 +41,7 @@ def statistics(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     cells = documents.select(
         F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
-        *(F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)),
+        *([F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc")] if keep else []),
     )
     words = cells.withColumn("words", F.array_remove(F.split("text", BLANKS), "")).withColumn(
         "lines", F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -68,7 +68,7 @@ def statistics(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
         _removed(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_upper"),
         _removed(F.col("text"), "0123456789").cast("long").alias("n_digits"),
         _removed(F.col("text"), ".,;:!?'\"()-").cast("long").alias("n_marks"),
-        *(f"kept_{i}" for i in range(len(keep))),
+        *(["doc"] if keep else []),
     )
 
 
@@ -224,7 +224,8 @@ def judge_quality(
     documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     keep: tuple[str, ...] = (), precision: float = 0.97,
 ) -> DataFrame:
-    """One row per row of ``documents``: id, the statistics, base_failed, rule and kept, and the columns ``keep``.
+    """One row per row of ``documents``: id, the statistics, base_failed, rule and kept, and the columns ``keep``
+    as a struct ``doc``.
 
     Fixed tests come first: fewer than 20 words, or more than 30 % of them repeated. Of the others, documents labelled
     1 or 0 teach a decision list, and ``rule`` names the first of its rules that holds (0: none). A document is kept if
@@ -239,10 +240,10 @@ def judge_quality(
     ).groupBy("id").agg((F.min("label") <= 0).alias("bad"))
     taught = features(stats.where(~base_failed()).join(marks, "id"), "id", "bad")
     rules = learn_rules(taught, precision)
-    kept = [f"kept_{i}" for i in range(len(keep))]
+    kept = ["doc"] if keep else []
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     judged = features(stats.withColumn("base_failed", base_failed()), "id", *counts, "base_failed", *kept)
     return judged.withColumn("rule", verdict(rules)).select(
         F.col("id").alias(id_col), *counts, "base_failed", "rule", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"),
-        *(F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)),
+        *kept,
     )
