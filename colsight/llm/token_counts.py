@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from colsight.llm.common import pieces, whole_texts
+from colsight.session import materialize
 
 CACHE = T.StructType([
     T.StructField("tokenizer", T.StringType()),
@@ -74,7 +75,7 @@ def count_tokens(
     case would change counts. Misses are distinct digests without a stored count; each is encoded once, from the row
     with the smallest id, and appended below ``cache_path`` by Spark's committer, so a lost executor repeats its task
     and leaves no half-written file. Repeated rows and null ids keep their rows; an empty table gives an empty result.
-    The cache is read back for the result, so its rows, not texts, are what the last join moves.
+    Ids, digests and lengths are written first, so only digests, not texts, meet the cache.
     """
     spark = documents.sparkSession
     version = tokenizer_version(tokenizer_path)
@@ -82,8 +83,10 @@ def count_tokens(
         F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     ).withColumn("digest", F.unhex(F.sha2("text", 256)))
 
-    # A null id is no key for the join that fetches texts, so such rows stand for themselves under their digest.
-    first = rows.groupBy("digest").agg(F.min("id").alias("id"))
+    keys = materialize(
+        rows.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "text-digests"
+    )
+    first = keys.groupBy("digest").agg(F.min("id").alias("id"))
     misses = first.join(read_cache(spark, cache_path, version), "digest", "left_anti")
     chosen = misses.select(F.col("digest").alias("miss"), F.col("id").alias("miss_id"))
     same = F.col("id").eqNullSafe(F.col("miss_id")) & (F.col("digest") == F.col("miss"))
@@ -101,7 +104,10 @@ def count_tokens(
     encoded = texts.mapInArrow(encode, CACHE)
     encoded.write.mode("append").parquet(cache_path)
 
-    lengths = rows.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return lengths.join(read_cache(spark, cache_path, version), "digest").select(
+    # Written, so that the last join reads one row per digest from a table, and Spark can split a frequent digest's rows.
+    counts = materialize(
+        first.select("digest").join(read_cache(spark, cache_path, version), "digest"), "token-counts"
+    )
+    return keys.join(counts, "digest").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
