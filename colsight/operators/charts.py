@@ -6,14 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colsight.functions.numbers import as_number, col, string_value
-from colsight.operators.quantiles import IN_TASK_ROWS, grouped_quantiles
+from colsight.functions.numbers import as_number, col
+from colsight.operators.quantiles import grouped_quantiles
 
 # Longest date range in days shown per day, and per month; longer ones are shown per year.
 DAY_RANGE = 60
 MONTH_RANGE = 730
 
 
+_INFINITE = float("inf")
+
+
+def _outside(bins: int) -> Column:
+    """The end of the bins that hold infinite values."""
+    return F.when(F.col("bin") == 0, F.lit(-_INFINITE)).when(F.col("bin") == bins + 1, F.lit(_INFINITE))
+
+
 def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Equal-width bin 1..bins; the maximum belongs to the last one, and a single value makes one bin."""
     return F.when(low == high, F.lit(1)).otherwise(
@@ -27,7 +35,8 @@ def histogram(
     """Rows per equal-width bin (or the sum of ``weight``), optionally per ``color``; empty bins are left out.
 
     The range comes from a scalar subquery and bins fold before the shuffle, so at most ``bins`` rows per task and
-    colour move.
+    colour move. It spans the finite values; infinite ones are counted apart, as bin 0 and bin ``bins + 1``, with both
+    ends infinite.
     """
     number = as_number(df, value)
     picked = [number.alias("_v")]
@@ -38,21 +47,23 @@ def histogram(
     if weight:
         picked.append(as_number(df, weight).alias("_w"))
     rows = df.select(*picked).where(F.col("_v").isNotNull())
-    ends = df.agg(F.struct(F.min(number).alias("low"), F.max(number).alias("high")).alias("ends")).scalar()
+    finite = F.when(F.abs(number) < F.lit(float("inf")), number)
+    ends = df.agg(F.struct(F.min(finite).alias("low"), F.max(finite).alias("high")).alias("ends")).scalar()
     low, high = ends["low"], ends["high"]
     width = (high - low) / bins
     total = F.sum("_w").alias("total") if weight else F.count(F.lit(1)).alias("n")
     return (
         rows.withColumn("bin", _bin(F.col("_v"), low, high, bins))
+        .withColumn("bin", F.when(F.col("_v") == F.lit(_INFINITE), bins + 1).when(F.col("_v") == F.lit(-_INFINITE), 0).otherwise(F.col("bin")))
         .groupBy(*(col(k) for k in keys))
         .agg(total)
-        .withColumn("bin_low", low + (F.col("bin") - 1) * width)
-        .withColumn("bin_high", F.when(low == high, high).otherwise(low + F.col("bin") * width))
+        .withColumn("bin_low", _outside(bins).otherwise(low + (F.col("bin") - 1) * width))
+        .withColumn("bin_high", _outside(bins).when(low == high, high).otherwise(low + F.col("bin") * width))
     )
 
 
 def box_summary(
-    df: DataFrame, value: str, by: list[str] | None = None, *, in_task_rows: int = IN_TASK_ROWS
+    df: DataFrame, value: str, by: list[str] | None = None
 ) -> DataFrame:
     """Count, mean, extremes, quartiles and 1.5 IQR fences, over the table or per group."""
     keys = by or []
@@ -61,7 +72,7 @@ def box_summary(
         F.count(number).alias("n"), F.avg(number).alias("mean"), F.min(number).alias("minimum"),
         F.max(number).alias("maximum"),
     )
-    quartiles = grouped_quantiles(df, keys, value, [0.25, 0.5, 0.75], in_task_rows=in_task_rows)
+    quartiles = grouped_quantiles(df, keys, value, [0.25, 0.5, 0.75])
     if keys:
         names = [f"_k{i}" for i in range(len(keys))]
         other = quartiles.toDF(*names, "quantiles")
@@ -158,7 +169,7 @@ def date_trend(
 
 
 def bar(
-    df: DataFrame, x: str, y: str, how: str = "mean", *, color: str | None = None, in_task_rows: int = IN_TASK_ROWS
+    df: DataFrame, x: str, y: str, how: str = "mean", *, color: str | None = None
 ) -> DataFrame:
     """``y`` per value of ``x`` (and colour): sum, count, median or mean; missing groups are left out."""
     keys = [x, *([color] if color and color not in (x, y) else [])]
@@ -170,7 +181,7 @@ def bar(
     if how == "count":
         return grouped.agg(F.count(number).alias("value"))
     if how == "median":
-        return grouped_quantiles(kept, keys, y, [0.5], in_task_rows=in_task_rows).select(
+        return grouped_quantiles(kept, keys, y, [0.5]).select(
             *(col(k) for k in keys), F.col("quantiles")[0].alias("value")
         )
     if how == "mean":
@@ -178,17 +189,9 @@ def bar(
     raise ValueError("how is one of sum, count, median, mean")
 
 
-def points(
-    df: DataFrame, columns: list[str], *, order_by: list[str] | None = None, max_points: int | None = None
-) -> DataFrame:
-    """Row-level columns for scatter and line charts.
-
-    ``max_points`` thins large tables to a repeatable subset by the hash of the row; without it every row is returned.
-    """
+def points(df: DataFrame, columns: list[str], *, order_by: list[str] | None = None) -> DataFrame:
+    """Row-level columns for scatter and line charts, all rows."""
     picked = df.select(*(col(c) for c in columns))
-    if max_points is not None:
-        digest = F.xxhash64(*(F.coalesce(string_value(picked, c), F.lit("\x00")) for c in columns))
-        picked = picked.orderBy(digest, *(col(c) for c in columns)).limit(max_points)
     return picked.orderBy(*(col(c) for c in order_by)) if order_by else picked
 
 

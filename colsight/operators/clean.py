@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colsight.functions.dates import DATE_FORMATS, parse_timestamp
+from colsight.functions.dates import DATE_FORMATS, day_first_columns, parse_timestamp
 from colsight.functions.numbers import as_number, col, is_integral, is_number, nan_to_null
 from colsight.functions.text import keeps_case, null_tokens_to_null, title_case
 from colsight.operators.profile import Roles, categorical_stats, clamp_score, null_counts, raw_score
-from colsight.operators.quantiles import SMALL_ROWS, exact_quantiles
+from colsight.operators.quantiles import exact_quantiles
 from colsight.session import materialize
 
 POLICIES = ("median_mode", "mean", "drop")
@@ -46,13 +46,19 @@ def string_hygiene(df: DataFrame) -> DataFrame:
     return df.select(*(hygienic(c).alias(c) if _is_string(df, c) else col(c) for c in df.columns))
 
 
-def coerce_dates(df: DataFrame, names: list[str], formats=DATE_FORMATS) -> DataFrame:
-    """String columns among ``names`` as timestamps; unreadable text becomes null."""
+def coerce_dates(
+    df: DataFrame, names: list[str], formats=DATE_FORMATS, day_first: frozenset[str] | None = None
+) -> DataFrame:
+    """String columns among ``names`` as timestamps; unreadable text becomes null.
+
+    Each column is read in one order of day and month. ``day_first`` names the columns that write the day first; without
+    it one aggregate finds them.
+    """
+    texts = [c for c in df.columns if c in names and _is_string(df, c)]
+    if day_first is None:
+        day_first = day_first_columns(df, texts)
     return df.select(
-        *(
-            parse_timestamp(col(c), formats).alias(c) if c in names and _is_string(df, c) else col(c)
-            for c in df.columns
-        )
+        *(parse_timestamp(col(c), formats, c in day_first).alias(c) if c in texts else col(c) for c in df.columns)
     )
 
 
@@ -62,7 +68,6 @@ def fill_values(
     policy: str = "median_mode",
     *,
     only: list[str] | None = None,
-    in_task_rows: int = SMALL_ROWS,
 ) -> dict[str, object]:
     """One fill value per numeric and categorical column: median or mean, and mode; at most one per column.
 
@@ -76,7 +81,7 @@ def fill_values(
         row = df.agg(*(F.avg(as_number(df, c)).alias(f"m{i}") for i, c in enumerate(numeric))).first()
         fills.update({c: row[i] if row[i] is not None else 0.0 for i, c in enumerate(numeric)})
     elif numeric:
-        medians = exact_quantiles(df, numeric, [0.5], in_task_rows=in_task_rows)
+        medians = exact_quantiles(df, numeric, [0.5])
         fills.update({c: m[0] if m[0] is not None else 0.0 for c, m in medians.items()})
     if categorical:
         modes = {r["column"]: r["top_value"] for r in categorical_stats(df, categorical).collect()}
@@ -115,6 +120,7 @@ class Cleaned:
     imputed: DataFrame
     order: str
     formats: tuple
+    day_first: frozenset
 
 
 def _stored(distinct: DataFrame, with_tidy: bool) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +146,6 @@ def clean(
     policy: str = "median_mode",
     order: str = "hygiene_first",
     formats=DATE_FORMATS,
-    in_task_rows: int = SMALL_ROWS,
 ) -> Cleaned:
     """Drop copies, tidy strings, fill missing cells, parse dates.
 
@@ -160,25 +165,33 @@ def clean(
     before = null_counts(early)
     gaps = {r["column"]: r["nulls"] for r in before.collect()}
     fillable = [c for c in roles.numeric + roles.categorical if gaps.get(c)] if policy != "drop" else []
-    fills = fill_values(early, roles, policy, only=fillable, in_task_rows=in_task_rows)
+    fills = fill_values(early, roles, policy, only=fillable)
 
     filled = impute(early, fills)
     late = filled if order == "hygiene_first" else string_hygiene(filled)
-    data = coerce_dates(late, roles.date, formats)
+    texts = [c for c in roles.date if c in late.columns and _is_string(late, c)]
+    day_first = day_first_columns(base, texts)
+    data = coerce_dates(late, roles.date, formats, day_first)
+    unread = sum((F.count_if(col(c).isNotNull()) for c in texts), F.lit(0).cast("long"))
+    written, read = late.agg(unread).scalar(), data.agg(unread).scalar()
     if policy == "drop":
         data = data.na.drop("any")
 
     imputed = before.select(
         "position", "column", F.when(F.col("column").isin(*fills), F.col("nulls")).otherwise(0).alias("imputed")
     ) if fills else before.select("position", "column", F.lit(0).cast("long").alias("imputed"))
-    report = _report(raw, base, data, roles, {c: gaps[c] for c in fills}, policy)
-    return Cleaned(data, base, tidy, roles, fills, report, _steps(report), imputed, order, tuple(formats))
+    dates = (read, written - read)
+    report = _report(raw, base, data, roles, {c: gaps[c] for c in fills}, policy, dates)
+    return Cleaned(
+        data, base, tidy, roles, fills, report, _steps(report), imputed, order, tuple(formats), day_first
+    )
 
 
 def _report(
-    raw: DataFrame, base: DataFrame, data: DataFrame, roles: Roles, imputed: dict[str, int], policy: str
+    raw: DataFrame, base: DataFrame, data: DataFrame, roles: Roles, imputed: dict[str, int], policy: str,
+    cells: tuple[Column, Column],
 ) -> DataFrame:
-    """One row: shapes, duplicates, filled and rebuilt cells, parsed dates and the score of the raw table."""
+    """One row: shapes, duplicates, filled and rebuilt cells, date cells read and not, and the score of the raw table."""
     strings = [f.name for f in base.schema if isinstance(f.dataType, T.StringType)]
     nulls = sum((F.count_if(col(c).isNull()) for c in raw.columns), F.lit(0))
     initial = raw.agg(F.count(F.lit(1)).alias("n"), nulls.alias("nulls"))
@@ -208,7 +221,7 @@ def _report(
         F.lit(sum(imputed.values())).cast("long").alias("total_imputed"),
         (F.col("distinct_rows") * len(strings)).alias("string_cells"),
         F.array(*(F.lit(c) for c in dates)).cast("array<string>").alias("dates_converted"),
-        (F.col("distinct_rows") * len(dates)).alias("date_cells"),
+        cells[0].alias("date_cells"), cells[1].alias("unreadable_dates"),
         score.alias("raw_score"),
         clamp_score(score).alias("hygiene_score"),
     )
@@ -281,7 +294,7 @@ def changed_cells(cleaned: Cleaned) -> DataFrame:
         else:
             value = _tidied(filled(col(name)), name)
         if name in roles.date:
-            parsed = parse_timestamp(value, cleaned.formats)
+            parsed = parse_timestamp(value, cleaned.formats, name in cleaned.day_first)
             midnight = parsed == F.date_trunc("day", parsed)
             return F.when(midnight, F.date_format(parsed, "yyyy-MM-dd")).otherwise(
                 F.date_format(parsed, "yyyy-MM-dd HH:mm:ss")

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colsight.functions.numbers import as_number, col
-from colsight.session import spread
+from colsight.session import materialize
 
 # Deviation from the overall mean that names a segment, and the guard in its denominator.
 NAMING_DEVIATION = 0.15
@@ -25,8 +23,8 @@ NAMING_GUARD = 1e-5
 #: Training stops once the squared moves of all centres sum to no more than this.
 TOLERANCE = 1e-4
 
-#: Rows used for the pairwise silhouette.
-SILHOUETTE_ROWS = 2000
+#: Rows from which starts are drawn; training reads all rows.
+SEED_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -41,7 +39,7 @@ class Scaling:
     def columns(self, df: DataFrame) -> list[Column]:
         """Standardised columns; a constant column becomes zero."""
         return [
-            (as_number(df, n) - m) / (s if s > 0 else 1.0) for n, m, s in zip(self.names, self.means, self.stds)
+            (as_number(df, n) - (m or 0.0)) / (s if s else 1.0) for n, m, s in zip(self.names, self.means, self.stds)
         ]
 
 
@@ -89,15 +87,72 @@ class Segments:
     scaling: Scaling
 
 
+@dataclass
+class _Start:
+    """One run of Lloyd's iterations."""
+
+    centers: np.ndarray
+    cost: float = math.inf
+    moving: bool = True
+
+
+def _first_centers(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ on a sample of rows: each next centre is a row drawn by its squared distance to those before."""
+    chosen = [sample[rng.integers(len(sample))]]
+    for _ in range(k - 1):
+        gaps = np.min([((sample - c) ** 2).sum(axis=1) for c in chosen], axis=0)
+        total = gaps.sum()
+        chosen.append(sample[rng.choice(len(sample), p=gaps / total) if total > 0 else rng.integers(len(sample))])
+    return np.array(chosen)
+
+
+def _scan(points: DataFrame, starts: list[_Start]) -> dict[tuple[int, int], tuple]:
+    """(start, cluster) to (rows, cost, sums of coordinates), for all moving starts in one pass over all rows."""
+    axes = points.columns
+    sent = points.sparkSession.sparkContext.broadcast([(i, s.centers) for i, s in enumerate(starts) if s.moving])
+
+    def add(batches):
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([c.to_numpy() for c in batch.columns])
+            square = (x * x).sum(axis=1)
+            for i, centers in sent.value:
+                gaps = square[:, None] - 2 * x @ centers.T + (centers * centers).sum(axis=1)
+                near = gaps.argmin(axis=1)
+                cost = ((x - centers[near]) ** 2).sum(axis=1)
+                for c in range(len(centers)):
+                    mine = near == c
+                    row = np.concatenate([[mine.sum(), cost[mine].sum()], x[mine].sum(axis=0)])
+                    total[i, c] = total.get((i, c), 0) + row
+        keys = list(total)
+        figures = np.array([total[key] for key in keys]).reshape(len(keys), len(axes) + 2)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([i for i, _ in keys], pa.int32()), pa.array([c for _, c in keys], pa.int32()),
+             *(pa.array(column) for column in figures.T)], names=["start", "cluster", "n", "cost", *axes],
+        )
+
+    schema = "start int, cluster int, n double, cost double, " + ", ".join(f"{c} double" for c in axes)
+    sums = points.mapInArrow(add, schema).groupBy("start", "cluster").agg(
+        *(F.sum(c).alias(c) for c in ("n", "cost", *axes))
+    )
+    found = {(r[0], r[1]): (r[2], r[3], np.array(r[4:])) for r in sums.collect()}
+    sent.destroy()
+    return found
+
+
 def segments(
     df: DataFrame, names: list[str], k: int = 4, *, seed: int = 42, restarts: int = 10, max_iter: int = 100,
-    fit_rows: int | None = None, parallelism: int = 5,
+    partitions: int | None = None,
 ) -> Segments | None:
     """K-means on standardised complete rows, best of several starts; None below two columns or three rows.
 
-    Training data stay cached (memory, then disk) over the starts, spread over all slots if there are few of them. Only centres travel, so copies or one big segment do not skew the work. Clusters are numbered by their centres in ascending order. ``parallelism`` starts run at a
-    time, since a pass over little data leaves slots idle. ``fit_rows`` trains on a sample of about that many rows; all
-    rows are assigned either way.
+    The standardised columns are written once. Every iteration is one pass over all of them that moves all starts at
+    once; only sums per start and cluster travel, so copies or one big segment do not skew the work, and a start that
+    rests drops out. Starts are drawn by k-means++ from the ``SEED_ROWS`` rows of lowest hash, so they don't depend on
+    the layout. Clusters are numbered by their centres in ascending order. ``partitions`` deals the rows anew before
+    training, for a table of few splits.
     """
     if len(names) < 2:
         return None
@@ -105,30 +160,38 @@ def segments(
     k = min(k, scaling.n_rows)
     if scaling.n_rows < 3 or k < 2:
         return None
+    complete = complete_rows(df, names)
+    scaled = complete.select(*(z.cast("double").alias(f"z{i}") for i, z in enumerate(scaling.columns(complete))))
+    points = materialize(scaled.repartition(partitions) if partitions else scaled, "points")
+    draw = F.xxhash64(*points.columns, F.lit(seed))
+    share = min(1.0, 1.2 * SEED_ROWS / scaling.n_rows)
+    near = points.withColumn("draw", draw).where(F.shiftrightunsigned("draw", 2) <= int(share * 2.0**62))
+    drawn = near.orderBy("draw", *points.columns).limit(SEED_ROWS).drop("draw").collect()
+    sample = np.array([tuple(r) for r in drawn], dtype=float)
+    starts = [_Start(_first_centers(sample, k, np.random.default_rng([seed, i]))) for i in range(restarts)]
+    for step in range(max_iter + 1):
+        sums = _scan(points, starts)
+        for i, start in enumerate(starts):
+            if not start.moving:
+                continue
+            start.cost = sum(sums[i, c][1] for c in range(k) if (i, c) in sums)
+            moved = start.centers.copy()
+            for c in range(k):
+                if (i, c) in sums and sums[i, c][0]:
+                    moved[c] = sums[i, c][2] / sums[i, c][0]
+            start.moving = step < max_iter and ((moved - start.centers) ** 2).sum() > TOLERANCE
+            if start.moving:
+                start.centers = moved
+        if not any(s.moving for s in starts):
+            break
+    best = min(starts, key=lambda s: s.cost)
+    centers = best.centers[np.lexsort(best.centers.T[::-1])]
     featured = _with_features(df, names, scaling)
-    training = featured.select("features")
-    if fit_rows is not None and fit_rows < scaling.n_rows:
-        training = training.sample(fraction=fit_rows / scaling.n_rows, seed=seed)
-    training = spread(training).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        training.count()
-
-        def fit(start: int):
-            return KMeans(k=k, seed=seed + start, maxIter=max_iter, tol=math.sqrt(TOLERANCE / k)).fit(training)
-
-        with ThreadPool(max(1, min(restarts, parallelism))) as pool:
-            models = pool.map(inheritable_thread_target(df.sparkSession)(fit), range(restarts))
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        inertia = best.summary.trainingCost
-    finally:
-        training.unpersist()
-    centers = np.array(best.clusterCenters())
-    order = np.lexsort(centers.T[::-1])
-    number = np.empty(len(order), dtype=int)
-    number[order] = np.arange(len(order))
-    renumber = F.element_at(F.array(*(F.lit(int(i)) for i in number)), F.col("_raw") + 1)
-    assigned = best.setPredictionCol("_raw").transform(featured).withColumn("cluster", renumber).drop("_raw")
-    return Segments(assigned, list(names), len(order), float(inertia), centers[order], scaling)
+    gaps = F.array(*(
+        sum(((z - float(v)) * (z - float(v)) for z, v in zip(scaling.columns(featured), c)), F.lit(0.0)) for c in centers
+    ))
+    nearest = F.array_position(gaps, F.array_min(gaps)).cast("int") - 1
+    return Segments(featured.withColumn("cluster", nearest), list(names), k, float(best.cost), centers, scaling)
 
 
 def sizes(rows: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -176,6 +239,7 @@ def personas(rows: DataFrame, names: list[str], cluster: str = "cluster") -> Dat
             F.when(F.abs(mean) >= 100, F.format_string("%,.0f", mean)).when(F.abs(mean) >= 1, middle).otherwise(small)
         )
 
+    # The texts of segment names.
     persona = (
         F.when(
             high["dev"] > NAMING_DEVIATION,
@@ -202,10 +266,15 @@ def project(df: DataFrame, names: list[str], scaling: Scaling | None = None) ->
     """First two principal components of the standardised columns.
 
     Signs are fixed so that the loading largest in size (the first of equals) is positive. Rows that carry
-    ``features`` already are not standardised again.
+    ``features`` already are not standardised again. One column is its own first component, with a second of zero; an
+    empty table keeps the schema.
     """
     scaling = scaling or fit_scaling(df, names)
     featured = df if "features" in df.columns else _with_features(df, names, scaling)
+    if len(names) < 2 or not scaling.n_rows:
+        own = vector_to_array(F.col("features"))[0] if names else F.lit(0.0)
+        flat = featured.withColumn("pca1", own).withColumn("pca2", F.lit(0.0)).drop("features")
+        return Projection(flat, [1.0 if scaling.n_rows else 0.0, 0.0])
     model = PCA(k=2, inputCol="features", outputCol="_pca").fit(featured)
     loadings = np.array(model.pc.toArray())
     signs = []
@@ -234,52 +303,3 @@ def silhouette_squared(rows: DataFrame, cluster: str = "cluster") -> float | Non
         return None
     ready = rows.select("features", col(cluster).cast("double").alias("prediction"))
     return float(ClusteringEvaluator(metricName="silhouette").evaluate(ready))
-
-
-def silhouette_sample(
-    rows: DataFrame, features: list[Column], cluster: str = "cluster", *, n: int = SILHOUETTE_ROWS
-) -> DataFrame:
-    """Silhouette per row, Euclidean, within a repeatable sample of at most ``n`` rows (the lowest row hashes).
-
-    The measure compares each sampled row with every other one, so the sample is the definition, not a shortcut. It is
-    at most ``n`` rows and goes to each task once; tasks then score their share of it.
-    """
-    point = F.array(*(f.cast("double") for f in features))
-    sample = (
-        rows.select(col(cluster).cast("long").alias("cluster"), point.alias("point"))
-        .withColumn("_h", F.xxhash64("point", "cluster"))
-        .orderBy("_h", "point", "cluster")
-        .limit(n)
-        .drop("_h")
-        .repartition(rows.sparkSession.sparkContext.defaultParallelism, "point")
-    )
-    held = sample.toPandas()
-    if held.empty:
-        return sample.withColumn("silhouette", F.lit(None).cast("double"))
-    shared = rows.sparkSession.sparkContext.broadcast(
-        (np.stack(held["point"].to_numpy()).astype(float), held["cluster"].to_numpy())
-    )
-
-    def score(batches):
-        points, labels = shared.value
-        names, codes = np.unique(labels, return_inverse=True)
-        member = np.eye(len(names))[codes]
-        count = member.sum(axis=0)
-        for batch in batches:
-            if batch.empty:
-                continue
-            mine = np.stack(batch["point"].to_numpy()).astype(float)
-            own = np.searchsorted(names, batch["cluster"].to_numpy())
-            distance = np.sqrt(
-                np.stack([((points - p) ** 2).sum(axis=1) for p in mine])
-            )
-            summed = distance @ member
-            at = np.arange(len(mine))
-            inside = summed[at, own] / np.maximum(count[own] - 1, 1)
-            others = summed / count
-            others[at, own] = np.inf
-            outside = others.min(axis=1)
-            value = np.where(count[own] > 1, (outside - inside) / np.maximum(inside, outside), 0.0)
-            yield batch.assign(silhouette=np.where(np.isfinite(outside), np.nan_to_num(value), np.nan))
-
-    return sample.mapInPandas(score, "cluster long, point array<double>, silhouette double")

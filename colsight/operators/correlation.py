@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,100 +14,75 @@ from colsight.functions.numbers import as_number
 #: Share of a sum of squares that rounding may leave behind.
 NOISE = 1e-12
 
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
-def _sums(df: DataFrame, names: list[str]) -> tuple[DataFrame, set[int]]:
-    """One row of sums for :func:`correlation_pairs` and the positions of columns with gaps.
 
-    A first scan finds means and gaps; the second sums products of values less their means, which keeps large numbers
-    exact and, unlike a covariance aggregate per pair, compiles to plain additions. Per-pair sums of single columns are
-    only needed where a column has gaps.
+def _products(values: DataFrame) -> DataFrame:
+    """(i, j, sums over the rows that have both columns) for i <= j, by products of Arrow batches.
+
+    Values come less their columns' means, which keeps large numbers exact. With gaps as zeros in X and their mask M all
+    sums of all pairs are the matrices M'M, X'M, (X^2)'M and X'X; a task hands on one row per pair.
     """
-    values = df.select(*(as_number(df, n).alias(f"v{i}") for i, n in enumerate(names)))
-    row = values.agg(
-        F.count(F.lit(1)), *(F.count(v) for v in values.columns), *(F.avg(v) for v in values.columns)
-    ).first()
-    p = len(names)
-    gaps = {i for i in range(p) if row[1 + i] < row[0]}
-    centred = values.select(
-        *((F.col(f"v{i}") - F.lit(row[1 + p + i] or 0.0)).alias(f"v{i}") for i in range(p))
+    width = len(values.columns)
+    upper = np.triu_indices(width)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, width, width))
+        for batch in batches:
+            if batch.num_rows:
+                mask = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+                x = np.column_stack([c.fill_null(0.0).to_numpy() for c in batch.columns])
+                total += np.stack([mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x])
+        n, first, square, product = total
+        sums = (n, first, first.T, square, square.T, product)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(upper[0].astype(np.int32)), pa.array(upper[1].astype(np.int32)), *(pa.array(s[upper]) for s in sums)],
+            names=["i", "j", *_SUMS],
+        )
+
+    schema = "i int, j int, " + ", ".join(f"{s} double" for s in _SUMS)
+    return values.mapInArrow(add, schema).groupBy("i", "j").agg(*(F.sum(s).alias(s) for s in _SUMS))
+
+
+def _cells(df: DataFrame, names: list[str]) -> DataFrame:
+    """``i, j, row, col, r`` for i <= j; on the diagonal 1 for a column that varies."""
+    values = df.select(*(as_number(df, n).cast("double").alias(f"v{i}") for i, n in enumerate(names)))
+    means = values.agg(*(F.avg(v) for v in values.columns)).first()
+    centred = values.select(*((F.col(v) - F.lit(float(m or 0.0))).alias(v) for v, m in zip(values.columns, means)))
+    n = F.col("n")
+    sxy = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
+    sxx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n)
+    syy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
+    # What rounding leaves of a constant column's deviations is no variance.
+    varied = (sxx > F.col("sxx") * NOISE) & (syy > F.col("syy") * NOISE)
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(sxy, F.sqrt(sxx * syy))))
+    width, named = len(names), F.array(*(F.lit(x) for x in names))
+    number = df.sparkSession.range(width * width).select(
+        F.floor(F.col("id") / width).cast("int").alias("i"), (F.col("id") % width).cast("int").alias("j")
+    )
+    figures = _products(centred).withColumn("r", F.when(varied, F.when(F.col("i") == F.col("j"), 1.0).otherwise(r)))
+    return number.where("i <= j").join(figures.select("i", "j", "r"), ["i", "j"], "left").select(
+        "i", "j", F.get(named, F.col("i")).alias("row"), F.get(named, F.col("j")).alias("col"), "r"
     )
-    sums = [F.count(F.lit(1)).cast("double").alias("n")]
-    for i in range(p):
-        x = F.col(f"v{i}")
-        sums += [F.sum(x).alias(f"s_{i}"), F.sum(x * x).alias(f"q_{i}")]
-    for i, j in combinations(range(p), 2):
-        x, y = F.col(f"v{i}"), F.col(f"v{j}")
-        sums.append(F.sum(x * y).alias(f"p_{i}_{j}"))
-        if i in gaps or j in gaps:
-            both = x.isNotNull() & y.isNotNull()
-            sums.append(F.count_if(both).cast("double").alias(f"n_{i}_{j}"))
-            for key, v in (("x", x), ("y", y)):
-                sums += [
-                    F.sum(F.when(both, v)).alias(f"s{key}_{i}_{j}"), F.sum(F.when(both, v * v)).alias(f"q{key}_{i}_{j}")
-                ]
-    return centred.agg(*sums), gaps
 
 
 def correlation_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     """``i, j, row, col, r`` for each pair of columns, rows with a gap in either one left out of that pair.
 
-    Two scans of the columns; the shuffle moves one row per task. A constant column gives null.
+    Two scans of the columns; the shuffle moves a row of sums per pair and task. A constant column gives null.
     """
-    schema = "i int, j int, row string, col string, r double"
-    pairs = list(combinations(range(len(names)), 2))
-    if not pairs:
-        return df.sparkSession.createDataFrame([], schema)
-    sums, gaps = _sums(df, names)
-
-    def pearson(i: int, j: int):
-        if i in gaps or j in gaps:
-            n, sx, qx, sy, qy = (F.col(f"{k}_{i}_{j}") for k in ("n", "sx", "qx", "sy", "qy"))
-        else:
-            n, sx, qx, sy, qy = (F.col(k) for k in ("n", f"s_{i}", f"q_{i}", f"s_{j}", f"q_{j}"))
-        sxy = F.col(f"p_{i}_{j}") - F.try_divide(sx * sy, n)
-        sxx, syy = qx - F.try_divide(sx * sx, n), qy - F.try_divide(sy * sy, n)
-        # What rounding leaves of a constant column's deviations is no variance.
-        varied = (sxx > qx * NOISE) & (syy > qy * NOISE)
-        return F.when(varied, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(sxy, F.sqrt(sxx * syy)))))
-
-    cells = F.array(
-        *(
-            F.struct(
-                F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(names[i]).alias("row"), F.lit(names[j]).alias("col"),
-                pearson(i, j).alias("r"),
-            )
-            for i, j in pairs
-        )
-    )
-    return sums.select(F.inline(cells))
+    if len(names) < 2:
+        return df.sparkSession.createDataFrame([], "i int, j int, row string, col string, r double")
+    return _cells(df, names).where("i < j")
 
 
 def correlation_matrix(df: DataFrame, names: list[str]) -> DataFrame:
     """The full matrix in long form: both triangles, and 1 on the diagonal unless the column is constant."""
-    pairs = correlation_pairs(df, names).select("row", "col", "r")
-    spreads = df.agg(*(F.stddev_pop(as_number(df, n)).alias(f"s{i}") for i, n in enumerate(names)))
-    diagonal = spreads.select(
-        F.inline(
-            F.array(
-                *(
-                    F.struct(
-                        F.lit(n).alias("row"), F.lit(n).alias("col"),
-                        F.when(F.col(f"s{i}") > 0, 1.0).alias("r"),
-                    )
-                    for i, n in enumerate(names)
-                )
-            )
-        )
-    )
-    both = pairs.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("row"), F.col("col"), F.col("r")),
-                F.struct(F.col("col").alias("row"), F.col("row").alias("col"), F.col("r")),
-            )
-        )
-    )
-    return both.unionByName(diagonal)
+    if not names:
+        return df.sparkSession.createDataFrame([], "row string, col string, r double")
+    cells = _cells(df, names)
+    other = cells.where("i < j").select(F.col("col").alias("row"), F.col("row").alias("col"), "r")
+    return cells.select("row", "col", "r").unionByName(other)
 
 
 def top_pairs(df: DataFrame, names: list[str], n: int = 4) -> DataFrame:

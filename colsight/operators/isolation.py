@@ -11,15 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colsight.functions.numbers import as_number, col
-from colsight.operators.quantiles import SMALL_ROWS, exact_quantiles
-from colsight.session import materialize, spread
+from colsight.operators.quantiles import exact_quantiles
+from colsight.session import materialize
 
 TREES = 100
 TREE_ROWS = 256
 
-#: Up to this many rows each row may enter any tree; above it a pooled row goes to one tree only.
-_DIRECT_ROWS = 200_000
-
 _NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, size int"
 _EULER = 0.5772156649015329
 
@@ -63,40 +60,40 @@ class Forest:
     tree_rows: int
 
 
-def _tree_samples(numbers: DataFrame, n_rows: int, trees: int, tree_rows: int, seed: int) -> DataFrame:
-    """Rows with a tree number and a draw; each tree receives a few times ``tree_rows`` rows at most."""
-    drawn = numbers.withColumn("draw", F.rand(seed))
-    if n_rows <= _DIRECT_ROWS:
-        share = min(1.0, 4.0 * tree_rows / n_rows)
-        all_trees = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-        return (
-            numbers.withColumn("tree", all_trees).withColumn("draw", F.rand(seed)).where(F.col("draw") < share)
-        )
-    share = min(1.0, 4.0 * tree_rows * trees / n_rows)
-    return drawn.where(F.col("draw") < share).withColumn("tree", F.floor(F.rand(seed + 1) * trees).cast("int"))
+def _tree_samples(rows: DataFrame, n_rows: int, trees: int, tree_rows: int, seed: int) -> DataFrame:
+    """Rows with a tree number and a draw, a seeded hash of the row's ``key`` and the tree.
+
+    A tree takes the lowest draws. Only those below a bound reach it that leaves it four times as many as it takes.
+    """
+    bound = int(min(1.0, 4.0 * tree_rows / n_rows) * 2.0**62)
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.struct(
+        tree.alias("tree"), F.shiftrightunsigned(F.xxhash64("key", tree, F.lit(seed)), 2).alias("draw")
+    ))
+    low = F.filter(draws, lambda d: d["draw"] <= bound)
+    return rows.withColumn("_low", low).select("*", F.inline("_low")).drop("_low", "key")
 
 
 def fit_forest(
-    df: DataFrame, names: list[str], *, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 42,
-    in_task_rows: int = SMALL_ROWS,
+    df: DataFrame, names: list[str], *, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 42
 ) -> Forest | None:
     """Trees on random rows, gaps filled with the column's median; None without columns or below five rows.
 
     Only sampled rows are shuffled; one task per tree sees about a thousand of them and keeps the ``tree_rows`` lowest
-    draws. The same seed on the same files gives the same forest.
+    draws, which are hashes of whole rows: the same seed on the same rows gives the same forest in any layout.
     """
     if not names:
         return None
     n_rows = df.count()
     if n_rows < 5:
         return None
-    medians = exact_quantiles(df, names, [0.5], n_rows=n_rows, in_task_rows=in_task_rows)
+    medians = exact_quantiles(df, names, [0.5])
     fills = [float(medians[n][0] or 0.0) for n in names]
     numbers = df.select(
-        *(F.coalesce(as_number(df, n), F.lit(f)).alias(f"x{i}") for i, (n, f) in enumerate(zip(names, fills)))
+        F.xxhash64(*(col(c) for c in df.columns)).alias("key"),
+        *(F.coalesce(as_number(df, n), F.lit(f)).alias(f"x{i}") for i, (n, f) in enumerate(zip(names, fills))),
     )
     size = min(tree_rows, n_rows)
-    values = numbers.columns
+    values = numbers.columns[1:]
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         tree = int(rows["tree"].iloc[0])
@@ -179,18 +176,19 @@ class Outliers:
 
 def find_outliers(
     df: DataFrame, names: list[str], *, contamination: float = 0.05, trees: int = TREES, seed: int = 42,
-    in_task_rows: int = SMALL_ROWS,
+    partitions: int | None = None,
 ) -> Outliers | None:
     """Rows whose isolation score lies below the ``contamination`` quantile of all scores.
 
     Every row is scored. The scored table is written once, so finding the cut reads the score column only and the
-    forest does not run twice.
+    forest does not run twice. ``partitions`` deals the rows anew before scoring, for a table of few splits.
     """
-    forest = fit_forest(df, names, trees=trees, seed=seed, in_task_rows=in_task_rows)
+    forest = fit_forest(df, names, trees=trees, seed=seed)
     if forest is None:
         return None
-    scored = materialize(score_rows(spread(df), forest), "isolation")
-    threshold = exact_quantiles(scored, ["isolation"], [contamination], in_task_rows=in_task_rows)["isolation"][0]
+    dealt = df.repartition(partitions) if partitions else df
+    scored = materialize(score_rows(dealt, forest), "isolation")
+    threshold = exact_quantiles(scored, ["isolation"], [contamination])["isolation"][0]
     rows = (
         scored.withColumn("anomaly_score", F.col("isolation") - F.lit(threshold))
         .withColumn("is_outlier", F.col("anomaly_score") < 0)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colsight.functions.dates import DATE_FORMATS, has_date_separator, parse_timestamp
+from colsight.functions.dates import DATE_FORMATS, has_date_separator, reads_as_date
 from colsight.functions.numbers import (
     FRACTIONAL,
     INTEGRAL,
@@ -96,7 +96,7 @@ def _date_like(df: DataFrame, name: str, formats) -> Column:
     """Whether a string cell reads as a date; without a date-like name it must also hold a separator."""
     if not isinstance(df.schema[name].dataType, T.StringType):
         return F.lit(None).cast("boolean")
-    reads = parse_timestamp(col(name), formats).isNotNull()
+    reads = reads_as_date(col(name), formats)
     return reads if _date_named(name) else has_date_separator(col(name)) & reads
 
 

@@ -1,190 +1,156 @@
-"""Exact quantiles that never need all values of a group in one task."""
+"""Exact quantiles that never need all values of a column or group in one task; one method for every size."""
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsight.functions.numbers import as_number, col
+from colsight.session import materialize
 
-#: Up to this many rows in the largest group the built-in exact percentile is used. It keeps the values of a group in
-#: memory, for up to 128 groups at a time.
-IN_TASK_ROWS = 300_000
+#: Rounds end once this many values or fewer lie between the bounds of a wanted rank; those are put in order.
+PICK_ROWS = 10_000
 
-#: The same for whole columns, where narrowing by a sketch is soon faster.
-SMALL_ROWS = 100_000
-
-#: Narrowing stops once this many values or fewer are left to be put in order.
-PICK_ROWS = 1_000_000
-
-_SPLITS = 1000
 _ACCURACY = 10_000
 
 
-def _split_points(df: DataFrame, names: list[str]) -> dict[str, list[float]]:
-    """Ascending cut points per column from a sketch; they only balance the buckets, so their error does not matter."""
-    probs = [i / _SPLITS for i in range(1, _SPLITS)]
-    row = df.agg(*(F.percentile_approx(F.col(n), probs, 10 * _SPLITS).alias(n) for n in names)).first()
-    return {n: sorted(set(row[n] or [])) for n in names}
+@dataclass
+class _Search:
+    """The value of one rank (counted from 0) of one column: it lies strictly between ``low`` and ``high``."""
 
+    column: str
+    rank: int
+    below: int  # values up to and including ``low``
+    inside: int
+    low: float | None = None
+    high: float | None = None
 
-def _bucketed(df: DataFrame, names: list[str], splits: dict[str, list[float]]) -> DataFrame:
-    """Adds ``_b_<name>``: the value's bucket; nulls stay out."""
-    for name in names:
-        edges = [-float("inf"), *(splits[name] or [0.0]), float("inf")]
-        df = Bucketizer(splits=edges, inputCol=name, outputCol=f"_b_{name}", handleInvalid="keep").transform(df)
-    return df
+    def between(self):
+        value, test = F.col(self.column), F.col(self.column).isNotNull()
+        if self.low is not None:
+            test = test & (value > self.low)
+        if self.high is not None:
+            test = test & (value < self.high)
+        return test
 
 
-def _ranked(cells: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
-    """Quantiles by rank of ``cells(keys..., bucket, value)``.
+def _searched(numbers: DataFrame, searches: list[_Search]) -> dict[tuple[str, int], float]:
+    """The wanted order statistics, by rounds of two scans and one that picks.
 
-    Equal values are counted first; bucket totals then tell which bucket holds a rank, and only that bucket's values
-    are put in order. A group of any size is thus spread over all buckets.
+    A round sketches the values between the bounds of each rank, and counts what lies below, at and between two sketched
+    values close to it. Either the rank falls on one of them, or they are its new bounds, which hold about a thousandth of
+    the values before; a value that many rows share is never between bounds again. Nothing is shuffled but sums.
     """
-    same = [F.col(k) for k in keys]
-    counted = cells.groupBy(*keys, "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
-    totals = counted.groupBy(*keys, "bucket").agg(F.sum("n").alias("bucket_n"))
-    group = Window.partitionBy(*same)
-    upto = F.sum("bucket_n").over(group.orderBy("bucket"))
-    rank = F.col("p") * (F.col("group_n") - 1)
-    places = (
-        totals.withColumn("before", upto - F.col("bucket_n"))
-        .withColumn("group_n", F.sum("bucket_n").over(group))
-        .withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in probs))))
-        .withColumn("low", F.floor(rank))
-        .withColumn("high", F.ceil(rank))
-        .where((F.col("before") <= F.col("high")) & (F.col("before") + F.col("bucket_n") > F.col("low")))
-        .select(*keys, "bucket", "p", "before", "low", "high", (rank - F.floor(rank)).alias("fraction"))
-    )
-    condition = reduce(
-        lambda a, b: a & b, (F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in [*keys, "bucket"])
-    )
-    hit = counted.alias("c").join(places.alias("t"), condition).select("c.*", "p", "before", "low", "high", "fraction")
-    order = Window.partitionBy(*same, "bucket", "p").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    seen = hit.withColumn("seen", F.col("before") + F.sum("n").over(order))
-    found = seen.groupBy(*keys, "p", "fraction").agg(
-        F.min(F.when(F.col("seen") > F.col("low"), F.col("value"))).alias("a"),
-        F.min(F.when(F.col("seen") > F.col("high"), F.col("value"))).alias("b"),
-    )
-    return found.select(*keys, "p", ((1 - F.col("fraction")) * F.col("a") + F.col("fraction") * F.col("b")).alias("q"))
-
-
-def _narrowed(numbers: DataFrame, probs: list[float]) -> dict[str, list[float | None]]:
-    """Quantiles by rounds of two scans, then one that picks.
-
-    A round sketches the values inside the current bounds of each wanted rank and moves the bounds close to it, keeping
-    about a thousandth of the rows; the second scan counts what lies below and inside. Rounds end when so few rows are
-    left that one task can order them.
-    """
-    wanted = [(v, k) for v in numbers.columns for k in range(len(probs))]
-    bounds: dict[tuple, tuple[float, float]] = {}
-    place = {(v, k): probs[k] for v, k in wanted}
+    found: dict[tuple[str, int], float] = {}
     slack = 4.0 / _ACCURACY
-    done, found, picks, hot = set(), {}, {}, set()
-
-    def inside(key):
-        value = F.col(key[0])
-        return value.between(*bounds[key]) if key in bounds else value.isNotNull()
-
-    while open_keys := [key for key in wanted if key not in done]:
-        ends = {key: [min(1.0, max(0.0, place[key] + d)) for d in (-slack, slack)] for key in open_keys}
-        sketched = numbers.agg(
-            *(F.percentile_approx(F.when(inside(key), F.col(key[0])), ends[key], _ACCURACY) for key in open_keys)
-        ).first()
-        before = dict(bounds)
-        bounds.update({key: tuple(pair) for key, pair in zip(open_keys, sketched) if pair})
-        done |= {key for key in open_keys if key not in bounds}
-        open_keys = [key for key in open_keys if key in bounds]
-        if not open_keys:
-            break
-        counts = numbers.agg(
-            *(x for key in open_keys for x in
-              (F.count(key[0]), F.count_if(F.col(key[0]) < bounds[key][0]), F.count_if(inside(key))))
-        ).first()
-        for at, key in enumerate(open_keys):
-            total, below, n = counts[3 * at : 3 * at + 3]
-            rank, (low, high) = probs[key[1]] * (total - 1), bounds[key]
-            first, last = math.floor(rank) - below, math.ceil(rank) - below
-            if not 0 <= first <= last < n or (before.get(key) == bounds[key] and low < high and n > PICK_ROWS):
-                hot.add(key)
-            elif low == high:
-                found[key] = low
-            elif n <= PICK_ROWS:
-                picks[key] = (first, last, rank - math.floor(rank))
+    while wide := [s for s in searches if (s.column, s.rank) not in found and s.inside > PICK_ROWS]:
+        ends = [
+            [min(1.0, max(0.0, (s.rank - s.below) / s.inside + d)) for d in (-slack, slack)] for s in wide
+        ]
+        near = numbers.agg(*(
+            F.percentile_approx(F.when(s.between(), F.col(s.column)), e, _ACCURACY) for s, e in zip(wide, ends)
+        )).first()
+        sums = []
+        for s, (a, b) in zip(wide, near):
+            value, inside = F.col(s.column), s.between()
+            tests = [value < a, value == a, (value > a) & (value < b), (value == b) & (value != a)]
+            sums += [F.count_if(inside & t) for t in tests]
+        counts = numbers.agg(*sums).first()
+        for k, (s, (a, b)) in enumerate(zip(wide, near)):
+            less, at_a, middle, at_b = counts[4 * k : 4 * k + 4]
+            place = s.rank - s.below
+            if place < less:
+                s.high, s.inside = a, less
+            elif place < less + at_a:
+                found[s.column, s.rank] = a
+            elif place < less + at_a + middle:
+                s.low, s.high, s.below, s.inside = a, b, s.below + less + at_a, middle
+            elif place < less + at_a + middle + at_b:
+                found[s.column, s.rank] = b
             else:
-                place[key] = (rank - below) / (n - 1)
-                continue
-            done.add(key)
-
-    if picks:
-        ordered = {key: F.sort_array(F.collect_list(F.when(inside(key), F.col(key[0])))) for key in picks}
-        row = numbers.agg(
-            *((1 - share) * ordered[key][a] + share * ordered[key][b] for key, (a, b, share) in picks.items())
-        ).first()
-        found.update(dict(zip(picks, row)))
-    result = {v: [found.get((v, k)) for k in range(len(probs))] for v in numbers.columns}
-    # Where bounds stop moving, as around values that many rows share, equal values are counted instead.
-    rest = sorted({v for v, _ in hot})
-    result.update(_spread_out(numbers.select(*rest), probs) if rest else {})
-    return result
-
-
-def _spread_out(numbers: DataFrame, probs: list[float]) -> dict[str, list[float | None]]:
-    """Quantiles of several columns by counting equal values bucket by bucket; holds for any number of rows."""
-    values = numbers.columns
-    cells = F.array(
-        *(
-            F.struct(F.lit(v).alias("column"), F.col(f"_b_{v}").alias("bucket"), F.col(v).alias("value"))
-            for v in values
-        )
-    )
-    bucketed = _bucketed(numbers, values, _split_points(numbers, values))
-    long = bucketed.select(F.inline(cells)).where(F.col("value").isNotNull())
-    found = {(r["column"], r["p"]): r["q"] for r in _ranked(long, ["column"], probs).collect()}
-    return {v: [found.get((v, float(p))) for p in probs] for v in values}
+                s.low, s.below = b, s.below + less + at_a + middle + at_b
+                s.inside -= less + at_a + middle + at_b
+    left = [s for s in searches if (s.column, s.rank) not in found]
+    if left:
+        row = numbers.agg(*(
+            F.get(F.sort_array(F.collect_list(F.when(s.between(), F.col(s.column)))), F.lit(s.rank - s.below))
+            for s in left
+        )).first()
+        found.update({(s.column, s.rank): value for s, value in zip(left, row)})
+    return found
 
 
 def exact_quantiles(
-    df: DataFrame, names: list[str], probs: list[float], *, n_rows: int | None = None, in_task_rows: int = SMALL_ROWS
+    df: DataFrame, names: list[str], probs: list[float], *, n_rows: int | None = None
 ) -> dict[str, list[float | None]]:
     """Interpolated quantiles of numeric columns as plain numbers, nulls ignored; an all-null column gives None.
 
-    Up to ``in_task_rows`` rows the built-in aggregate is used. Beyond, sketches narrow down the values around each
-    quantile a thousandfold per round, until at most a million are left to be put in order.
+    Sketches narrow down the values around each wanted rank until at most ``PICK_ROWS`` are left to be put in order.
+    ``n_rows`` is not needed and kept for callers that know it.
     """
     if not names:
         return {}
     numbers = df.select(*(as_number(df, n).alias(f"v{i}") for i, n in enumerate(names)))
-    values = numbers.columns
-    if n_rows is None:
-        n_rows = numbers.count()
-    if n_rows > in_task_rows:
-        found = _narrowed(numbers, probs)
-    else:
-        row = numbers.agg(*(F.percentile(F.col(v), probs).alias(v) for v in values)).first()
-        found = {v: list(row[v]) if row[v] is not None else [None] * len(probs) for v in values}
-    return {n: found[v] for n, v in zip(names, values)}
-
-
-def grouped_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], *, in_task_rows: int = IN_TASK_ROWS
-) -> DataFrame:
-    """``keys..., quantiles array<double>`` per group, in the order of ``probs``; null keys form a group."""
-    named = df.select(*(col(k) for k in keys), as_number(df, value).alias("value")).where(F.col("value").isNotNull())
-    largest = named.groupBy(*(col(k) for k in keys)).count().agg(F.max("count")).first()[0] or 0
-    if largest <= in_task_rows:
-        return named.groupBy(*(col(k) for k in keys)).agg(F.percentile("value", probs).alias("quantiles"))
-    plain = named.toDF(*(f"g{i}" for i in range(len(keys))), "value")
-    groups = plain.columns[:-1]
-    bucketed = _bucketed(plain, ["value"], _split_points(plain, ["value"])).withColumnRenamed("_b_value", "bucket")
-    ranked = _ranked(bucketed, groups, probs).groupBy(*groups).agg(
-        F.array_sort(F.collect_list(F.struct("p", "q"))).alias("pairs")
+    totals = numbers.agg(*(F.count(v) for v in numbers.columns)).first()
+    wanted = {}
+    for v, total in zip(numbers.columns, totals):
+        for p in probs if total else ():
+            exact = p * (total - 1)
+            for rank in {math.floor(exact), math.ceil(exact)}:
+                wanted[v, rank] = _Search(v, rank, 0, total)
+    found = _searched(numbers, list(wanted.values())) if wanted else {}
+
+    def quantile(v: str, total: int, p: float) -> float | None:
+        if not total:
+            return None
+        exact = p * (total - 1)
+        low, share = math.floor(exact), exact - math.floor(exact)
+        return (1 - share) * found[v, low] + share * found[v, math.ceil(exact)] if share else found[v, low]
+
+    return {n: [quantile(v, t, p) for p in probs] for n, v, t in zip(names, numbers.columns, totals)}
+
+
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
+    """``keys..., quantiles array<double>`` per group, in the order of ``probs``; null keys form a group.
+
+    Equal values are counted first. The counts are then dealt by ranges of key and value, whatever the sizes of groups,
+    so a large group, or one whose values lie close together, fills as many tasks as it needs. Totals per task tell which
+    of them hold a wanted rank, and only those are put in order.
+    """
+    groups = [f"g{i}" for i in range(len(keys))]
+    plain = df.select(*(col(k).alias(g) for k, g in zip(keys, groups)), as_number(df, value).alias("value"))
+    counted = plain.where(F.col("value").isNotNull()).groupBy(*groups, "value").agg(F.count(F.lit(1)).alias("n"))
+    dealt = counted.repartitionByRange(*groups, "value").withColumn("part", F.spark_partition_id())
+    placed = materialize(dealt, "quantiles")
+
+    group = Window.partitionBy(*groups)
+    totals = placed.groupBy(*groups, "part").agg(F.sum("n").alias("part_n"))
+    rank = F.col("p") * (F.col("group_n") - 1)
+    places = (
+        totals.withColumn("before", F.sum("part_n").over(group.orderBy("part")) - F.col("part_n"))
+        .withColumn("group_n", F.sum("part_n").over(group))
+        .withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in probs))))
+        .withColumn("low", F.floor(rank))
+        .withColumn("high", F.ceil(rank))
+        .where((F.col("before") <= F.col("high")) & (F.col("before") + F.col("part_n") > F.col("low")))
+        .select(*groups, "part", "p", "before", "low", "high", (rank - F.floor(rank)).alias("fraction"))
+    )
+    same = reduce(lambda a, b: a & b, (F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in [*groups, "part"]))
+    hit = placed.alias("c").join(places.alias("t"), same).select("c.*", "p", "before", "low", "high", "fraction")
+    order = Window.partitionBy(*groups, "part", "p").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    seen = hit.withColumn("seen", F.col("before") + F.sum("n").over(order))
+    found = seen.groupBy(*groups, "p", "fraction").agg(
+        F.min(F.when(F.col("seen") > F.col("low"), F.col("value"))).alias("a"),
+        F.min(F.when(F.col("seen") > F.col("high"), F.col("value"))).alias("b"),
+    )
+    between = F.when(F.col("fraction") == 0, F.col("a")).otherwise(
+        (1 - F.col("fraction")) * F.col("a") + F.col("fraction") * F.col("b")
     )
-    by_prob = F.map_from_entries("pairs")
-    picked = F.array(*(F.try_element_at(by_prob, F.lit(float(p))) for p in probs))
-    return ranked.select(*(F.col(g).alias(k) for g, k in zip(groups, keys)), picked.alias("quantiles"))
+    by_prob = F.map_from_entries(F.collect_list(F.struct("p", between)))
+    picked = found.groupBy(*groups).agg(by_prob.alias("q"))
+    quantiles = F.array(*(F.try_element_at("q", F.lit(float(p))) for p in probs))
+    return picked.select(*(F.col(g).alias(k) for g, k in zip(groups, keys)), quantiles.alias("quantiles"))

@@ -13,20 +13,16 @@ from colsight.operators.clean import Cleaned
 from colsight.operators.cluster import Segments
 from colsight.operators.isolation import Outliers, outlier_summary
 from colsight.operators.profile import categorical_stats
-from colsight.operators.quantiles import SMALL_ROWS, exact_quantiles
-from colsight.operators.retrieval import TextIndex, build_index
-
-# How many columns the distribution chunk describes.
-NUMERIC_COLUMNS = 6
-CATEGORY_COLUMNS = 4
+from colsight.operators.quantiles import exact_quantiles
+from colsight.operators.retrieval import TextIndex, build_index, search_index
 
 CHUNK_SCHEMA = "chunk_id string, title string, category string, content string, metadata map<string,string>"
 
 
-def numeric_stats(df: DataFrame, names: list[str], *, in_task_rows: int = SMALL_ROWS) -> DataFrame:
+def numeric_stats(df: DataFrame, names: list[str]) -> DataFrame:
     """Mean, median, minimum, maximum per column, in the order given."""
     values = [as_number(df, n) for n in names]
-    medians = exact_quantiles(df, names, [0.5], in_task_rows=in_task_rows)
+    medians = exact_quantiles(df, names, [0.5])
     wide = df.agg(
         *(f(v).alias(f"{key}{i}") for i, v in enumerate(values) for key, f in
           (("mean", F.avg), ("min", F.min), ("max", F.max)))
@@ -85,7 +81,6 @@ def _chunk(content: DataFrame, chunk_id: str, title: str, category: str, **metad
 def knowledge_chunks(
     cleaned: Cleaned, pairs: DataFrame | None = None, segments: Segments | None = None,
     explained: list[float] | None = None, silhouette: float | None = None, outliers: Outliers | None = None,
-    *, in_task_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Six rows of text about a table: ingestion, distributions, correlations, segments, outliers, levers.
 
@@ -115,13 +110,13 @@ def knowledge_chunks(
 
     texts = []
     if roles.numeric:
-        stats = numeric_stats(data, roles.numeric[:NUMERIC_COLUMNS], in_task_rows=in_task_rows)
+        stats = numeric_stats(data, roles.numeric)
         line = F.format_string(
             "%s: mean %,.2f, median %,.2f, range %,.2f to %,.2f", "column", "mean", "median", "minimum", "maximum"
         )
         texts.append(F.concat(F.lit("Numeric columns:\n"), _lines(stats, F.col("position"), line).scalar()))
     if roles.categorical:
-        stats = categorical_stats(data, roles.categorical[:CATEGORY_COLUMNS])
+        stats = categorical_stats(data, roles.categorical)
         line = F.format_string(
             "%s: %,d distinct values, most often %s (%.1f%%, %,d rows)",
             F.col("column"), F.col("n_unique"), F.coalesce("top_value", F.lit("none")),
@@ -200,6 +195,12 @@ def index_chunks(chunks: DataFrame) -> TextIndex:
     return build_index(chunks.withColumn("_all", F.concat_ws(" ", "title", "category", "content")), "chunk_id", "_all")
 
 
+def cited(index: TextIndex, chunks: DataFrame, question: str, k: int | None = 3) -> DataFrame:
+    """The chunks that answer a question best, with title and text: (chunk_id, title, content, cosine, score)."""
+    hits = search_index(index, question, k=k)
+    return hits.join(chunks, hits["doc"] == chunks["chunk_id"]).select("chunk_id", "title", "content", "cosine", "score")
+
+
 def executive_brief(chunks: DataFrame) -> DataFrame:
     """One row with a narrative and the chunk texts in named columns."""
     def text(chunk_id: str) -> Column:

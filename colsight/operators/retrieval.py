@@ -8,16 +8,12 @@ from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsight.functions.numbers import col
 from colsight.functions.text import tokens
-from colsight.session import materialize, spread
-
-#: Vocabulary size of the classic index; None keeps every term.
-MAX_TERMS = 1000
+from colsight.session import materialize
 
 #: Scores below this are shown as this.
 SCORE_FLOOR = 0.1
@@ -25,29 +21,35 @@ SCORE_FLOOR = 0.1
 #: Score given to the first rows when there is nothing to search for.
 EMPTY_QUERY_SCORE = 0.85
 
-#: Vocabularies capped at this size or less are broadcast.
-_BROADCAST_TERMS = 100_000
-
 #: Terms that hold at least this share of all (document, term) pairs; there are at most 1/share of them.
 _HOT_TERM_SHARE = 1e-4
 
 
+#: English words that say little about a text: articles, pronouns, prepositions, conjunctions, auxiliaries.
+STOP_WORDS = tuple("""
+a about after again all also an and any are as at be because been before being between both but by can could did do does
+during each few for from had has have he her here him his how i if in into is it its just may me more most my no nor not
+of on only or other our out over own same she should so some such than that the their them then there these they this
+those through to too under until up very was we were what when where which while who whom why will with would you your
+""".split())
+
+
 def english_stop_words() -> list[str]:
-    """Spark's English list; pass another sequence to the functions below to use that instead."""
-    return list(StopWordsRemover.loadDefaultStopWords("english"))
+    """The default list; pass another sequence to the functions below to use that instead."""
+    return list(STOP_WORDS)
 
 
 def term_counts(docs: DataFrame, key: str, text: str, stop_words: Sequence[str] = ()) -> DataFrame:
     """``doc, term, tf``; a document's equal terms are combined before anything is shuffled."""
-    texts = spread(docs.select(col(key).alias("doc"), col(text).alias("text")))
+    texts = docs.select(col(key).alias("doc"), col(text).alias("text"))
     words = texts.select("doc", F.explode(tokens(F.col("text"))).alias("term"))
     if stop_words:
         words = words.where(~F.col("term").isin(*stop_words))
     return words.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(counts: DataFrame, n_docs: int, max_terms: int | None = MAX_TERMS) -> DataFrame:
-    """``term, df, idf``: the ``max_terms`` terms most frequent in the corpus with smooth idf."""
+def vocabulary(counts: DataFrame, n_docs: int, max_terms: int | None = None) -> DataFrame:
+    """``term, df, idf``: all terms, or the ``max_terms`` most frequent in the corpus, with smooth idf."""
     terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     if max_terms is not None:
         terms = terms.orderBy(F.desc("total"), "term").limit(max_terms)
@@ -55,15 +57,12 @@ def vocabulary(counts: DataFrame, n_docs: int, max_terms: int | None = MAX_TERMS
     return terms.select("term", "df", idf.alias("idf"))
 
 
-def _with_idf(counts: DataFrame, terms: DataFrame, max_terms: int | None) -> DataFrame:
+def _with_idf(counts: DataFrame, terms: DataFrame) -> DataFrame:
     """Joins idf to the counts.
 
-    A vocabulary capped at no more than a hundred thousand terms is broadcast. A larger or open one is not, and its
-    frequent terms are hot join keys, so terms with at least 0.01 % of all pairs, at most ten thousand of them, are broadcast, and only
-    the others, none of which is hot, are joined by shuffle.
+    Frequent terms are hot join keys, so terms with at least 0.01 % of all pairs, at most ten thousand of them, are
+    broadcast, and only the others are joined by shuffle.
     """
-    if max_terms is not None and max_terms <= _BROADCAST_TERMS:
-        return counts.join(F.broadcast(terms), "term")
     hot = F.col("df") >= terms.agg(F.sum("df")).scalar() * _HOT_TERM_SHARE
     frequent = F.broadcast(terms.where(hot))
     rare = terms.where(~hot)
@@ -74,35 +73,35 @@ def _with_idf(counts: DataFrame, terms: DataFrame, max_terms: int | None) -> Dat
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Written term counts of a table of texts and its vocabulary; build once, search often."""
+    """Written weights of a table of texts and its vocabulary; build once, search often."""
 
     documents: DataFrame
-    counts: DataFrame
+    weights: DataFrame
     terms: DataFrame
     stop_words: tuple[str, ...]
-    max_terms: int | None
 
 
 def build_index(
     docs: DataFrame, key: str, text: str, *, stop_words: Sequence[str] | None = None,
-    max_terms: int | None = MAX_TERMS,
+    max_terms: int | None = None,
 ) -> TextIndex:
-    """Tokenises every text once and writes the counts per (document, term) to the shared folder.
+    """Tokenises every text once and writes ``doc, term, tf, weight``, ranged and sorted by term.
 
-    Vocabulary, weights and searches read that table by column; without it each of them would tokenise and shuffle all
-    texts again.
+    Weights have unit length per document. A search so reads the row groups of its terms alone, whatever the corpus.
     """
     stop_words = tuple(english_stop_words() if stop_words is None else stop_words)
     counts = materialize(term_counts(docs, key, text, stop_words), "term-counts")
     terms = materialize(vocabulary(counts, docs.count(), max_terms), "vocabulary")
-    return TextIndex(docs.select(col(key).alias("doc")), counts, terms, stop_words, max_terms)
+    raw = _with_idf(counts, terms).withColumn("raw", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc")))
+    weighed = raw.select("doc", "term", "tf", (F.col("raw") / norm).alias("weight"))
+    weights = materialize(weighed.repartitionByRange("term", "doc").sortWithinPartitions("term"), "weights")
+    return TextIndex(docs.select(col(key).alias("doc")), weights, terms, stop_words)
 
 
 def index_weights(index: TextIndex) -> DataFrame:
     """``doc, term, tf, weight`` with unit length per document."""
-    raw = _with_idf(index.counts, index.terms, index.max_terms).withColumn("raw", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc")))
-    return raw.select("doc", "term", "tf", (F.col("raw") / norm).alias("weight"))
+    return index.weights
 
 
 def tfidf_weights(docs: DataFrame, key: str, text: str, **options) -> DataFrame:
@@ -121,37 +120,32 @@ def search_index(
 ) -> DataFrame:
     """``doc, cosine, score``: the ``k`` best documents for a query (all of them with ``k=None``).
 
-    Length and product of each document are two sums in one aggregate, so the shuffle carries one row per document and
-    task, not the weights. ``score`` is the cosine raised to ``floor``. An empty query gives the first ``k`` rows.
+    Only the weights of the query's terms are read, by a filter the scan applies, and summed per document. Documents
+    without any of them are looked at only if all are wanted or fewer than ``k`` have one. ``score`` is the cosine raised
+    to ``floor``. An empty query gives the first ``k`` rows.
     """
-    everything = index.documents.distinct()
     if not query.strip():
-        return _first_documents(everything, k)
+        return _first_documents(index.documents.distinct(), k)
     asked = query_terms(query, index.stop_words)
     known = (
         {r["term"]: r["idf"] for r in index.terms.where(F.col("term").isin(*asked)).collect()} if asked else {}
     )
     weights = {t: asked[t] * idf for t, idf in known.items()}
     length = math.sqrt(sum(w * w for w in weights.values()))
+    score = F.greatest(F.col("cosine"), F.lit(floor)).alias("score")
     if not length:
-        scored = everything.withColumn("cosine", F.lit(0.0))
-    else:
-        wanted = F.create_map(*(x for t, w in weights.items() for x in (F.lit(t), F.lit(w / length))))
-        raw = F.col("tf") * F.col("idf")
-        per_doc = (
-            _with_idf(index.counts, index.terms, index.max_terms)
-            .groupBy("doc")
-            .agg(
-                F.sum(raw * F.coalesce(F.try_element_at(wanted, F.col("term")), F.lit(0.0))).alias("product"),
-                F.sum(raw * raw).alias("square"),
-            )
-            .select("doc", F.try_divide(F.col("product"), F.sqrt("square")).alias("cosine"))
-        )
-        # Documents without any known term have no row above; they score zero.
-        scored = everything.join(per_doc, "doc", "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
-    ranked = scored.orderBy(F.desc("cosine"), "doc")
-    ranked = ranked if k is None else ranked.limit(k)
-    return ranked.withColumn("score", F.greatest(F.col("cosine"), F.lit(floor)))
+        rest = index.documents.distinct().withColumn("cosine", F.lit(0.0)).orderBy("doc")
+        return (rest if k is None else rest.limit(k)).select("doc", "cosine", score)
+    wanted = F.create_map(*(x for t, w in weights.items() for x in (F.lit(t), F.lit(w / length))))
+    hits = (
+        index.weights.where(F.col("term").isin(*weights)).groupBy("doc")
+        .agg(F.sum(F.col("weight") * F.try_element_at(wanted, F.col("term"))).alias("cosine"))
+    )
+    best = hits if k is None else hits.orderBy(F.desc("cosine"), "doc").limit(k)
+    if k is None or (missing := k - best.count()) > 0:
+        rest = index.documents.distinct().join(hits, "doc", "left_anti").withColumn("cosine", F.lit(0.0))
+        best = best.unionByName(rest if k is None else rest.orderBy("doc").limit(missing))
+    return best.orderBy(F.desc("cosine"), "doc").select("doc", "cosine", score)
 
 
 def _first_documents(documents: DataFrame, k: int | None) -> DataFrame:

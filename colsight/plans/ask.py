@@ -12,9 +12,9 @@ from colsight.functions.numbers import as_number, col
 from colsight.operators.charts import histogram, points
 from colsight.operators.nlfilter import Filtered, Rule, best_column, filter_rows
 from colsight.operators.profile import Roles, hygiene_score
-from colsight.operators.quantiles import SMALL_ROWS, exact_quantiles
+from colsight.operators.quantiles import exact_quantiles
+from colsight.operators.report import cited
 from colsight.operators.retrieval import TextIndex, search_index
-from colsight.operators.sampling import hashed_sample
 
 # Words that reveal what a question asks for, in order of precedence.
 INTENTS = {
@@ -30,11 +30,9 @@ INTENTS = {
 TREND_WORDS = ("trend", "line", "time")
 HISTOGRAM_WORDS = ("histogram", "distribution")
 
-#: Rows in ranked tables and in a filter answer's listing; bins of a filter answer's histogram.
+#: Rows in ranked tables; bins of a filter answer's histogram.
 TOP_ROWS = 10
-LISTED_ROWS = 50
 FILTER_BINS = 20
-FILTER_FIGURES = 4
 
 
 @dataclass(frozen=True)
@@ -77,10 +75,10 @@ def top_ranking(df: DataFrame, category: str, number: str, n: int = TOP_ROWS) ->
     )
 
 
-def column_stats(df: DataFrame, name: str, *, in_task_rows: int = SMALL_ROWS) -> DataFrame:
+def column_stats(df: DataFrame, name: str) -> DataFrame:
     """Sum, mean, median, extremes, sample deviation and count of one column."""
     value = as_number(df, name)
-    median = exact_quantiles(df, [name], [0.5], in_task_rows=in_task_rows)[name][0]
+    median = exact_quantiles(df, [name], [0.5])[name][0]
     return df.agg(
         F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("minimum"),
         F.max(value).alias("maximum"), F.stddev_samp(value).alias("std"), F.count(value).alias("n"),
@@ -118,10 +116,10 @@ def run_sql(df: DataFrame, text: str, view: str = "data") -> DataFrame:
 
 
 def filter_figures(found: Filtered, numeric: list[str]) -> DataFrame:
-    """Counts of a filter with mean, minimum and maximum of the first numeric columns of its rows, in one scan."""
+    """Counts of a filter with mean, minimum and maximum of the numeric columns of its rows, in one scan."""
     kept = F.lit(True) if found.condition is None else F.coalesce(found.condition, F.lit(False))
     aggregates = [F.count(F.lit(1)).alias("original_count"), F.count_if(kept).alias("filtered_count")]
-    for name in numeric[:FILTER_FIGURES]:
+    for name in numeric:
         value = F.when(kept, as_number(found.source, name))
         aggregates += [
             F.avg(value).alias(f"mean_{name}"), F.min(value).alias(f"min_{name}"), F.max(value).alias(f"max_{name}")
@@ -146,19 +144,21 @@ def _chart(df: DataFrame, roles: Roles, question: str, category: str | None, num
 
 
 def ask(
-    df: DataFrame, roles: Roles, question: str, *, index: TextIndex | None = None,
+    df: DataFrame, roles: Roles, question: str, *, index: TextIndex | None = None, chunks: DataFrame | None = None,
     order_by: list[str] | None = None,
 ) -> Answer:
     """Route a question to an operator.
 
     Words count only whole (``transactions`` is no ``action``), SQL requests come first, and asking for a distribution
     gives a histogram even if there are categories. ``index`` holds the chunks to cite, see
-    :func:`colsight.operators.report.index_chunks`. ``order_by`` makes the listed rows of a filter repeatable; without
-    it the listing is the lowest row hashes.
+    :func:`colsight.operators.report.index_chunks`, and ``chunks`` their titles and texts. A filter's answer lists all its rows, lazily, in the order of
+    ``order_by`` if given; the caller limits them.
     """
     category = match_column(question, roles.categorical)
     number = match_column(question, roles.numeric)
-    citations = search_index(index, question) if index is not None else None
+    citations = None
+    if index is not None:
+        citations = search_index(index, question) if chunks is None else cited(index, chunks, question)
     intent = intent_of(question)
     if intent == "code" and category and number:
         text = top_sql(category, number)
@@ -175,11 +175,7 @@ def ask(
         return Answer("stats", table=column_stats(df, number), citations=citations)
     found = filter_rows(df, roles, question)
     if found.rules:
-        listed = (
-            found.data.orderBy(*(col(c) for c in order_by)).limit(LISTED_ROWS)
-            if order_by
-            else hashed_sample(found.data, LISTED_ROWS)
-        )
+        listed = found.data.orderBy(*(col(c) for c in order_by)) if order_by else found.data
         chart = histogram(found.data, roles.numeric[0], FILTER_BINS) if roles.numeric else None
         return Answer(
             "filter", table=listed, chart=chart, chart_kind="histogram" if chart is not None else None,

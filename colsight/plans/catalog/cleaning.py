@@ -15,7 +15,7 @@ from colsight.operators.clean import (
     fill_values,
     impute,
 )
-from colsight.operators.profile import Roles
+from colsight.operators.profile import Roles, profile
 from colsight.plans.catalog.base import (
     DIRTY_ROLES,
     DIRTY_SQL,
@@ -104,6 +104,34 @@ def date_coercion(spark, sf_dir):
     )
 
 
+SHAPES = (
+    ("dd/MM/yyyy", "%d/%m/%Y"), ("dd-MMM-yyyy", "%d-%b-%Y"), ("MMMM d, yyyy", "%B %-d, %Y"), ("yyyyMMdd", "%Y%m%d"),
+    ("yyyy.MM.dd", "%Y.%m.%d"), ("dd/MM/yy", "%d/%m/%y"), ("yyyy-MM-dd", "%Y-%m-%d"),
+)
+
+
+def _many_shapes(spark, sf_dir):
+    """Order dates in seven shapes, numeric ones day first, with white space around."""
+    key = F.col("o_orderkey") % len(SHAPES)
+    shape = F.coalesce(*(F.when(key == i, F.date_format("o_orderdate", s)) for i, (s, _) in enumerate(SHAPES)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("\t "), shape, F.lit(" \t")).alias("o_orderdate"))
+
+
+@query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders")
+def date_formats_mixed(spark, sf_dir):
+    """No date is lost, whatever its shape; the order of day and month is found for the column."""
+    return coerce_dates(_many_shapes(spark, sf_dir), ["o_orderdate"]).select(
+        "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")
+    )
+
+
+@query("SELECT 'o_orderdate' AS \"column\", 'date' AS role")
+def roles_day_first(spark, sf_dir):
+    """A column of day-first dates is a date column."""
+    day_first = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("o_orderdate"))
+    return profile(day_first).select("column", "role")
+
+
 CLEAN_SQL = f"""WITH {TIDY_SQL},
 cleaned AS (
   SELECT o_orderkey, o_custkey, coalesce(o_orderstatus, {mode_sql('tidy', 'o_orderstatus')}) AS o_orderstatus,
@@ -152,7 +180,8 @@ report AS (
   SELECT initial_rows, CAST(6 AS BIGINT) AS n_columns, final_rows, initial_rows - final_rows AS duplicates_removed,
          initial_nulls, numeric_imputed, categorical_imputed,
          numeric_imputed + categorical_imputed AS total_imputed, 3 * final_rows AS string_cells,
-         final_rows AS date_cells,
+         (SELECT count({date_sql('o_orderdate')}) FROM tidy) AS date_cells,
+         (SELECT count(o_orderdate) - count({date_sql('o_orderdate')}) FROM tidy) AS unreadable_dates,
          100.0 - initial_nulls * 100.0 / (6 * initial_rows) - (initial_rows - final_rows) * 5.0 / initial_rows
            AS raw_score
   FROM raw, filled)"""

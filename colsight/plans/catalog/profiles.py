@@ -172,7 +172,9 @@ def hygiene_score_orders(spark, sf_dir):
     return rounded(hygiene_score(dirty_orders(spark, sf_dir)), 6)
 
 
-NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
+NUMERIC = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+]
 
 
 @query(" UNION ALL ".join(

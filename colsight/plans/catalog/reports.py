@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from colsight.operators.clean import clean
+from colsight.operators.cluster import project, segments, silhouette_squared
 from colsight.operators.correlation import top_pairs
-from colsight.operators.report import executive_brief, index_chunks, knowledge_chunks, kpi_row
-from colsight.operators.retrieval import search_index
+from colsight.operators.isolation import find_outliers
+from colsight.operators.report import cited, executive_brief, index_chunks, knowledge_chunks, kpi_row
 from colsight.plans.catalog.base import DIRTY_ROLES, dirty_orders, query, rounded, table
 from colsight.plans.catalog.cleaning import REPORT_SQL
-from colsight.plans.catalog.models import _once
 from colsight.plans.diagnose import diagnose
+from colsight.session import materialize
 
 
 @query(f"""{REPORT_SQL}
@@ -24,11 +27,19 @@ def kpis_orders(spark, sf_dir):
 
 
 def _chunks(spark, sf_dir):
-    def build():
-        cleaned = clean(dirty_orders(spark, sf_dir), DIRTY_ROLES)
-        return knowledge_chunks(cleaned, top_pairs(cleaned.data, DIRTY_ROLES.numeric))
-
-    return _once(spark, sf_dir, "chunks", build)
+    """Chunks of a whole run over the orders, segments and outliers included."""
+    cleaned = clean(dirty_orders(spark, sf_dir), DIRTY_ROLES)
+    data, names = materialize(cleaned.data, "clean"), DIRTY_ROLES.numeric
+    cleaned = replace(cleaned, data=data)
+    found = segments(data, names, restarts=3)
+    projection = project(found.rows, names, found.scaling)
+    outliers = find_outliers(data, names)
+    return materialize(
+        knowledge_chunks(
+            cleaned, top_pairs(data, names), found, projection.explained, silhouette_squared(found.rows), outliers
+        ),
+        "chunks",
+    )
 
 
 @query()
@@ -43,12 +54,12 @@ def executive_brief_orders(spark, sf_dir):
 
 @query()
 def retrieve_chunks_orders(spark, sf_dir):
-    """Chunks that answer a question."""
-    index = _once(spark, sf_dir, "chunk-index", lambda: index_chunks(_chunks(spark, sf_dir)))
-    return rounded(search_index(index, "which columns are correlated"), 6)
+    """Chunks that answer a question, with their titles and texts."""
+    chunks = _chunks(spark, sf_dir)
+    return rounded(cited(index_chunks(chunks), chunks, "which columns are correlated"), 6)
 
 
 @query()
 def diagnosis_events(spark, sf_dir):
     """The whole run over a table, as its key figures."""
-    return _once(spark, sf_dir, "diagnosis", lambda: diagnose(table(spark, sf_dir, "events"), restarts=3)).kpis
+    return diagnose(table(spark, sf_dir, "events"), restarts=3).kpis

@@ -29,7 +29,7 @@ SELECT doc, term, tf, round(raw / norm, 6) AS weight FROM raws JOIN norms USING
 @query(_weights_sql(1000))
 def tfidf_weights_capped(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return rounded(tfidf_weights(docs, "doc_id", "text", stop_words=STOP_WORDS), 6)
+    return rounded(tfidf_weights(docs, "doc_id", "text", stop_words=STOP_WORDS, max_terms=1000), 6)
 
 
 @query(_weights_sql(None))
@@ -54,7 +54,7 @@ scored AS (
 SELECT doc, round(cosine, 6) AS cosine, round(greatest(cosine, 0.1), 6) AS score FROM scored {limit}"""
 
 
-@query(_search_sql(1000, 3))
+@query(_search_sql(None, 3))
 def tfidf_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return rounded(search(docs, "doc_id", "text", QUESTION, stop_words=STOP_WORDS), 6)

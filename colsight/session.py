@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: A split of this size keeps a slot busy; inputs with fewer of them than slots are spread by :func:`spread`.
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
 def build_session(app_name: str = "colsight", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect; ``conf`` adds or overrides settings."""
     builder = SparkSession.builder.appName(app_name)
@@ -32,17 +31,20 @@ def build_session(app_name: str = "colsight", master: str | None = None, **conf:
 
 @cache
 def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="colsight-")
+    """A folder for sessions of one machine without a shared one, removed when Python ends."""
+    root = tempfile.mkdtemp(prefix="colsight-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder the cluster shares (``spark.checkpoint.dir``).
 
-    Only a local session may run without that setting; it then gets a temporary folder.
+    Only a session within one process may run without that setting; it then gets a temporary folder of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = _local_root()
     return f"{root.rstrip('/')}/colsight/{label}-{uuid.uuid4().hex}"
@@ -58,14 +60,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Evens out a small input before costly work per row.
-
-    A table of less than one full split per slot often sits in a few row groups, which would leave most slots idle.
-    Larger inputs have splits enough and are returned as they are, without a shuffle. The size is the planner's
-    estimate, so nothing runs to find it.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(slots) if size < slots * SPLIT_BYTES else df

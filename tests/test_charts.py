@@ -79,12 +79,19 @@ def test_box_and_pie(spark):
     assert pie_shares(df, "s", "x").first()["share"] == 1.0
 
 
-def test_points_are_thinned_repeatably(spark):
+def test_points_are_all_rows(spark):
     df = spark.range(500).select("id", (F.col("id") * 2).alias("y"))
-    first = {tuple(r) for r in points(df, ["id", "y"], max_points=50).collect()}
-    again = {tuple(r) for r in points(df.repartition(5), ["id", "y"], max_points=50).collect()}
-    assert len(first) == 50 and first == again
-    assert points(df, ["id"]).count() == 500
+    assert points(df, ["id", "y"]).count() == 500
+    assert [r["id"] for r in points(df, ["id"], order_by=["id"]).take(3)] == [0, 1, 2]
+
+
+def test_histogram_counts_infinite_values_apart(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (inf,), (-inf,)], "x double")
+    rows = [tuple(r) for r in histogram(df, "x", 2).select("bin", "n", "bin_low", "bin_high").orderBy("bin").collect()]
+    assert rows == [(0, 1, -inf, -inf), (1, 1, 1.0, 1.5), (2, 2, 1.5, 2.0), (3, 1, inf, inf)]
+    only = spark.createDataFrame([(inf,)], "x double")
+    assert [r["n"] for r in histogram(only, "x", 2).collect()] == [1]
 
 
 def test_dates_as_text(spark):
