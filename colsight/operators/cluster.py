@@ -106,6 +106,20 @@ def _first_centers(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.n
     return np.array(chosen)
 
 
+def _settled(sample: np.ndarray, centers: np.ndarray, max_iter: int) -> np.ndarray:
+    """Lloyd's iterations on the sample alone: a start from which few passes over all rows are left to do."""
+    square = (sample * sample).sum(axis=1)
+    for _ in range(max_iter):
+        near = (square[:, None] - 2 * sample @ centers.T + (centers * centers).sum(axis=1)).argmin(axis=1)
+        counts = np.bincount(near, minlength=len(centers))
+        sums = np.column_stack([np.bincount(near, weights=x, minlength=len(centers)) for x in sample.T])
+        moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers)
+        if ((moved - centers) ** 2).sum() <= TOLERANCE:
+            return moved
+        centers = moved
+    return centers
+
+
 def _scan(points: DataFrame, starts: list[_Start]) -> dict[tuple[int, int], tuple]:
     """(start, cluster) to (rows, cost, sums of coordinates), for all moving starts in one pass over all rows."""
     axes = points.columns
@@ -151,7 +165,7 @@ def segments(
     The standardised columns are written once. Every iteration is one pass over all of them that moves all starts at
     once; only sums per start and cluster travel, so copies or one big segment do not skew the work, and a start that
     rests drops out. Starts are drawn by k-means++ from the ``SEED_ROWS`` rows of lowest hash, so they don't depend on
-    the layout. Clusters are numbered by their centres in ascending order. ``partitions`` deals the rows anew before
+    the layout, and settle on these before the passes over all rows. Clusters are numbered by their centres in ascending order. ``partitions`` deals the rows anew before
     training, for a table of few splits.
     """
     if len(names) < 2:
@@ -168,7 +182,10 @@ def segments(
     near = points.withColumn("draw", draw).where(F.shiftrightunsigned("draw", 2) <= int(share * 2.0**62))
     drawn = near.orderBy("draw", *points.columns).limit(SEED_ROWS).drop("draw").collect()
     sample = np.array([tuple(r) for r in drawn], dtype=float)
-    starts = [_Start(_first_centers(sample, k, np.random.default_rng([seed, i]))) for i in range(restarts)]
+    starts = [
+        _Start(_settled(sample, _first_centers(sample, k, np.random.default_rng([seed, i])), max_iter))
+        for i in range(restarts)
+    ]
     for step in range(max_iter + 1):
         sums = _scan(points, starts)
         for i, start in enumerate(starts):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,41 +113,43 @@ def _facts(df: DataFrame, name: str) -> list[Column]:
     ]
 
 
+def _cell_text(df: DataFrame, name: str) -> Column:
+    """A text that differs for different values of a column."""
+    data_type = df.schema[name].dataType
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return (col(name) + F.lit(0.0)).cast("string")  # both zeros are one value
+    if isinstance(data_type, T.TimestampType):
+        return F.unix_micros(col(name)).cast("string")
+    return string_value(df, name)
+
+
 def _exact_stats(df: DataFrame, names: list[str], formats) -> DataFrame:
-    """Exact figures per column: count equal values of a column, then fold the counts; one branch per column.
+    """Exact figures per column: count equal cells of all columns, then fold the counts; one scan in all.
 
-    A branch scans its column alone, so a columnar source is read once in all. Equal values combine before the shuffle,
-    so a value that fills most rows costs one row per task; the second fold moves one row per task. Long texts are
-    grouped by digest, with length and date test taken before.
+    Equal cells combine before the shuffle, so a value that fills most rows costs one row per task; the second fold
+    moves one row per column and task. Long texts are grouped by digest, with length and date test taken before.
     """
-    branches = []
-    for name in names:
-        kind = _kind(df.schema[name].dataType)
-        if kind == "string":
-            text = string_value(df, name)
-            cells = df.select(
-                compact_key(text).alias("cell"), F.length(text).alias("len"),
-                _date_like(df, name, formats).alias("dateish"),
-            ).groupBy("cell", "len", "dateish")
-        else:
-            cells = df.select(col(name).alias("cell")).groupBy("cell")
-        counted = cells.agg(F.count(F.lit(1)).alias("n"))
-        non_null = F.sum(F.when(F.col("cell").isNotNull(), F.col("n")).otherwise(0))
-        string_only = (
-            (
-                F.try_divide(F.sum(F.col("n") * F.col("len")), non_null),
-                F.try_divide(F.sum(F.when(F.col("dateish"), F.col("n")).otherwise(0)), non_null),
-            )
-            if kind == "string"
-            else (F.lit(None).cast("double"), F.lit(None).cast("double"))
-        )
-        branches.append(
-            counted.agg(
-                F.sum("n").alias("n_rows"), non_null.alias("non_null"), F.count("cell").alias("n_unique"),
-                string_only[0].alias("avg_len"), string_only[1].alias("date_share"),
-            ).select(*_facts(df, name), "*")
-        )
-    return reduce(DataFrame.unionAll, branches)
+    cells = []
+    for i, name in enumerate(names):
+        string = _kind(df.schema[name].dataType) == "string"
+        text = string_value(df, name)
+        cells.append(F.struct(
+            F.lit(i).alias("c"), (compact_key(text) if string else _cell_text(df, name)).alias("cell"),
+            (F.length(text) if string else F.lit(None).cast("int")).alias("len"),
+            _date_like(df, name, formats).alias("dateish"),
+        ))
+    counted = df.select(F.inline(F.array(*cells))).groupBy("c", "cell", "len", "dateish").agg(F.count(F.lit(1)).alias("n"))
+    non_null = F.sum(F.when(F.col("cell").isNotNull(), F.col("n")).otherwise(0))
+    string = F.col("fact.kind") == "string"
+    facts = F.array(*(F.struct(*_facts(df, n)) for n in names))
+    return counted.groupBy("c").agg(
+        F.sum("n").alias("n_rows"), non_null.alias("non_null"), F.count("cell").alias("n_unique"),
+        F.try_divide(F.sum(F.col("n") * F.col("len")), non_null).alias("avg_len"),
+        F.try_divide(F.sum(F.when(F.col("dateish"), F.col("n")).otherwise(0)), non_null).alias("date_share"),
+    ).withColumn("fact", F.get(facts, F.col("c"))).select(
+        "fact.*", "n_rows", "non_null", "n_unique", F.when(string, F.col("avg_len")).alias("avg_len"),
+        F.when(string, F.col("date_share")).alias("date_share"),
+    )
 
 
 def _screened_stats(df: DataFrame, names: list[str], formats) -> DataFrame:
@@ -224,8 +226,7 @@ def profile(
 
     ``distinct="screened"`` estimates distinct counts in a single scan; see :func:`detect_roles`, which counts exactly
     wherever an estimate is close to a rule's threshold. Mean length and date share concern strings only. An empty
-    table gives an empty profile. Exact counting scans each column by itself: give it a table as read or written, not
-    the unwritten result of a join or aggregate.
+    table gives an empty profile.
     """
     df = nan_to_null(df)
     if not df.columns:
@@ -275,23 +276,21 @@ def detect_roles(df: DataFrame, **options) -> Roles:
 def telemetry(df: DataFrame, order_by: list[str], *, samples: int = 3, width: int = 40, **options) -> DataFrame:
     """Profile plus the first ``samples`` values per column in ``order_by`` order, cut to ``width`` characters.
 
-    Each column's samples are a top-k over that column and the order key alone.
+    One scan serves all columns: each task keeps the first few rows of every column.
     """
     clean = nan_to_null(df)
-    keys = [col(c) for c in order_by]
-    firsts = []
-    for name in clean.columns:
-        shown = string_value(clean, name)
-        firsts.append(
-            clean.where(col(name).isNotNull())
-            .orderBy(*keys, shown)
-            .select(F.lit(name).alias("column"), F.struct(*keys, shown.alias("_shown")).alias("_place"))
-            .limit(samples)
-            .groupBy("column")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list("_place")), lambda p: p["_shown"]), ", ").alias(
-                "_all"))
-        )
-    sampled = reduce(DataFrame.unionByName, firsts)
+    keys = [col(c).alias(f"_k{i}") for i, c in enumerate(order_by)]
+    names = [f"_k{i}" for i in range(len(order_by))]
+    cells = F.array(*(
+        F.struct(F.lit(n).alias("column"), string_value(clean, n).alias("_shown")) for n in clean.columns
+    ))
+    long = clean.select(*keys, F.inline(cells)).where(F.col("_shown").isNotNull())
+    place = Window.partitionBy("column").orderBy(*names, "_shown")
+    sampled = (
+        long.withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= samples)
+        .groupBy("column").agg(F.array_sort(F.collect_list(F.struct("_rank", "_shown"))).alias("_firsts"))
+        .select("column", F.array_join(F.transform("_firsts", lambda p: p["_shown"]), ", ").alias("_all"))
+    )
     cut = F.when(
         F.length("_all") > width, F.concat(F.substring("_all", 1, width - 3), F.lit("..."))
     ).otherwise(F.col("_all"))
@@ -356,19 +355,19 @@ def hygiene_score(df: DataFrame) -> DataFrame:
 def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
     """Rows per (column, value); ``number`` holds the value of numeric columns, to order ties by size.
 
-    One branch per column, grouped in the column's own type; values turn to text after they are counted.
+    One scan; equal cells of a column combine before the shuffle.
     """
-    branches = []
-    for name in names:
-        counted = df.groupBy(col(name).alias(name)).agg(F.count(F.lit(1)).alias("_rows"))
-        number = as_number(df, name) if is_number(df.schema[name].dataType) else F.lit(None).cast("double")
-        branches.append(
-            counted.select(
-                F.lit(name).alias("column"), string_value(df, name).alias("value"), number.alias("number"),
-                F.col("_rows").alias("n"),
-            )
-        )
-    return reduce(DataFrame.unionAll, branches)
+    def number(name: str) -> Column:
+        return as_number(df, name) if is_number(df.schema[name].dataType) else F.lit(None).cast("double")
+
+    def text(name: str) -> Column:
+        floating = isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType))
+        return F.when(col(name) == 0, F.lit("0.0")).otherwise(string_value(df, name)) if floating else string_value(df, name)
+
+    cells = F.array(*(
+        F.struct(F.lit(n).alias("column"), text(n).alias("value"), (number(n) + F.lit(0.0)).alias("number")) for n in names
+    ))
+    return df.select(F.inline(cells)).groupBy("column", "value", "number").agg(F.count(F.lit(1)).alias("n"))
 
 
 def categorical_stats(df: DataFrame, names: list[str]) -> DataFrame:

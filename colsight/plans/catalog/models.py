@@ -128,8 +128,8 @@ def _segments(spark, sf_dir):
 
 PLANTED_SQL = """
 WITH planted AS (
-  SELECT l_orderkey % 4 AS g, 1000.0 * (l_orderkey % 4) + l_quantity AS x,
-         500.0 * ((l_orderkey % 4) % 2) + l_linenumber AS y FROM lineitem),
+  SELECT l_orderkey % 4 AS g, CAST(1000 * (l_orderkey % 4) AS DOUBLE) + l_quantity AS x,
+         CAST(500 * ((l_orderkey % 4) % 2) + l_linenumber AS DOUBLE) AS y FROM lineitem),
 scale AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM planted),
 z AS (SELECT g, x, y, (x - mx) / sx AS zx, (y - my) / sy AS zy FROM planted, scale),
 middle AS (SELECT g, avg(zx) AS cx, avg(zy) AS cy FROM z GROUP BY g)"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from colsight.operators.profile import Roles
 from colsight.operators.sampling import hashed_sample
 from colsight.plans.catalog.base import hygiene_sql, mode_sql, query, rounded, table
+from colsight.session import scratch_path
 from colsight.streaming.batches import (
     batch_summary,
     clean_batches,
@@ -106,6 +107,58 @@ def stream_batch_summary(spark, sf_dir):
     return rounded(batch_summary(log, 6).drop("batches"), 6)
 
 
+def _delivered(spark, sf_dir):
+    """The events in four files, one micro-batch each, by event number; some come twice in a file."""
+    folder = scratch_path(spark, "event-files")
+    events = table(spark, sf_dir, "events")
+    for k in range(4):
+        part = events.where(F.col("event_id") % 4 == k)
+        part.unionAll(part.where("event_id % 13 = 0")).coalesce(1).write.mode("append").parquet(folder)
+    return read_parquet_stream(spark, folder, events.schema)
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT {i} AS position, '{c}' AS "column", CAST(min({c}) AS DOUBLE) AS minimum,
+    CAST(max({c}) AS DOUBLE) AS maximum, count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_pop({c}), 4) AS std
+    FROM (FROM events UNION ALL FROM events WHERE event_id % 13 = 0)"""
+    for i, c in enumerate(("value", "user_id"))
+))
+def running_num_stats_batches(spark, sf_dir):
+    """Figures merged over four micro-batches."""
+    return rounded(running_numeric_stats(_delivered(spark, sf_dir), ["value", "user_id"]))
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT * FROM (SELECT '{c}' AS "column", {c} AS value, count(*) AS n
+    FROM (FROM events UNION ALL FROM events WHERE event_id % 13 = 0) GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 10)"""
+    for c in ("event_type", "props")
+))
+def running_top_batches(spark, sf_dir):
+    """Counts merged over four micro-batches."""
+    return running_top_values(_delivered(spark, sf_dir), ["event_type", "props"])
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def stream_dedup_batches(spark, sf_dir):
+    """Every event comes in two of four micro-batches, and once out."""
+    folder = scratch_path(spark, "event-copies")
+    events = table(spark, sf_dir, "events")
+    for k in range(4):
+        events.where((F.col("event_id") % 4 == k) | (F.col("event_id") % 4 == (k + 2) % 4)).coalesce(1).write.mode(
+            "append"
+        ).parquet(folder)
+    once = stream_deduplicated(read_parquet_stream(spark, folder, events.schema), ["event_id"], "ts")
+    return write_stream_table(once.select("event_id", "user_id", "event_type", "value"))
+
+
+@query("""SELECT CAST(event_id % 4 AS INTEGER) AS batch_id, count(*) + count(*) FILTER (WHERE event_id % 13 = 0) AS rows_in,
+count(*) AS distinct_rows, count(*) FILTER (WHERE event_id % 13 = 0) AS duplicates FROM events GROUP BY 1""")
+def stream_batch_log_batches(spark, sf_dir):
+    """One row for each of four micro-batches."""
+    log = clean_batches(_delivered(spark, sf_dir), ROLES)[1]
+    return log.select("batch_id", "rows_in", "distinct_rows", "duplicates")
+
+
 @query()
 def row_sample(spark, sf_dir):
     """A repeatable sample of rows for models and plots."""
