@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: batches carry whole texts, so few rows already make megabytes.
 BATCH_ROWS = 256
@@ -31,6 +32,16 @@ def whole_texts(df: DataFrame) -> DataFrame:
     return df
 
 
+def drawn(df: DataFrame, draw: str, most: int) -> DataFrame:
+    """About ``most`` rows, those with the least values of the hash ``draw``.
+
+    The share of hashes that holds them follows from a count, so what the final sort meets is bounded at any size.
+    """
+    share = min(1.0, 1.2 * (most + 20) / max(1, df.count()))
+    near = df.where(F.shiftrightunsigned(draw, 1) <= F.lit(min(int(share * 2**63), 2**63 - 1)))
+    return near.orderBy(draw, *(c for c in df.columns if c != draw)).limit(most)
+
+
 def pieces(batch: pa.RecordBatch, text: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``most`` bytes of text each, or of one row."""
     sizes = np.diff(_offsets(batch.column(text)))

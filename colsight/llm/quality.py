@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colsight.llm.common import drawn
 from colsight.session import materialize
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -181,7 +182,7 @@ def learn_rules(
     values of rows near evenly spaced ranks of either label, and the middles between them. Rows of null id or label are left out.
     """
     known = labelled.where("id is not null and bad is not null").withColumn("draw", F.xxhash64("id"))
-    rows = materialize(known.orderBy("draw", *FEATURES).limit(sample), "labelled")
+    rows = materialize(drawn(materialize(known, "known"), "draw", sample), "labelled")
     ranks = [k / bins for k in range(1, bins)]
     found = rows.where("bad").agg(*(F.percentile_approx(n, ranks, 10_000).alias(n) for n in FEATURES)).first()
     other = rows.where("not bad").agg(*(F.percentile_approx(n, [0.0, *ranks, 1.0], 10_000).alias(n) for n in FEATURES)).first()
