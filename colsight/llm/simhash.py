@@ -18,15 +18,6 @@ from colsight.session import materialize
 BITS = 64
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """Bit b is set if it is set in more than half of the hashes."""
-    if not len(hashes):
-        return 0
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    most = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(most, bitorder="little").view("<u8")[0])
-
-
 def _shingle_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int, step: int = 1 << 16):
     """Hashes of the shingles of one document, in blocks; words are joined by one blank."""
     digest = xxhash.xxh64_intdigest
@@ -70,7 +61,8 @@ def fingerprints(documents: DataFrame, shingle: int = 3, id_col: str = "doc_id",
     return whole_texts(rows).mapInArrow(scan, schema)
 
 
-def _voted(blocks) -> int:
+def _voted(blocks: Iterator[np.ndarray]) -> int:
+    """The fingerprint of some hashes: bit b is set if it is set in more than half of them."""
     votes, total = np.zeros(BITS, np.int64), 0
     for hashes in blocks:
         bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
