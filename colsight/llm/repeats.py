@@ -118,15 +118,20 @@ def outside_core(part: np.ndarray, units: Units, windows: Windows) -> list[bytes
     ]
 
 
-def window_hashes(core: np.ndarray, lead: np.ndarray, around: list[bytes], windows: Windows) -> tuple[np.ndarray, ...]:
-    """A hash of every window of every class, the class it belongs to, and its number there."""
-    size = windows.reach - 1
+def spread_out(around: list[bytes], windows: Windows) -> tuple[np.ndarray, ...]:
+    """All symbols of some classes, the limits of classes in them, and the class and number of every window."""
     symbols = np.frombuffer(b"".join(around), windows.kind)
-    each = symbols.itemsize
-    limits = np.concatenate([[0], np.cumsum([len(x) // each for x in around])]).astype(np.int64)
-    counts = np.diff(limits) - size + 1
+    limits = np.concatenate([[0], np.cumsum([len(x) // symbols.itemsize for x in around])]).astype(np.int64)
+    counts = np.diff(limits) - windows.reach + 2
     owner = np.repeat(np.arange(len(around)), counts)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return symbols, limits, owner, number
+
+
+def window_hashes(core: np.ndarray, lead: np.ndarray, around: list[bytes], windows: Windows) -> tuple[np.ndarray, ...]:
+    """A hash of every window of every class, the class it belongs to, and its number there."""
+    size = windows.reach - 1
+    symbols, limits, owner, number = spread_out(around, windows)
     begin = limits[owner] + number
     hashes = np.empty(len(owner), np.uint64)
     for at in range(0, len(owner), STEP):
@@ -149,12 +154,15 @@ def _batches(rows: DataFrame, work: Callable, schema: T.StructType, windows: Win
     return whole_texts(rows).mapInArrow(scan, schema)
 
 
-def repeated_starts(rows: DataFrame, windows: Windows, earlier_only: bool) -> DataFrame:
+def repeated_starts(
+    rows: DataFrame, windows: Windows, earlier_only: bool, name: Callable = window_hashes
+) -> DataFrame:
     """Runs of begins of repeated windows: (id, digest, runs), where ``rows`` has (id, digest, text).
 
     Without ``earlier_only`` a window counts if it begins anywhere else too, in the same row or another; with it, if it
     begins in a row of smaller id (a null id is larger than all). ``runs`` is an array of (first, last) begins. Rows of
-    equal id and digest must be equal; they get the same runs, once. Rows without a run are left out.
+    equal id and digest must be equal; they get the same runs, once. Rows without a run are left out. ``name`` gives the
+    windows of some classes names that are equal for equal windows.
     """
     context = rows.sparkSession.sparkContext
     kind = rows.schema["id"].dataType
@@ -211,8 +219,11 @@ def repeated_starts(rows: DataFrame, windows: Windows, earlier_only: bool) -> Da
         ], names=around_schema.names)
 
     spelled = _batches(rows, contents, around_schema, windows).dropDuplicates(["core", "span"])
-    answers = _compared(materialize(spelled.join(shared, ["core", "span"]), "spelled"), windows, earlier_only)
-    known = classes.join(answers, ["core", "span"], "left").select("core", "span", "n", "least", "inner")
+    answers = _compared(materialize(spelled.join(shared, ["core", "span"]), "spelled"), windows, earlier_only, name)
+    # Written, so that the join with units, many of which may be of one class, is one whose partitions Spark can split.
+    known = materialize(
+        classes.join(answers, ["core", "span"], "left").select("core", "span", "n", "least", "inner"), "known"
+    )
     if earlier_only:
         whole = F.coalesce(F.col("least") < F.col("id"), F.col("least").isNotNull() & F.col("id").isNull())
     else:
@@ -222,17 +233,29 @@ def repeated_starts(rows: DataFrame, windows: Windows, earlier_only: bool) -> Da
             (F.col("first") + r["first"]).alias("first"), (F.col("first") + r["last"]).alias("last")
         ))
     )
+    begins = units.join(known, ["core", "span"]).where(whole | F.col("inner").isNotNull()).select(
+        "id", "digest", F.inline(some)
+    )
+    return _merged(begins.distinct())
+
+
+def _merged(runs: DataFrame) -> DataFrame:
+    """(id, digest, runs) with runs that meet joined; only those are gathered for a row."""
+    text = "partition by id, digest order by first"
+    before = F.expr(f"max(last) over ({text} rows between unbounded preceding and 1 preceding)")
+    island = F.expr(f"sum(fresh) over ({text} rows unbounded preceding)")
     return (
-        units.join(known, ["core", "span"]).where(whole | F.col("inner").isNotNull())
-        .select("id", "digest", some.alias("runs")).groupBy("id", "digest")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("runs")))).alias("runs"))
+        runs.withColumn("before", before)
+        .withColumn("fresh", F.when(F.col("first") <= F.col("before") + 1, 0).otherwise(1)).withColumn("island", island)
+        .groupBy("id", "digest", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        .groupBy("id", "digest").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
     )
 
 
 RUNS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
 
 
-def _compared(classes: DataFrame, windows: Windows, earlier_only: bool) -> DataFrame:
+def _compared(classes: DataFrame, windows: Windows, earlier_only: bool, named: Callable) -> DataFrame:
     """``inner``, the runs of windows of a class (core, span) that other classes repeat; classes without are left out."""
     schema = T.StructType([
         T.StructField("core", T.LongType()), T.StructField("span", T.LongType()), T.StructField("inner", RUNS)
@@ -241,10 +264,10 @@ def _compared(classes: DataFrame, windows: Windows, earlier_only: bool) -> DataF
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_cores(batches):
             core = table.column("core").to_numpy().view(np.uint64)
-            hashes, owner, number = window_hashes(
+            names, owner, number = named(
                 core, table.column("lead").to_numpy(), table.column("around").to_pylist(), windows
             )
-            _, name = np.unique(hashes, return_inverse=True)
+            _, name = np.unique(names, return_inverse=True)
             if earlier_only:
                 rank = _ranks(table.column("least"))
                 least = np.full(name.max(initial=-1) + 1, np.iinfo(np.int64).max)
