@@ -24,7 +24,7 @@ from colsight.llm.common import LOWER, pieces, utf8, whole_texts, word_hashes, w
 from colsight.session import materialize
 
 #: Most entries of the tables of tokens and bigrams that are broadcast (24 and 16 bytes each).
-HEAD_TOKENS, HEAD_BIGRAMS = 1 << 20, 1 << 21
+HEAD_TOKENS, HEAD_BIGRAMS = 1 << 20, 1 << 17
 
 #: Entries that a task counts before it hands them on.
 FLUSH = 1 << 22
