@@ -23,7 +23,7 @@ NAMING_GUARD = 1e-5
 #: Training stops once the squared moves of all centres sum to no more than this.
 TOLERANCE = 1e-4
 
-#: Rows from which starts are drawn; training reads all rows.
+#: Distinct points from which starts are drawn, each weighed by its rows; training reads all rows.
 SEED_ROWS = 20_000
 
 
@@ -96,23 +96,23 @@ class _Start:
     moving: bool = True
 
 
-def _first_centers(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ on a sample of rows: each next centre is a row drawn by its squared distance to those before."""
-    chosen = [sample[rng.integers(len(sample))]]
+def _first_centers(sample: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ on weighed points: each next centre is one drawn by its rows' squared distance to those before."""
+    chosen = [sample[rng.choice(len(sample), p=weights / weights.sum())]]
     for _ in range(k - 1):
-        gaps = np.min([((sample - c) ** 2).sum(axis=1) for c in chosen], axis=0)
+        gaps = weights * np.min([((sample - c) ** 2).sum(axis=1) for c in chosen], axis=0)
         total = gaps.sum()
         chosen.append(sample[rng.choice(len(sample), p=gaps / total) if total > 0 else rng.integers(len(sample))])
     return np.array(chosen)
 
 
-def _settled(sample: np.ndarray, centers: np.ndarray, max_iter: int) -> np.ndarray:
+def _settled(sample: np.ndarray, weights: np.ndarray, centers: np.ndarray, max_iter: int) -> np.ndarray:
     """Lloyd's iterations on the sample alone: a start from which few passes over all rows are left to do."""
     square = (sample * sample).sum(axis=1)
     for _ in range(max_iter):
         near = (square[:, None] - 2 * sample @ centers.T + (centers * centers).sum(axis=1)).argmin(axis=1)
-        counts = np.bincount(near, minlength=len(centers))
-        sums = np.column_stack([np.bincount(near, weights=x, minlength=len(centers)) for x in sample.T])
+        counts = np.bincount(near, weights=weights, minlength=len(centers))
+        sums = np.column_stack([np.bincount(near, weights=weights * x, minlength=len(centers)) for x in sample.T])
         moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers)
         if ((moved - centers) ** 2).sum() <= TOLERANCE:
             return moved
@@ -120,6 +120,17 @@ def _settled(sample: np.ndarray, centers: np.ndarray, max_iter: int) -> np.ndarr
     return centers
 
 
+def _sample(points: DataFrame, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``SEED_ROWS`` distinct points of lowest hash, or all if there are fewer, and the number of rows of each."""
+    counted = materialize(points.groupBy(*points.columns).agg(F.count("*").alias("n")), "distinct-points")
+    share = min(1.0, 1.2 * SEED_ROWS / max(1, counted.count()))
+    near = counted.withColumn("draw", F.xxhash64(*points.columns, F.lit(seed))).where(
+        F.shiftrightunsigned("draw", 2) <= int(share * 2.0**62)
+    )
+    rows = np.array(near.orderBy("draw", *points.columns).limit(SEED_ROWS).drop("draw").collect(), dtype=float)
+    return rows[:, :-1], rows[:, -1]
+
+
 def _scan(points: DataFrame, starts: list[_Start]) -> dict[tuple[int, int], tuple]:
     """(start, cluster) to (rows, cost, sums of coordinates), for all moving starts in one pass over all rows."""
     axes = points.columns
@@ -164,8 +175,8 @@ def segments(
 
     The standardised columns are written once. Every iteration is one pass over all of them that moves all starts at
     once; only sums per start and cluster travel, so copies or one big segment do not skew the work, and a start that
-    rests drops out. Starts are drawn by k-means++ from the ``SEED_ROWS`` rows of lowest hash, so they don't depend on
-    the layout, and settle on these before the passes over all rows. Clusters are numbered by their centres in ascending order. ``partitions`` deals the rows anew before
+    rests drops out. Starts are drawn by k-means++ from the ``SEED_ROWS`` distinct points of lowest hash, weighed by
+    their rows, so they don't depend on the layout, and settle on these before the passes over all rows. Clusters are numbered by their centres in ascending order. ``partitions`` deals the rows anew before
     training, for a table of few splits.
     """
     if len(names) < 2:
@@ -177,13 +188,9 @@ def segments(
     complete = complete_rows(df, names)
     scaled = complete.select(*(z.cast("double").alias(f"z{i}") for i, z in enumerate(scaling.columns(complete))))
     points = materialize(scaled.repartition(partitions) if partitions else scaled, "points")
-    draw = F.xxhash64(*points.columns, F.lit(seed))
-    share = min(1.0, 1.2 * SEED_ROWS / scaling.n_rows)
-    near = points.withColumn("draw", draw).where(F.shiftrightunsigned("draw", 2) <= int(share * 2.0**62))
-    drawn = near.orderBy("draw", *points.columns).limit(SEED_ROWS).drop("draw").collect()
-    sample = np.array([tuple(r) for r in drawn], dtype=float)
+    sample, weights = _sample(points, seed)
     starts = [
-        _Start(_settled(sample, _first_centers(sample, k, np.random.default_rng([seed, i])), max_iter))
+        _Start(_settled(sample, weights, _first_centers(sample, weights, k, np.random.default_rng([seed, i])), max_iter))
         for i in range(restarts)
     ]
     for step in range(max_iter + 1):
