@@ -17,6 +17,9 @@ from colsight.session import materialize
 TREES = 100
 TREE_ROWS = 256
 
+#: Copies of a row up to which each one's draws are hashed; of more copies only the lowest draws are made.
+FEW = 8
+
 _NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, size int"
 _EULER = 0.5772156649015329
 
@@ -61,16 +64,40 @@ class Forest:
 
 
 def _tree_samples(rows: DataFrame, n_rows: int, trees: int, tree_rows: int, seed: int) -> DataFrame:
-    """Rows with a tree number and a draw, a seeded hash of the row's ``key`` and the tree.
+    """Rows with a tree number and a draw of their own; ``rows`` holds distinct rows under a ``key``, ``n`` times each (once
+    without that column).
 
-    A tree takes the lowest draws. Only those below a bound reach it that leaves it four times as many as it takes.
+    A tree takes the lowest draws. Only those below a bound reach it that leaves it four times as many as it takes. The
+    draws of a few copies are seeded hashes of key, tree and copy. Of many copies the ``tree_rows`` lowest are made in
+    ascending order, as sums of exponential gaps, so a row costs the same however many copies it has.
     """
     bound = int(min(1.0, 4.0 * tree_rows / n_rows) * 2.0**62)
-    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: F.struct(
-        tree.alias("tree"), F.shiftrightunsigned(F.xxhash64("key", tree, F.lit(seed)), 2).alias("draw")
-    ))
-    low = F.filter(draws, lambda d: d["draw"] <= bound)
-    return rows.withColumn("_low", low).select("*", F.inline("_low")).drop("_low", "key")
+    rows = rows if "n" in rows.columns else rows.withColumn("n", F.lit(1))
+    values = [c for c in rows.columns if c not in ("key", "n")]
+
+    def hashed(tree, *copy):
+        return F.shiftrightunsigned(F.xxhash64("key", tree, F.lit(seed), *copy), 2)
+
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    first = F.transform(every, lambda tree: F.struct(tree.alias("tree"), hashed(tree).alias("draw")))
+    further = F.flatten(F.transform(F.sequence(F.lit(1), F.col("n").cast("int") - 1), lambda copy: F.transform(
+        every, lambda tree: F.struct(tree.alias("tree"), hashed(tree, copy).alias("draw"))
+    )))
+    draws = F.when(F.col("n") == 1, first).otherwise(F.concat(first, further))
+    few = rows.where(F.col("n") <= FEW).select(*values, F.inline(F.filter(draws, lambda d: d["draw"] <= bound)))
+
+    def lowest(batches):
+        for batch in batches:
+            for row, key, n in zip(batch[values].to_numpy(dtype=float), batch["key"], batch["n"], strict=True):
+                rng = np.random.default_rng([int(key) % 2**64, seed])
+                left = n - np.arange(min(n, tree_rows))
+                drawn = -np.expm1(-np.cumsum(rng.exponential(size=(trees, len(left))) / left, axis=1)) * 2.0**62
+                tree, copy = np.nonzero(drawn <= bound)
+                out = pd.DataFrame(np.broadcast_to(row, (len(tree), len(row))), columns=values)
+                yield out.assign(tree=tree.astype(np.int32), draw=drawn[tree, copy].astype(np.int64))
+
+    schema = ", ".join([*(f"{v} double" for v in values), "tree int", "draw long"])
+    return few.unionByName(rows.where(F.col("n") > FEW).mapInPandas(lowest, schema))
 
 
 def fit_forest(
@@ -78,8 +105,9 @@ def fit_forest(
 ) -> Forest | None:
     """Trees on random rows, gaps filled with the column's median; None without columns or below five rows.
 
-    Only sampled rows are shuffled; one task per tree sees about a thousand of them and keeps the ``tree_rows`` lowest
-    draws, which are hashes of whole rows: the same seed on the same rows gives the same forest in any layout.
+    Equal rows are counted first, and each copy has a draw of its own. One task per tree sees about a thousand sampled
+    rows and keeps the ``tree_rows`` lowest draws, which follow from whole rows and their number: the same seed on the
+    same rows gives the same forest in any layout.
     """
     if not names:
         return None
@@ -90,7 +118,7 @@ def fit_forest(
     fills = [float(medians[n][0] or 0.0) for n in names]
     numbers = df.select(
         F.xxhash64(*(col(c) for c in df.columns)).alias("key"),
-        *(F.coalesce(as_number(df, n), F.lit(f)).alias(f"x{i}") for i, (n, f) in enumerate(zip(names, fills))),
+        *(F.coalesce(as_number(df, n), F.lit(f)).cast("double").alias(f"x{i}") for i, (n, f) in enumerate(zip(names, fills))),
     )
     size = min(tree_rows, n_rows)
     values = numbers.columns[1:]
@@ -104,7 +132,8 @@ def fit_forest(
         out.insert(0, "tree", tree)
         return out
 
-    samples = _tree_samples(numbers, n_rows, trees, tree_rows, seed)
+    counted = materialize(numbers.groupBy(*numbers.columns).agg(F.count("*").alias("n")), "counted-rows")
+    samples = _tree_samples(counted, n_rows, trees, tree_rows, seed)
     nodes = samples.groupBy("tree").applyInPandas(build, _NODE_SCHEMA).toPandas()
     return Forest(list(names), fills, nodes.sort_values(["tree", "node"], ignore_index=True), size)
 
