@@ -167,4 +167,4 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents"))
+    return score_texts(table(spark, sf_dir, "documents"), least=1)

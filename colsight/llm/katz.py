@@ -140,11 +140,29 @@ def good_turing(counts: dict[int, int], least: int, most: int) -> dict[int, floa
     }
 
 
+def katz_discounts(counts: dict[int, int], most: int) -> dict[int, float]:
+    """Good-Turing factors of the counts 1 to ``most`` with Katz's normalisation: (r*/r - a) / (1 - a).
+
+    With a = (most + 1) * N(most + 1) / N(1) higher counts stay whole and the mass set free is that of Good-Turing, N(1).
+    Counts whose factor would not lie between 0 and 1, which small or odd tables have, take the plain factor; without
+    a next count, or where that one is not below 1 either, (r - 0.5) / r.
+    """
+    a = (most + 1) * counts.get(most + 1, 0) / counts[1] if counts.get(1) else 1.0
+    plain, out = good_turing(counts, 1, most), {}
+    for r in range(1, most + 1):
+        if counts.get(r):
+            share = plain.get(r, 1.0)
+            katz = (share - a) / (1 - a) if a < 1 else 0.0
+            out[r] = katz if 0 < katz < 1 else share if share < 1 else (r - 0.5) / r
+    return out
+
+
 def train(rows: DataFrame, least: int = 3, most_discounted: int = 7) -> Model:
     """The model of all ``rows`` (text), each table written in the shared folder.
 
-    Tokens are all counted. Bigrams seen fewer than ``least`` times are left to backoff, as is usual for this model; a
-    sketch of all bigrams spares most of them the shuffle, and the others are counted exactly. With c for the count of
+    Tokens are all counted. Bigrams seen fewer than ``least`` times are left to backoff; a sketch of all bigrams spares
+    most of them the shuffle, and the others are counted exactly. With a ``least`` of 1 every bigram is stored, and the
+    discounts are Katz's; the sketch then only tells scoring which bigrams were never seen. With c for the count of
     a bigram, d for its discount and n for the count of its first word, the bigram's share is d * c / (n + 0.5), so
     something is always left for unseen successors, and the backoff weight spreads exactly that over them.
     """
@@ -173,7 +191,8 @@ def train(rows: DataFrame, least: int = 3, most_discounted: int = 7) -> Model:
 
     counted = materialize(_count(texts, frequent, F.col("n") >= least), "bigram-counts")
     found = counted.where(F.col("n") <= most_discounted + 1).groupBy("n").count().collect()
-    discounts = good_turing({r["n"]: r["count"] for r in found}, least, most_discounted)
+    numbers = {r["n"]: r["count"] for r in found}
+    discounts = katz_discounts(numbers, most_discounted) if least == 1 else good_turing(numbers, least, most_discounted)
 
     named = tokens.groupBy(name_column("key").alias("name")).agg(F.sum("n").alias("n"))
     named = materialize(named, "name-counts")
