@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from colsight.llm.simhash import near_duplicates
 from colsight.llm.substring_dedup import cut_repeated_words
 from colsight.llm.token_counts import count_tokens
 from colsight.llm.url_filter import ALLOW, BLOCK, GlobRule, HostRule, filter_urls
+from colsight.llm.warc import read_archives, write_archives
 from colsight.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,8 @@ def query(sql: str | None = None):
 @query()
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts with a cache of this run's own, so that all distinct texts are encoded."""
+    import public_tokenizers
+
     return count_tokens(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), scratch_path(spark, "token-cache")
     )
@@ -168,3 +170,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), least=1)
+
+
+@query("""
+WITH page AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+best AS (SELECT *, max(page_id) OVER (PARTITION BY d, n) AS largest FROM page)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < largest THEN largest END AS refers_to
+FROM best""")
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages to archives below the shared folder and reads them back."""
+    manifest = write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -42,6 +42,16 @@ def drawn(df: DataFrame, draw: str, most: int) -> DataFrame:
     return near.orderBy(draw, *(c for c in df.columns if c != draw)).limit(most)
 
 
+def heavy_keys(counted: DataFrame, held: str, least: int = 4096, most: int = 50_000) -> DataFrame:
+    """The rows of ``counted`` (one per key) whose count ``held`` stands out, at most ``most`` of them.
+
+    A key is heavy with ``least`` rows or more and at least a share of 1 / ``most`` of all rows, so there is a bound on how
+    many there are whatever the data, and what is not heavy is small beside the whole.
+    """
+    total = counted.agg(F.sum(held)).first()[0] or 0
+    return counted.where(F.col(held) >= max(least, -(-total // most)))
+
+
 def pieces(batch: pa.RecordBatch, text: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``most`` bytes of text each, or of one row."""
     sizes = np.diff(_offsets(batch.column(text)))
