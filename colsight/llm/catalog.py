@@ -11,6 +11,7 @@ from colsight.llm.common import table
 from colsight.llm.decontaminate import decontaminate
 from colsight.llm.katz import score_texts
 from colsight.llm.mixing import mix_sources
+from colsight.llm.periodic import collapse_runs
 from colsight.llm.prefix_free import cut_repeated_bytes
 from colsight.llm.quality import judge_quality
 from colsight.llm.secrets import scan_secrets
@@ -183,3 +184,30 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages to archives below the shared folder and reads them back."""
     manifest = write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def with_planted_runs(documents: DataFrame) -> DataFrame:
+    """``documents`` (doc_id, text), some of whose texts repeat a stretch of their own words up to their end."""
+    rows = documents.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = rows.withColumn("words", F.when((F.col("h") % 10 == 0) & F.col("text").isNotNull(), words))
+    n = F.size("words")
+    sized = chosen.withColumn("a", F.when(n > 0, F.floor(F.col("h") / 10) % n).cast("int"))
+    g, left = F.floor(F.col("h") / 10), F.size("words") - F.col("a")
+    p = (1 + F.floor(left / (3 + g % 8))).cast("int")
+    periods = F.array_repeat(F.slice("words", F.col("a") + 1, p), F.ceil(left / p).cast("int"))
+    planted = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(F.flatten(periods), F.lit(1), left))
+    return sized.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(F.concat_ws(" ", planted)).alias("text"))
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collapse_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    order = F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r["start"], r["period"]))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", F.array_max(order)).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
