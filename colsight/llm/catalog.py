@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from colsight.llm.prefix_free import cut_repeated_bytes
 from colsight.llm.quality import judge_quality
 from colsight.llm.secrets import scan_secrets
 from colsight.llm.simhash import near_duplicates
+from colsight.llm.spelling import spelling_variants
 from colsight.llm.substring_dedup import cut_repeated_words
 from colsight.llm.token_counts import count_tokens
 from colsight.llm.url_filter import ALLOW, BLOCK, GlobRule, HostRule, filter_urls
@@ -211,3 +213,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def dropped_letter(doc_id: int | None, run: str) -> str:
+    """``run`` without one code point where a checksum of it and its document says so; a null id changes nothing."""
+    h = zlib.crc32(f"{doc_id}:{run}".encode()) if doc_id is not None else 1
+    return run if h % 31 else run[:h % len(run)] + run[h % len(run) + 1:]
+
+
+@query()
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), change=dropped_letter)
