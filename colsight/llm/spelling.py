@@ -90,7 +90,7 @@ def spelling_variants(
     where forms of forms lead, the word itself without one. Repeated rows count again. A table without words gives none.
     """
     words = materialize(vocabulary(documents, id_col, text_col, change), "vocabulary")
-    near = materialize(near_words(words), "near-words")
+    near = near_words(words)
     others = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
     # Strings are ordered by their UTF-8 bytes, which is the order of code points.
     best = near.join(others, "near").groupBy("word").agg(
