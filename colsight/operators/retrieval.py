@@ -8,11 +8,12 @@ from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colsight.functions.numbers import col
 from colsight.functions.text import tokens
+from colsight.operators.postings import best_documents, block_bounds, document_blocks, scores
 from colsight.session import materialize
 
 #: Scores below this are shown as this.
@@ -73,10 +74,11 @@ def _with_idf(counts: DataFrame, terms: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Written weights of a table of texts and its vocabulary; build once, search often."""
+    """Written block postings of a table of texts and its vocabulary; build once, search often."""
 
     documents: DataFrame
-    weights: DataFrame
+    postings: DataFrame
+    bounds: DataFrame
     terms: DataFrame
     stop_words: tuple[str, ...]
 
@@ -85,23 +87,30 @@ def build_index(
     docs: DataFrame, key: str, text: str, *, stop_words: Sequence[str] | None = None,
     max_terms: int | None = None,
 ) -> TextIndex:
-    """Tokenises every text once and writes ``doc, term, tf, weight``, ranged and sorted by term.
+    """Tokenises every text once and writes block postings, ranged and sorted by term.
 
-    Weights have unit length per document. A search so reads the row groups of its terms alone, whatever the corpus.
+    Weights have unit length per document. A search reads the row groups of its terms alone, and of these the blocks that
+    may hold one of the best documents.
     """
     stop_words = tuple(english_stop_words() if stop_words is None else stop_words)
     counts = materialize(term_counts(docs, key, text, stop_words), "term-counts")
     terms = materialize(vocabulary(counts, docs.count(), max_terms), "vocabulary")
-    raw = _with_idf(counts, terms).withColumn("raw", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc")))
-    weighed = raw.select("doc", "term", "tf", (F.col("raw") / norm).alias("weight"))
-    weights = materialize(weighed.repartitionByRange("term", "doc").sortWithinPartitions("term"), "weights")
-    return TextIndex(docs.select(col(key).alias("doc")), weights, terms, stop_words)
+    raw = _with_idf(counts, terms).select("doc", "term", "tf", (F.col("tf") * F.col("idf")).alias("raw"))
+    norms = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    blocks = materialize(document_blocks(materialize(norms, "norms")), "blocks").withColumnRenamed("doc", "known")
+    weighed = raw.join(blocks, F.col("doc").eqNullSafe(F.col("known"))).select(
+        "doc", "block", "term", "tf", (F.col("raw") / F.col("norm")).alias("weight")
+    )
+    # Written before it is ranged, as ranges are chosen by a sample that would run the joins a second time.
+    ranged = materialize(weighed, "weighed").repartitionByRange("term", "block")
+    postings = materialize(ranged.sortWithinPartitions("term", "block"), "postings")
+    bounds = materialize(block_bounds(postings).sortWithinPartitions("term"), "bounds")
+    return TextIndex(docs.select(col(key).alias("doc")), postings, bounds, terms, stop_words)
 
 
 def index_weights(index: TextIndex) -> DataFrame:
     """``doc, term, tf, weight`` with unit length per document."""
-    return index.weights
+    return index.postings.select("doc", "term", "tf", "weight")
 
 
 def tfidf_weights(docs: DataFrame, key: str, text: str, **options) -> DataFrame:
@@ -120,8 +129,8 @@ def search_index(
 ) -> DataFrame:
     """``doc, cosine, score``: the ``k`` best documents for a query (all of them with ``k=None``).
 
-    Only the weights of the query's terms are read, by a filter the scan applies, and summed per document. Documents
-    without any of them are looked at only if all are wanted or fewer than ``k`` have one. ``score`` is the cosine raised
+    Only postings of the query's terms are read, by a filter the scan applies, and for the ``k`` best only the blocks of
+    them that may hold one. Documents without any of them are looked at only if all are wanted or fewer than ``k`` have one. ``score`` is the cosine raised
     to ``floor``. An empty query gives the first ``k`` rows.
     """
     if not query.strip():
@@ -136,13 +145,10 @@ def search_index(
     if not length:
         rest = index.documents.distinct().withColumn("cosine", F.lit(0.0)).orderBy("doc")
         return (rest if k is None else rest.limit(k)).select("doc", "cosine", score)
-    wanted = F.create_map(*(x for t, w in weights.items() for x in (F.lit(t), F.lit(w / length))))
-    hits = (
-        index.weights.where(F.col("term").isin(*weights)).groupBy("doc")
-        .agg(F.sum(F.col("weight") * F.try_element_at(wanted, F.col("term"))).alias("cosine"))
-    )
-    best = hits if k is None else hits.orderBy(F.desc("cosine"), "doc").limit(k)
+    unit = {t: w / length for t, w in weights.items()}
+    best = scores(index.postings, unit) if k is None else best_documents(index.postings, index.bounds, unit, k).best
     if k is None or (missing := k - best.count()) > 0:
+        hits = scores(index.postings, unit).select("doc")
         rest = index.documents.distinct().join(hits, "doc", "left_anti").withColumn("cosine", F.lit(0.0))
         best = best.unionByName(rest if k is None else rest.orderBy("doc").limit(missing))
     return best.orderBy(F.desc("cosine"), "doc").select("doc", "cosine", score)

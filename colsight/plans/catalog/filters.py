@@ -150,7 +150,7 @@ def ask_filter_stats(spark, sf_dir):
     return rounded(ask(table(spark, sf_dir, "lineitem"), LINES, "show lines with quantity above 45").figures)
 
 
-@query("SELECT * REPLACE (CAST(ts AS VARCHAR) AS ts) FROM events WHERE value > 60 ORDER BY event_id LIMIT 50")
+@query("SELECT * REPLACE (CAST(ts AS VARCHAR) AS ts) FROM events WHERE value > 60")
 def ask_filter_rows(spark, sf_dir):
     answer = ask(table(spark, sf_dir, "events"), EVENTS, "show events with value above 60", order_by=["event_id"])
     return _plain(answer.table)

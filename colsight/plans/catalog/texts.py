@@ -39,8 +39,8 @@ def tfidf_weights_open(spark, sf_dir):
     return rounded(tfidf_weights(docs, "doc_id", "text", stop_words=STOP_WORDS, max_terms=None), 6)
 
 
-def _search_sql(max_terms: int | None, k: int | None) -> str:
-    terms = [w for w in QUESTION.lower().split() if w not in STOP_WORDS]
+def _search_sql(max_terms: int | None, k: int | None, question: str = QUESTION) -> str:
+    terms = [w for w in question.lower().split() if w not in STOP_WORDS]
     values = ", ".join(f"('{t}', {terms.count(t)})" for t in dict.fromkeys(terms))
     limit = f"ORDER BY round(cosine, 6) DESC, doc LIMIT {k}" if k else ""
     return f"""{_counts_sql(max_terms)},
@@ -65,3 +65,14 @@ def tfidf_scores_all(spark, sf_dir):
     """The score of every document over the open vocabulary."""
     docs = table(spark, sf_dir, "documents")
     return rounded(search(docs, "doc_id", "text", QUESTION, k=None, stop_words=STOP_WORDS, max_terms=None), 6)
+
+
+#: Words that stand in most texts, so that their postings are long.
+FREQUENT = "are by from as"
+
+
+@query(_search_sql(None, 10, FREQUENT))
+def tfidf_search_frequent(spark, sf_dir):
+    """The ten best documents for frequent words, most of whose postings are left unread."""
+    docs = table(spark, sf_dir, "documents")
+    return rounded(search(docs, "doc_id", "text", FREQUENT, k=10, stop_words=STOP_WORDS), 6)
