@@ -7,10 +7,16 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths handed out inside each open :func:`owned_scratch`, the innermost last.
+_OWNED: list[list[str]] = []
+
+
 def build_session(app_name: str = "colsight", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect; ``conf`` adds or overrides settings."""
     builder = SparkSession.builder.appName(app_name)
@@ -47,7 +53,29 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = _local_root()
-    return f"{root.rstrip('/')}/colsight/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/colsight/{label}-{uuid.uuid4().hex}"
+    if _OWNED:
+        _OWNED[-1].append(path)
+    return path
+
+
+@contextmanager
+def owned_scratch() -> Iterator[list[str]]:
+    """Collects the scratch paths handed out meanwhile, so that their owner can remove them once nothing reads them."""
+    paths: list[str] = []
+    _OWNED.append(paths)
+    try:
+        yield paths
+    finally:
+        _OWNED.remove(paths)
+
+
+def remove_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables below the shared folder; those already gone are passed over."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
