@@ -50,6 +50,18 @@ def snapshot_roundtrip(spark, sf_dir):
     return rounded(restored.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd")))
 
 
+@query("SELECT c_custkey, round(c_acctbal * 2, 2) AS c_acctbal, 'second' AS title FROM customer WHERE c_acctbal > 0")
+def snapshot_saved_again(spark, sf_dir):
+    """A restored table changed and saved to the folder it is read from."""
+    folder = scratch_path(spark, "saved")
+    save_dataset(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), folder, "first")
+    restored, _ = restore_dataset(spark, folder)
+    changed = restored.where("c_acctbal > 0").withColumn("c_acctbal", F.col("c_acctbal") * 2)
+    save_dataset(changed, folder, "second")
+    again, name = restore_dataset(spark, folder)
+    return rounded(again, 2).withColumn("title", F.lit(name))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem "
        "ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice LIMIT 25")
 def preview_lineitem(spark, sf_dir):

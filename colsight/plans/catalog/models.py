@@ -10,6 +10,7 @@ from colsight.functions.numbers import col
 from colsight.operators import cluster as seg
 from colsight.operators.correlation import top_pairs
 from colsight.operators.isolation import find_outliers, outlier_points, outlier_samples, outlier_summary
+from colsight.operators.silhouette import silhouette
 from colsight.plans.catalog.base import query, rounded, table
 from colsight.plans.catalog.charts import CORRELATED
 
@@ -237,6 +238,40 @@ def silhouette_labels(spark, sf_dir):
     return rounded(spark.createDataFrame([(value,)], "silhouette double"))
 
 
+def _silhouette_sql(points: str) -> str:
+    """All pairs of distinct points (g, v, n: cluster, coordinates, rows), each counted as often as its rows."""
+    return f"""{points},
+sums AS (SELECT a.g, a.v, a.n, b.g AS h, sum(b.n * list_distance(a.v, b.v)) AS s FROM points a, points b GROUP BY 1, 2, 3, 4),
+held AS (SELECT g AS h, sum(n) AS size FROM points GROUP BY 1),
+sides AS (
+  SELECT g, v, n, max(CASE WHEN g = h THEN s / greatest(1, size - 1) END) AS a, min(CASE WHEN g <> h THEN s / size END) AS b
+  FROM sums JOIN held USING (h) GROUP BY 1, 2, 3)
+SELECT round(sum(n * (b - a) / greatest(a, b)) / sum(n), 6) AS silhouette, CAST(sum(n) AS BIGINT) AS n_rows FROM sides"""
+
+
+@query(_silhouette_sql("""WITH points AS (
+  SELECT label AS g, CAST(embedding AS DOUBLE[]) AS v, count(*) AS n FROM embeddings GROUP BY 1, 2)"""))
+def silhouette_euclidean_labels(spark, sf_dir):
+    """Euclidean silhouette of given labels over all vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("features"))
+    found = silhouette(vectors, "label")
+    return rounded(spark.createDataFrame([(found.value, found.n_rows)], "silhouette double, n_rows long"), 6)
+
+
+@query(_silhouette_sql(f"""{PLANTED_SQL}, points AS (SELECT g, [zx, zy] AS v, count(*) AS n FROM z GROUP BY 1, 2)"""))
+def silhouette_euclidean_planted(spark, sf_dir):
+    """Euclidean silhouette of the segments of all moved line items."""
+    found = silhouette(_planted(spark, sf_dir).rows)
+    return rounded(spark.createDataFrame([(found.value, found.n_rows)], "silhouette double, n_rows long"), 6)
+
+
+@query()
+def silhouette_euclidean_segments(spark, sf_dir):
+    """Euclidean silhouette of the line items' segments, with the bound of its error."""
+    found = silhouette(_segments(spark, sf_dir).rows)
+    return spark.createDataFrame([(found.value, found.error, found.n_rows)], "silhouette double, error double, n_rows long")
+
+
 @query()
 def kmeans_embeddings(spark, sf_dir):
     """Segments of 64-dimensional vectors by size."""

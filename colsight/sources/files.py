@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colsight.functions.numbers import col, string_value
+from colsight.sources.snapshots import load_version, save_version
 
 #: Column that names the file a merged row came from.
 SOURCE_COLUMN = "_source_file"
@@ -158,19 +159,16 @@ def write_parquet(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
 
 
 def save_dataset(df: DataFrame, folder: str, name: str) -> None:
-    """Keep a table and its display name for a later session."""
-    write_parquet(df, f"{folder}/data")
-    df.sparkSession.range(1).select(F.lit(name).alias("name")).write.mode("overwrite").json(f"{folder}/meta")
+    """Keep a table and its display name for a later session, as the next version of ``folder``.
+
+    The table may be read from the same folder; see :func:`save_version`.
+    """
+    save_version(df, folder, name)
 
 
 def restore_dataset(spark: SparkSession, folder: str) -> tuple[DataFrame, str] | None:
     """The table and name kept by :func:`save_dataset`, or None."""
-    try:
-        table = read_parquet(spark, f"{folder}/data")
-        meta = spark.read.schema("name string").json(f"{folder}/meta").first()
-    except AnalysisException:
-        return None
-    return table, meta["name"] if meta else "dataset"
+    return load_version(spark, folder)
 
 
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 25) -> DataFrame:

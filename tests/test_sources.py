@@ -83,3 +83,47 @@ def test_preview_needs_an_order(spark):
     assert [r["id"] for r in preview(spark.range(100).repartition(7), ["id"], 3).collect()] == [0, 1, 2]
     with pytest.raises(ValueError):
         preview(spark.range(3), [])
+
+
+def test_a_table_saved_from_itself(spark, tmp_path):
+    folder = str(tmp_path / "saved")
+    save_dataset(spark.range(10), folder, "first")
+    restored, _ = restore_dataset(spark, folder)
+    save_dataset(restored.where("id < 4"), folder, "second")
+    again, name = restore_dataset(spark, folder)
+    assert name == "second" and sorted(r.id for r in again.collect()) == [0, 1, 2, 3]
+    # The version it was made from is still whole.
+    assert restored.count() == 10
+
+
+def test_a_save_that_fails_leaves_the_old_table(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    folder = str(tmp_path / "saved")
+    save_dataset(spark.range(5), folder, "kept")
+    with pytest.raises(Exception, match="broken"):
+        save_dataset(spark.range(5).select(F.raise_error(F.lit("broken")).cast("long").alias("id")), folder, "lost")
+    table, name = restore_dataset(spark, folder)
+    assert name == "kept" and table.count() == 5
+    # A version that was written but not committed is no version.
+    spark.range(3).write.parquet(f"{folder}/data-none")
+    assert restore_dataset(spark, folder)[0].count() == 5
+
+
+def test_old_versions_go_and_missing_ones_are_none(spark, tmp_path):
+    from colsight.sources.snapshots import KEPT, load_version, save_version
+
+    folder = str(tmp_path / "saved")
+    assert load_version(spark, folder) is None
+    assert [save_version(spark.range(k), folder, f"v{k}") for k in range(1, 5)] == [1, 2, 3, 4]
+    assert load_version(spark, folder, 1) is None and load_version(spark, folder, 3)[0].count() == 3
+    assert len([p for p in (tmp_path / "saved").iterdir() if p.name.startswith("data-")]) == KEPT
+
+
+def test_two_saves_get_two_numbers(spark, tmp_path):
+    from colsight.sources.snapshots import _Folder, save_version
+
+    folder = str(tmp_path / "saved")
+    save_version(spark.range(1), folder, "a")
+    assert not _Folder(spark, folder).commit(1, {"data": "x", "name": "late"})
+    assert _Folder(spark, folder).read(1)["name"] == "a"
