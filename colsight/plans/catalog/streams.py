@@ -107,14 +107,20 @@ def stream_batch_summary(spark, sf_dir):
     return rounded(batch_summary(log, 6).drop("batches"), 6)
 
 
+def _in_batches(spark, folder, parts):
+    """A stream whose micro-batches are the given tables in turn, each written as one file for every core."""
+    files = spark.sparkContext.defaultParallelism
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(folder)
+    return read_parquet_stream(spark, folder, parts[0].schema, files_per_batch=files)
+
+
 def _delivered(spark, sf_dir):
-    """The events in four files, one micro-batch each, by event number; some come twice in a file."""
+    """The events in four micro-batches by event number; some come twice in a batch."""
     folder = scratch_path(spark, "event-files")
     events = table(spark, sf_dir, "events")
-    for k in range(4):
-        part = events.where(F.col("event_id") % 4 == k)
-        part.unionAll(part.where("event_id % 13 = 0")).coalesce(1).write.mode("append").parquet(folder)
-    return read_parquet_stream(spark, folder, events.schema)
+    parts = [events.where(F.col("event_id") % 4 == k) for k in range(4)]
+    return _in_batches(spark, folder, [p.unionAll(p.where("event_id % 13 = 0")) for p in parts])
 
 
 @query(" UNION ALL ".join(
@@ -143,11 +149,8 @@ def stream_dedup_batches(spark, sf_dir):
     """Every event comes in two of four micro-batches, and once out."""
     folder = scratch_path(spark, "event-copies")
     events = table(spark, sf_dir, "events")
-    for k in range(4):
-        events.where((F.col("event_id") % 4 == k) | (F.col("event_id") % 4 == (k + 2) % 4)).coalesce(1).write.mode(
-            "append"
-        ).parquet(folder)
-    once = stream_deduplicated(read_parquet_stream(spark, folder, events.schema), ["event_id"], "ts")
+    stream = _in_batches(spark, folder, [events.where(F.col("event_id") % 4 % 2 == k % 2) for k in range(4)])
+    once = stream_deduplicated(stream, ["event_id"], "ts")
     return write_stream_table(once.select("event_id", "user_id", "event_type", "value"))
 
 

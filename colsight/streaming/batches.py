@@ -14,7 +14,7 @@ from colsight.functions.dates import DATE_FORMATS
 from colsight.functions.numbers import as_number, col, nan_to_null, string_value, unpivot
 from colsight.operators.clean import coerce_dates, fill_values, impute, string_hygiene
 from colsight.operators.profile import Roles, clamp_score, null_counts, raw_score
-from colsight.session import scratch_path
+from colsight.session import materialize, owned_scratch, remove_scratch, scratch_path
 
 #: Values reported per column by :func:`running_top_values`.
 TOP_VALUES = 10
@@ -152,8 +152,8 @@ def clean_batches(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows_in = nan_to_null(batch)
-        rows = rows_in.dropDuplicates().persist()
-        try:
+        with owned_scratch() as written:
+            rows = materialize(rows_in.dropDuplicates(), "batch-rows")
             tidy = string_hygiene(rows)
             gaps = {r["column"]: r["nulls"] for r in null_counts(tidy).collect()}
             fillable = [c for c in roles.numeric + roles.categorical if gaps.get(c)]
@@ -169,8 +169,7 @@ def clean_batches(
                 F.lit(sum(gaps[c] for c in fills)).cast("long").alias("imputed_cells"),
             )
             log.write.mode("overwrite").parquet(f"{folder}/log/batch_id={batch_id}")
-        finally:
-            rows.unpersist()
+        remove_scratch(rows.sparkSession, written)
 
     _run(stream, write, folder, "append")
     spark = stream.sparkSession
