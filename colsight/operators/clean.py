@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,19 +123,46 @@ class Cleaned:
     day_first: frozenset
 
 
-def _stored(distinct: DataFrame, with_tidy: bool) -> tuple[DataFrame, DataFrame]:
-    """Writes the distinct rows, with a tidy copy of each string column beside it; returns raw and tidy views.
+@dataclass(frozen=True)
+class _Counts:
+    """What was counted while the distinct rows were written."""
+
+    rows: int
+    null_cells: int
+    distinct: int
+    gaps: dict[str, int]
+
+
+def _stored(raw: DataFrame, with_tidy: bool) -> tuple[DataFrame, DataFrame, _Counts]:
+    """Writes the distinct rows, with a tidy copy of each string column beside it; returns raw and tidy views and counts.
 
     String hygiene is the costliest work per row; this way it runs once, and passes over one view do not read the
-    columns of the other.
+    columns of the other. All counts are taken by the tasks that write, behind the shuffle, where every task counts once
+    however often executors are lost: rows and null cells of the whole table follow from the copies of each distinct row.
     """
-    names = distinct.columns
-    strings = [c for c in names if _is_string(distinct, c)] if with_tidy else []
+    names = raw.columns
+    strings = [c for c in names if _is_string(raw, c)] if with_tidy else []
     extra = {c: f"{c}\x1ftidy" for c in strings}
-    stored = materialize(distinct.select("*", *(hygienic(c).alias(extra[c]) for c in strings)), "dedup")
+    copies = "\x1fcopies"
+    distinct = raw.groupBy(*(col(c) for c in names)).agg(F.count(F.lit(1)).alias(copies))
+    wide = distinct.select("*", *(hygienic(c).alias(extra[c]) for c in strings))
+    empty = sum((F.when(col(c).isNull(), 1).otherwise(0) for c in names), F.lit(0))
+    seen = Observation()
+    counted = wide.observe(
+        seen, F.count(F.lit(1)).alias("distinct"), F.sum(col(copies)).alias("rows"),
+        F.sum(col(copies) * empty).alias("null_cells"),
+        *(F.count_if(col(extra.get(c, c)).isNull()).alias(f"gaps{i}") for i, c in enumerate(names)),
+    )
+    stored = materialize(counted.drop(copies), "dedup")
+    found = seen.get
+    counts = _Counts(
+        found.get("rows") or 0, found.get("null_cells") or 0, found.get("distinct") or 0,
+        {c: found.get(f"gaps{i}") or 0 for i, c in enumerate(names)},
+    )
     return (
         stored.select(*(col(c) for c in names)),
         stored.select(*(col(extra[c]).alias(c) if c in extra else col(c) for c in names)),
+        counts,
     )
 
 
@@ -159,11 +186,13 @@ def clean(
     if policy not in POLICIES or order not in ORDERS:
         raise ValueError(f"policy is one of {POLICIES}, order one of {ORDERS}")
     raw = nan_to_null(df)
-    base, tidy = _stored(raw.dropDuplicates(), order == "hygiene_first")
+    base, tidy, counts = _stored(raw, order == "hygiene_first")
     early = tidy if order == "hygiene_first" else base
 
-    before = null_counts(early)
-    gaps = {r["column"]: r["nulls"] for r in before.collect()}
+    gaps = counts.gaps
+    before = df.sparkSession.createDataFrame(
+        [(i, c, n) for i, (c, n) in enumerate(gaps.items())], "position int, column string, nulls long"
+    )
     fillable = [c for c in roles.numeric + roles.categorical if gaps.get(c)] if policy != "drop" else []
     fills = fill_values(early, roles, policy, only=fillable)
 
@@ -172,8 +201,10 @@ def clean(
     texts = [c for c in roles.date if c in late.columns and _is_string(late, c)]
     day_first = day_first_columns(base, texts)
     data = coerce_dates(late, roles.date, formats, day_first)
-    unread = sum((F.count_if(col(c).isNotNull()) for c in texts), F.lit(0).cast("long"))
-    written, read = late.agg(unread).scalar(), data.agg(unread).scalar()
+    written = read = F.lit(0).cast("long")
+    if texts:
+        filled_cells = sum((F.count_if(col(c).isNotNull()) for c in texts), F.lit(0).cast("long"))
+        written, read = late.agg(filled_cells).scalar(), data.agg(filled_cells).scalar()
     if policy == "drop":
         data = data.na.drop("any")
 
@@ -181,29 +212,27 @@ def clean(
         "position", "column", F.when(F.col("column").isin(*fills), F.col("nulls")).otherwise(0).alias("imputed")
     ) if fills else before.select("position", "column", F.lit(0).cast("long").alias("imputed"))
     dates = (read, written - read)
-    report = _report(raw, base, data, roles, {c: gaps[c] for c in fills}, policy, dates)
+    report = _report(counts, base, data, roles, {c: gaps[c] for c in fills}, policy, dates)
     return Cleaned(
         data, base, tidy, roles, fills, report, _steps(report), imputed, order, tuple(formats), day_first
     )
 
 
 def _report(
-    raw: DataFrame, base: DataFrame, data: DataFrame, roles: Roles, imputed: dict[str, int], policy: str,
+    counts: _Counts, base: DataFrame, data: DataFrame, roles: Roles, imputed: dict[str, int], policy: str,
     cells: tuple[Column, Column],
 ) -> DataFrame:
     """One row: shapes, duplicates, filled and rebuilt cells, date cells read and not, and the score of the raw table."""
     strings = [f.name for f in base.schema if isinstance(f.dataType, T.StringType)]
-    nulls = sum((F.count_if(col(c).isNull()) for c in raw.columns), F.lit(0))
-    initial = raw.agg(F.count(F.lit(1)).alias("n"), nulls.alias("nulls"))
-    distinct = base.agg(F.count(F.lit(1)).alias("n"))
     dates = [c for c in roles.date if c in base.columns]
-    one = raw.sparkSession.range(1).select(
-        initial.select("n").scalar().alias("initial_rows"),
-        initial.select("nulls").scalar().alias("initial_nulls"),
-        distinct.scalar().alias("distinct_rows"),
-        (data.agg(F.count(F.lit(1))).scalar() if policy == "drop" else distinct.scalar()).alias("final_rows"),
+    distinct = F.lit(counts.distinct).cast("long")
+    one = base.sparkSession.range(1).select(
+        F.lit(counts.rows).cast("long").alias("initial_rows"),
+        F.lit(counts.null_cells).cast("long").alias("initial_nulls"),
+        distinct.alias("distinct_rows"),
+        (data.agg(F.count(F.lit(1))).scalar() if policy == "drop" else distinct).alias("final_rows"),
     )
-    columns = F.lit(len(raw.columns)).cast("long")
+    columns = F.lit(len(base.columns)).cast("long")
     score = raw_score(
         F.col("initial_nulls"),
         F.col("initial_rows") * columns,

@@ -117,3 +117,25 @@ def test_hot_duplicates_and_nan(spark):
     done = clean(hot.unionByName(rest), Roles(numeric=["x"]))
     assert done.report.first()["duplicates_removed"] == 2999
     assert done.fills == {"x": 24.5}
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None)], [(1.0, "a"), (1.0, "a"), (None, " null "), (None, " null "), (2.0, None)]])
+def test_counts_are_taken_while_rows_are_written(spark, rows):
+    df = spark.createDataFrame(rows, "x double, `a.b` string")
+    out = clean(df, Roles(numeric=["x"], categorical=["a.b"]))
+    report = out.report.first()
+    assert report.initial_rows == len(rows) and report.initial_nulls == sum(v is None for r in rows for v in r)
+    assert report.duplicates_removed == len(rows) - len(set(rows)) and report.final_rows == len(set(rows))
+    assert out.data.columns == ["x", "a.b"] and out.data.count() == len(set(rows))
+    # Tokens for nulls are gaps as well.
+    gaps = {r["column"]: r["imputed"] for r in out.imputed.collect()}
+    assert gaps == {"x": len({r for r in rows if r[0] is None}), "a.b": len({r for r in rows if r[1] in (None, " null ")})}
+
+
+def test_the_report_scans_the_table_no_more(spark):
+    """Counts come with the write: without texts to read as dates the report has no scan left."""
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "x double, y string")
+    report = clean(df, Roles(numeric=["x"], categorical=["y"])).report
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "parquet" not in plan
+    assert report.first().final_rows == 2
