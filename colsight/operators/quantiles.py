@@ -85,12 +85,11 @@ def _searched(numbers: DataFrame, searches: list[_Search]) -> dict[tuple[str, in
 
 
 def exact_quantiles(
-    df: DataFrame, names: list[str], probs: list[float], *, n_rows: int | None = None
+    df: DataFrame, names: list[str], probs: list[float]
 ) -> dict[str, list[float | None]]:
     """Interpolated quantiles of numeric columns as plain numbers, nulls ignored; an all-null column gives None.
 
     Sketches narrow down the values around each wanted rank until at most ``PICK_ROWS`` are left to be put in order.
-    ``n_rows`` is not needed and kept for callers that know it.
     """
     if not names:
         return {}
