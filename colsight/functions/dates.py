@@ -89,6 +89,7 @@ def day_first_columns(df: DataFrame, names: Sequence[str]) -> frozenset[str]:
 
 def has_date_separator(text: Column) -> Column:
     """True for texts of at least six characters with a date or time separator."""
-    text = strip(text)
-    marks = reduce(lambda a, b: a | b, (text.contains(mark) for mark in "-/.: "))
-    return (F.length(text) >= 6) & marks
+    bare = strip(text)
+    marks = reduce(lambda a, b: a | b, (bare.contains(mark) for mark in "-/.: "))
+    # Stripping never lengthens: short texts are ruled out before it.
+    return (F.length(text) >= 6) & (F.length(bare) >= 6) & marks

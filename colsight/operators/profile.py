@@ -113,47 +113,66 @@ def _facts(df: DataFrame, name: str) -> list[Column]:
     ]
 
 
-def _cell_text(df: DataFrame, name: str) -> Column:
-    """A text that differs for different values of a column."""
+def _cell_key(df: DataFrame, name: str) -> list[Column]:
+    """Two numbers that name a cell's value within its column; the first is null for a missing cell.
+
+    XXH64 maps numbers of up to 64 bits one to one, so these have one hash and a zero; other values have two hashes of
+    differing seeds, 128 bits in all.
+    """
     data_type = df.schema[name].dataType
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return (col(name) + F.lit(0.0)).cast("string")  # both zeros are one value
-    if isinstance(data_type, T.TimestampType):
-        return F.unix_micros(col(name)).cast("string")
-    return string_value(df, name)
+        value = col(name) + F.lit(0.0)  # both zeros are one value
+    elif isinstance(data_type, (*INTEGRAL, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        value = col(name)
+    else:
+        value = string_value(df, name)
+        return [F.when(value.isNotNull(), F.xxhash64(value)), F.xxhash64(F.lit(1), value)]
+    return [F.when(value.isNotNull(), F.xxhash64(value)), F.lit(0).cast("long")]
+
+
+def _text_figures(df: DataFrame, names: list[str], formats) -> DataFrame:
+    """Mean length and date share of the string columns among ``names``, by position: one row per task is shuffled."""
+    strings = [(i, n) for i, n in enumerate(names) if _kind(df.schema[n].dataType) == "string"]
+    aggregates = []
+    for i, name in strings:
+        text = string_value(df, name)
+        aggregates.append(F.struct(
+            F.lit(i).alias("c"), F.avg(F.length(text)).alias("avg_len"),
+            F.try_divide(F.count_if(_date_like(df, name, formats)), F.count(text)).alias("date_share"),
+        ))
+    none = F.struct(F.lit(-1).alias("c"), *(F.lit(None).cast("double").alias(n) for n in ("avg_len", "date_share")))
+    wide = df.agg(F.array(*aggregates, none).alias("figures")) if strings else df.sparkSession.range(1).select(
+        F.array(none).alias("figures")
+    )
+    return wide.select(F.inline("figures"))
 
 
 def _exact_stats(df: DataFrame, names: list[str], formats) -> DataFrame:
-    """Exact figures per column: count equal cells of all columns, then fold the counts; one scan in all.
+    """Exact figures per column: count equal cells of all columns, then fold the counts.
 
-    Equal cells combine before the shuffle, so a value that fills most rows costs one row per task; the second fold
-    moves one row per column and task. Long texts are grouped by digest, with length and date test taken before.
+    Cells travel as fixed-width numbers, never as text. Equal ones combine before the shuffle, so a value that fills
+    most rows costs one row per task; the second fold moves one row per column and task. The figures of texts come from
+    a scan of the string columns alone: with their long date test in it, the code that hashes cells would be too large
+    to be compiled.
     """
     cells = []
     for i, name in enumerate(names):
-        string = _kind(df.schema[name].dataType) == "string"
-        text = string_value(df, name)
-        cells.append(F.struct(
-            F.lit(i).alias("c"), (compact_key(text) if string else _cell_text(df, name)).alias("cell"),
-            (F.length(text) if string else F.lit(None).cast("int")).alias("len"),
-            _date_like(df, name, formats).alias("dateish"),
-        ))
-    counted = df.select(F.inline(F.array(*cells))).groupBy("c", "cell", "len", "dateish").agg(F.count(F.lit(1)).alias("n"))
-    non_null = F.sum(F.when(F.col("cell").isNotNull(), F.col("n")).otherwise(0))
-    string = F.col("fact.kind") == "string"
+        high, low = _cell_key(df, name)
+        cells.append(F.struct(F.lit(i).alias("c"), high.alias("high"), low.alias("low")))
+    counted = df.select(F.inline(F.array(*cells))).groupBy("c", "high", "low").agg(F.count(F.lit(1)).alias("n"))
     facts = F.array(*(F.struct(*_facts(df, n)) for n in names))
-    return counted.groupBy("c").agg(
-        F.sum("n").alias("n_rows"), non_null.alias("non_null"), F.count("cell").alias("n_unique"),
-        F.try_divide(F.sum(F.col("n") * F.col("len")), non_null).alias("avg_len"),
-        F.try_divide(F.sum(F.when(F.col("dateish"), F.col("n")).otherwise(0)), non_null).alias("date_share"),
-    ).withColumn("fact", F.get(facts, F.col("c"))).select(
-        "fact.*", "n_rows", "non_null", "n_unique", F.when(string, F.col("avg_len")).alias("avg_len"),
-        F.when(string, F.col("date_share")).alias("date_share"),
+    counts = counted.groupBy("c").agg(
+        F.sum("n").alias("n_rows"), F.sum(F.when(F.col("high").isNotNull(), F.col("n")).otherwise(0)).alias("non_null"),
+        F.count("high").alias("n_unique"),
+    )
+    # At most one row per column of the table on either side.
+    return counts.join(F.broadcast(_text_figures(df, names, formats)), "c", "left").select(
+        F.inline(F.array(F.get(facts, F.col("c")))), "n_rows", "non_null", "n_unique", "avg_len", "date_share"
     )
 
 
 def _screened_stats(df: DataFrame, names: list[str], formats) -> DataFrame:
-    """The same figures with a distinct-count sketch: one scan whose shuffle is one row per task."""
+    """The same figures with distinct-count sketches: no shuffle but one row per task."""
     aggregates = [F.count(F.lit(1)).alias("n_rows")]
     for i, name in enumerate(names):
         string = _kind(df.schema[name].dataType) == "string"
@@ -162,28 +181,17 @@ def _screened_stats(df: DataFrame, names: list[str], formats) -> DataFrame:
         aggregates += [
             F.count(value).alias(f"non_null_{i}"),
             F.hll_sketch_estimate(F.hll_sketch_agg(digest, F.lit(_SCREEN_LOG_SIZE))).alias(f"n_unique_{i}"),
-            (F.avg(F.length(value)) if string else F.first(F.lit(None).cast("double"))).alias(f"avg_len_{i}"),
-            (
-                F.try_divide(F.count_if(_date_like(df, name, formats)), F.count(value))
-                if string
-                else F.first(F.lit(None).cast("double"))
-            ).alias(f"date_share_{i}"),
         ]
-    wide = df.agg(*aggregates)
-    cells = F.array(
-        *(
-            F.struct(
-                *_facts(df, name),
-                F.col("n_rows"),
-                F.col(f"non_null_{i}").alias("non_null"),
-                F.col(f"n_unique_{i}").alias("n_unique"),
-                F.col(f"avg_len_{i}").cast("double").alias("avg_len"),
-                F.col(f"date_share_{i}").cast("double").alias("date_share"),
-            )
-            for i, name in enumerate(names)
+    cells = F.array(*(
+        F.struct(
+            *_facts(df, name), F.col("n_rows"), F.col(f"non_null_{i}").alias("non_null"),
+            F.col(f"n_unique_{i}").alias("n_unique"),
         )
-    )
-    return wide.select(F.inline(cells))
+        for i, name in enumerate(names)
+    ))
+    screened = df.agg(*aggregates).select(F.inline(cells))
+    figures = _text_figures(df, names, formats).withColumnRenamed("c", "position")
+    return screened.join(F.broadcast(figures), "position", "left")
 
 
 def _role(bool_as_numeric: bool, strict_order: bool) -> Column:

@@ -116,3 +116,28 @@ def test_categorical_stats_ties_and_gaps(spark):
 def test_null_counts(spark):
     rows = {r["column"]: r["nulls"] for r in null_counts(sales(spark)).collect()}
     assert rows["Revenue"] == 1 and rows["Quantity"] == 1 and rows["Date"] == 0
+
+
+def test_exact_counts_of_every_type(spark):
+    df = spark.range(300).selectExpr(
+        "CASE WHEN id % 9 <> 0 THEN id % 40 END AS n", "CAST(id % 7 AS tinyint) AS small", "id % 2 = 0 AS flag",
+        "CASE id % 4 WHEN 0 THEN 0D WHEN 1 THEN -0D WHEN 2 THEN double('NaN') ELSE id / 3 END AS f",
+        "CAST(id % 11 AS decimal(30, 4)) AS dec", "CAST(concat('b', id % 5) AS binary) AS bin",
+        "date_add(date'2024-01-01', int(id % 13)) AS d", "timestamp_seconds(id % 17) AS ts", "array(id % 3, id % 2) AS arr",
+        "CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN concat('x', id % 50) END AS s",
+    )
+    want = df.selectExpr("*", "CASE WHEN NOT isnan(f) THEN f + 0D END AS g").drop("f").withColumnRenamed("g", "f").agg(
+        *(F.count_distinct(c).alias(c) for c in df.columns)
+    ).first()
+    got = {r["column"]: r for r in profile(df).collect()}
+    assert {c: got[c]["n_unique"] for c in df.columns} == want.asDict()
+    assert got["n"]["nulls"] == df.where("n is null").count() and got["s"]["nulls"] == 100
+    assert got["s"]["avg_len"] == pytest.approx(df.agg(F.avg(F.length("s"))).first()[0])
+    assert got["n"]["avg_len"] is None and got["flag"]["n_unique"] == 2
+
+
+def test_dates_are_found_beside_other_texts(spark):
+    df = spark.range(50).selectExpr("concat(1 + id % 12, '/5/2024') AS seen", "concat('word ', id) AS note", "id AS n")
+    roles = {r["column"]: (r["role"], r["date_share"]) for r in profile(df).collect()}
+    assert roles["seen"] == ("date", 1.0) and roles["note"][1] == 0.0 and roles["n"][1] is None
+    assert profile(df.limit(0)).count() == 0
