@@ -14,6 +14,7 @@ from colsight.streaming.batches import (
     read_parquet_stream,
     running_null_counts,
     running_numeric_stats,
+    running_sample,
     running_top_values,
     stream_deduplicated,
     write_stream_table,
@@ -166,3 +167,26 @@ def stream_batch_log_batches(spark, sf_dir):
 def row_sample(spark, sf_dir):
     """A repeatable sample of rows for models and plots."""
     return hashed_sample(table(spark, sf_dir, "events"), 1000, ["event_id"])
+
+
+@query("SELECT * REPLACE (CAST(ts AS VARCHAR) AS ts) FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 1000")
+def row_sample_batches(spark, sf_dir):
+    """The same 1000 rows as of the whole table, kept while twelve micro-batches arrive."""
+    folder = scratch_path(spark, "event-parts")
+    events = table(spark, sf_dir, "events")
+    stream = _in_batches(spark, folder, [events.where(F.col("event_id") % 12 == k) for k in range(12)])
+    digest = F.md5(F.concat(F.lit("42:"), F.col("event_id").cast("string")))
+    return running_sample(stream, 1000, ["event_id"], digest=digest).withColumn("ts", F.col("ts").cast("string"))
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT * FROM (SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM events GROUP BY {c}
+    ORDER BY count(*) DESC, CAST({c} AS VARCHAR) LIMIT 10)"""
+    for c in ("event_type", "user_id")
+))
+def running_top_tiers(spark, sf_dir):
+    """Counts of seventeen micro-batches, merged in tiers while they arrive."""
+    folder = scratch_path(spark, "event-parts")
+    events = table(spark, sf_dir, "events")
+    stream = _in_batches(spark, folder, [events.where(F.col("event_id") % 17 == k) for k in range(17)])
+    return running_top_values(stream, ["event_type", "user_id"])

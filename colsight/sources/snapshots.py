@@ -19,7 +19,7 @@ _MANIFEST = re.compile(r"manifest-(\d+)\.json")
 KEPT = 2
 
 
-class _Folder:
+class VersionFolder:
     """Small files of a folder, through the file system that Spark itself writes to."""
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -29,11 +29,13 @@ class _Folder:
     def _path(self, name: str):
         return self._spark._jvm.org.apache.hadoop.fs.Path(f"{self.name}/{name}" if name else self.name)
 
-    def versions(self) -> list[int]:
+    def names(self) -> list[str]:
         if not self._store.exists(self._path("")):
             return []
-        names = (s.getPath().getName() for s in self._store.listStatus(self._path("")))
-        return sorted(int(m[1]) for m in map(_MANIFEST.fullmatch, names) if m)
+        return [s.getPath().getName() for s in self._store.listStatus(self._path(""))]
+
+    def versions(self) -> list[int]:
+        return sorted(int(m[1]) for m in map(_MANIFEST.fullmatch, self.names()) if m)
 
     def read(self, version: int) -> dict:
         rows = self._spark.read.text(f"{self.name}/manifest-{version}.json", wholetext=True).collect()
@@ -61,7 +63,7 @@ def save_version(df: DataFrame, folder: str, name: str) -> int:
     If the write fails or is cut short, the versions before stay as they are. Of the older versions the last ones are
     kept for tables that were restored from them, the others are removed.
     """
-    place = _Folder(df.sparkSession, folder)
+    place = VersionFolder(df.sparkSession, folder)
     data = f"data-{uuid.uuid4().hex}"
     df.write.parquet(f"{place.name}/{data}")
     version = max(place.versions(), default=0) + 1
@@ -76,7 +78,7 @@ def save_version(df: DataFrame, folder: str, name: str) -> int:
 
 def load_version(spark: SparkSession, folder: str, version: int | None = None) -> tuple[DataFrame, str] | None:
     """The table and name of a version, the last one by default; None if there is none."""
-    place = _Folder(spark, folder)
+    place = VersionFolder(spark, folder)
     known = place.versions()
     wanted = version if version is not None else max(known, default=None)
     if wanted not in known:

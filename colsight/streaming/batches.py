@@ -1,12 +1,12 @@
 """Running statistics and per-batch cleaning over a stream of rows.
 
-Results live in tables below a folder: each micro-batch writes its own ``batch_id=N`` directory and overwrites it when
-the batch is repeated, so a restart after a lost executor or driver never counts a batch twice.
+Results live in tables below a folder. A micro-batch writes its own ``batch_id=N`` directory, overwritten when the batch is
+repeated, or a table that a manifest commits once; so a restart after a lost executor or driver counts no batch twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,9 @@ from colsight.functions.dates import DATE_FORMATS
 from colsight.functions.numbers import as_number, col, nan_to_null, string_value, unpivot
 from colsight.operators.clean import coerce_dates, fill_values, impute, string_hygiene
 from colsight.operators.profile import Roles, clamp_score, null_counts, raw_score
+from colsight.operators.sampling import hashed_sample
 from colsight.session import materialize, owned_scratch, remove_scratch, scratch_path
+from colsight.streaming.tiers import add_batch, open_tiers
 
 #: Values reported per column by :func:`running_top_values`.
 TOP_VALUES = 10
@@ -90,24 +92,22 @@ def running_top_values(
 ) -> DataFrame:
     """The ``n`` most frequent values per column over all batches, exact.
 
-    A batch writes its value counts, already folded; the tables are summed when read. No state grows with the number
-    of distinct values, and a value that fills a third of the stream is one row per batch.
+    A batch writes its value counts, already folded, and tables of counts are merged in tiers, so what is read and summed
+    at the end are few tables however many batches came. No state grows with the number of distinct values, and a value
+    that fills a third of the stream is one row per table.
     """
     folder = _folder(stream, "running-top", folder)
     cells = unpivot(nan_to_null(stream), names, string_value)
 
+    def folded(counts: DataFrame) -> DataFrame:
+        return counts.groupBy("column", "value").agg(F.sum("n").alias("n"))
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(
-            f"{folder}/counts/batch_id={batch_id}"
-        )
+        counts = folded(batch.select("column", "value", F.lit(1).cast("long").alias("n")))
+        add_batch(counts, f"{folder}/counts", batch_id, folded)
 
     _run(cells, write, folder, "append")
-    counts = (
-        stream.sparkSession.read.schema("column string, value string, n long, batch_id long")
-        .parquet(f"{folder}/counts")
-        .groupBy("column", "value")
-        .agg(F.sum("n").alias("n"))
-    )
+    counts = folded(open_tiers(stream.sparkSession, f"{folder}/counts", "column string, value string, n long"))
     # One top-k per column: each is a small heap per task, where a window would sort every value of a column.
     tops = [
         counts.where(F.col("column") == name).orderBy(F.desc("n"), F.asc_nulls_last("value")).limit(n)
@@ -119,6 +119,27 @@ def running_top_values(
     return out
 
 
+def running_sample(
+    stream: DataFrame, n: int, keys: list[str] | None = None, folder: str | None = None, *, seed: int = 42,
+    digest: Column | None = None,
+) -> DataFrame:
+    """The sample that :func:`colsight.operators.sampling.hashed_sample` would take of all batches together.
+
+    The ``n`` rows of lowest hash are among those of their batch, so a batch writes at most ``n`` rows, and so does every
+    merge of tables.
+    """
+    folder = _folder(stream, "running-sample", folder)
+
+    def lowest(rows: DataFrame) -> DataFrame:
+        return hashed_sample(rows, n, keys, seed, digest)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        add_batch(lowest(batch), f"{folder}/sample", batch_id, lowest)
+
+    _run(stream, write, folder, "append")
+    return lowest(open_tiers(stream.sparkSession, f"{folder}/sample", stream.schema))
+
+
 def stream_deduplicated(stream: DataFrame, keys: list[str], event_time: str, delay: str = "1 hour") -> DataFrame:
     """Rows without copies across batches, as long as a copy arrives within ``delay`` of the first in event time.
 

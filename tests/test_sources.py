@@ -121,9 +121,9 @@ def test_old_versions_go_and_missing_ones_are_none(spark, tmp_path):
 
 
 def test_two_saves_get_two_numbers(spark, tmp_path):
-    from colsight.sources.snapshots import _Folder, save_version
+    from colsight.sources.snapshots import VersionFolder, save_version
 
     folder = str(tmp_path / "saved")
     save_version(spark.range(1), folder, "a")
-    assert not _Folder(spark, folder).commit(1, {"data": "x", "name": "late"})
-    assert _Folder(spark, folder).read(1)["name"] == "a"
+    assert not VersionFolder(spark, folder).commit(1, {"data": "x", "name": "late"})
+    assert VersionFolder(spark, folder).read(1)["name"] == "a"

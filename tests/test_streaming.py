@@ -12,11 +12,13 @@ from colsight.streaming.batches import (
     read_parquet_stream,
     running_null_counts,
     running_numeric_stats,
+    running_sample,
     running_top_values,
     stream_deduplicated,
     throughput,
     write_stream_table,
 )
+from colsight.streaming.tiers import FAN, add_batch, open_tiers
 
 ROLES = Roles(numeric=["x"], categorical=["s"], id_high_cardinality=["id"])
 
@@ -104,3 +106,50 @@ def test_throughput():
         {"processedRowsPerSecond": 0.0, "numInputRows": 0},
     ]
     assert throughput(reports) == {"batches": 2, "rows_per_second": 20.0}
+
+
+def summed(df):
+    return df.groupBy("k").agg(F.sum("n").alias("n"))
+
+
+def test_tiers_stay_few_and_count_each_batch_once(spark, tmp_path):
+    folder = str(tmp_path / "tiers")
+    for i in range(FAN * FAN + FAN + 1):
+        batch = spark.createDataFrame([(f"k{i % 3}", 1), ("all", 1)], "k string, n long")
+        add_batch(batch, folder, i, summed)
+        add_batch(batch, folder, i, summed)
+        rows = {r["k"]: r["n"] for r in summed(open_tiers(spark, folder, "k string, n long")).collect()}
+        assert rows["all"] == i + 1 and sum(rows.values()) == 2 * (i + 1)
+    assert len(open_tiers(spark, folder, "k string, n long").inputFiles()) <= 3 * spark.sparkContext.defaultParallelism
+    tables = [p.name for p in (tmp_path / "tiers").iterdir() if p.name.startswith("level")]
+    last = sorted(t.split("-")[0] for t in tables)
+    assert last.count("level2") == 1 and last.count("level1") == 1 and last.count("level0") <= FAN
+
+
+def test_a_crash_before_the_commit_leaves_nothing_that_counts(spark, tmp_path):
+    folder = str(tmp_path / "tiers")
+    batch = spark.createDataFrame([("a", 1)], "k string, n long")
+    for i in range(FAN - 1):
+        add_batch(batch, folder, i, summed)
+
+    def fails(_):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        add_batch(batch, folder, FAN - 1, fails)
+    read = lambda: summed(open_tiers(spark, folder, "k string, n long")).first()["n"]
+    assert read() == FAN - 1
+    add_batch(batch, folder, FAN - 1, summed)
+    assert read() == FAN
+
+
+def test_no_batch_gives_no_rows(spark, tmp_path):
+    assert open_tiers(spark, str(tmp_path / "none"), "k string, n long").count() == 0
+
+
+def test_sample_of_a_stream_is_that_of_the_table(spark, table):
+    rows = spark.read.parquet(table)
+    for n in (7, 90, 1000):
+        got = running_sample(stream(spark, table), n, ["id"]).select("id").collect()
+        want = hashed_sample(rows, n, ["id"]).select("id").collect()
+        assert sorted(got) == sorted(want) and len(got) == min(n, 420)
