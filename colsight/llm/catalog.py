@@ -151,7 +151,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(table(spark, sf_dir, "documents"))
+    found = scan_secrets(table(spark, sf_dir, "documents"), judged="judged")
     name = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     base = F.filter("spans", lambda s: s["kind"] != "learned")
 
@@ -161,7 +161,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", number("assign"), number("access"), number("hex"), number("learned"),
         F.sha2(F.array_join(F.transform(base, name), ","), 256).alias("base_sha256"),
-        F.array_join(F.transform("spans", name), ",").alias("spans"),
+        F.array_join(F.transform("spans", name), ",").alias("spans"), "judged",
     )
 
 
