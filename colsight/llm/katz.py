@@ -1,50 +1,50 @@
 """Language-model scores: a Katz bigram model with Good-Turing discounts and exactly normalised backoff weights.
 
-A token given its predecessor has the discounted share of a stored bigram, or else the predecessor's backoff weight
-times the token's own probability. The log of a text's probability is thus a sum over tokens of ``log alpha(previous) +
-log p(token)``, plus, for stored bigrams, a correction ``gain``. So a text is scored from two tables, one of tokens and
-one of bigrams. Frequent entries of both, up to a fixed number, are broadcast; only occurrences of the others are
-shuffled to their entry, which also takes every hot key out of the shuffles.
+A token given its predecessor has the discounted share of the bigram if that was seen in training, or else the
+predecessor's backoff weight times the token's own probability. All bigrams are counted and stored. Frequent words have
+small numbers as names and other words 63 bits of their hash, so a bigram is a pair of names.
+
+Most tokens are scored in the scan over the texts, from the most frequent words and bigrams, which are broadcast up to a
+fixed number. In a training text every bigram was seen, so one that a sketch tells was not seen twice was seen once. Only
+the other bigrams and the rare words are shuffled to their counts, which also takes hot keys out of the shuffles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colsight.llm import sketch
-from colsight.llm.common import LOWER, pieces, utf8, whole_texts, word_hashes, word_spans
-from colsight.session import materialize
+from colsight.llm.common import LOWER, mix, pieces, utf8, whole_texts, word_hashes, word_spans
+from colsight.session import materialize, owned_scratch, remove_scratch
 
-#: Most entries of the tables of tokens and bigrams that are broadcast (24 and 16 bytes each).
-HEAD_TOKENS, HEAD_BIGRAMS = 1 << 20, 1 << 17
+#: Most words and bigrams that are broadcast (40 and 16 bytes each).
+HEAD_TOKENS, HEAD_BIGRAMS = 1 << 19, 1 << 20
 
 #: Entries that a task counts before it hands them on.
 FLUSH = 1 << 22
 
-#: Names of the end token and of what stands before the first word; a word's name is taken from its hash.
-END, BEGIN = 0, 1
-
-COUNTS = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
+#: Counts up to which a bigram's count is discounted.
+DISCOUNTED = 7
 
+#: Occurrences of a first word for each group that its bigrams are dealt into.
+DEALT = 1 << 16
 
-def names_of(hashes: np.ndarray) -> np.ndarray:
-    """Bigrams name words by 32 bits, so a pair is one 64-bit key; words of one name are one event of the model."""
-    return np.uint64(2) + (hashes >> np.uint64(32)) % np.uint64((1 << 32) - 2)
+#: Names of the end token and of what stands before the first word. Frequent words have the names from ``WORDS`` on, by
+#: descending count; the names of others are negative.
+END, BEGIN, WORDS = 0, 1, 2
 
+_TOP = np.uint64(1 << 63)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 
-def name_column(key: str) -> Column:
-    """As :func:`names_of`, of a column with the hash; the end token has hash and name zero."""
-    return F.when(F.col(key) == 0, F.lit(END).cast("long")).otherwise(
-        F.shiftrightunsigned(key, 32) % F.lit((1 << 32) - 2) + 2
-    )
+COUNTS = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,81 +55,190 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(raw, begin, end), np.searchsorted(row, np.arange(len(limits)))
 
 
-def bigrams_of(hashes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (name << 32 | next name) of every row, from the begin to the end token, and the row of each."""
+@dataclass
+class Words:
+    """The frequent words: ``keys`` (sorted hashes) and their ``names``; by name the training count ``n``, the log
+    probability ``logp``, the log of what a history's counts are divided by, ``history``, and the log backoff weight
+    ``loga``.
+    """
+
+    keys: np.ndarray
+    names: np.ndarray
+    n: np.ndarray
+    scale: float
+    loga: np.ndarray
+
+    @property
+    def logp(self) -> np.ndarray:
+        return np.log10(self.n + 0.5) - np.log10(self.scale)
+
+    @property
+    def history(self) -> np.ndarray:
+        return np.log10(self.n + 0.5)
+
+    def named(self, hashes: np.ndarray) -> np.ndarray:
+        at = _find(self.keys, hashes)
+        return np.where(at >= 0, self.names[at] if len(self.names) else np.uint64(0), hashes | _TOP)
+
+
+def name_column(key: str) -> Column:
+    """The name of a word that is not frequent, of a column with its hash."""
+    return F.col(key).bitwiseOR(F.lit(-(1 << 63)))
+
+
+def lines_of(names: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All names from the begin to the end token of every row, whether each is a word, and the row of each."""
     rows = len(limits) - 1
     sizes = np.diff(limits) + 2
     starts = np.cumsum(sizes) - sizes
-    line = np.empty(len(hashes) + 2 * rows, np.uint64)
+    inner = np.ones(len(names) + 2 * rows, bool)
+    inner[starts] = inner[starts + sizes - 1] = False
+    line = np.empty(len(inner), np.uint64)
     line[starts] = BEGIN
     line[starts + sizes - 1] = END
-    owner = np.repeat(np.arange(rows), sizes)
-    inner = np.ones(len(line), bool)
-    inner[starts] = inner[starts + sizes - 1] = False
-    line[inner] = names_of(hashes)
-    keys = (line[:-1] << np.uint64(32)) | line[1:]
-    within = owner[1:] == owner[:-1]
-    return keys[within], owner[:-1][within]
+    line[inner] = names
+    return line, inner, np.repeat(np.arange(rows), sizes)
+
+
+def _frequent(names: np.ndarray) -> np.ndarray:
+    return names < _TOP
+
+
+def _packed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A pair of frequent names as one number."""
+    return first << np.uint64(32) | second
 
 
-def _counted(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * _ODD + mix(second))
+
+
+def _unsigned(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+class _Counter:
     """Counts of the keys of a task; equal keys meet before the shuffle as far as memory is bounded."""
-    held, total = [], 0
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def fold() -> None:
-        nonlocal held, total, keys, counts
-        new, times = np.unique(np.concatenate(held), return_counts=True)
-        both, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
-        sums = np.bincount(place, weights=np.concatenate([counts, times]), minlength=len(both))
-        keys, counts, held, total = both, sums.astype(np.int64), [], 0
-
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=COUNTS.names)
-
-    for part in parts:
-        held.append(part)
-        total += len(part)
-        if total >= 1 << 20:
-            fold()
-            if len(keys) >= FLUSH:
-                yield batch()
-                keys, counts = keys[:0], counts[:0]
-    if held:
-        fold()
-    yield batch()
-
-
-def _count(rows: DataFrame, keys_of, kept: Column | None = None) -> DataFrame:
-    """Occurrences of each key over all rows; tasks are joined by fours, so that more equal keys meet in one."""
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _counted(keys_of(p) for b in batches for p in pieces(b))
 
+    def __init__(self) -> None:
+        self.held, self.total = [], 0
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, part: np.ndarray) -> bool:
+        """Whether there are so many distinct keys that they should be taken."""
+        self.held.append(part)
+        self.total += len(part)
+        if self.total < 1 << 20:
+            return False
+        self._fold()
+        return len(self.keys) >= FLUSH
+
+    def _fold(self) -> None:
+        new, times = np.unique(np.concatenate(self.held), return_counts=True)
+        both, place = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
+        sums = np.bincount(place, weights=np.concatenate([self.counts, times]), minlength=len(both))
+        self.keys, self.counts, self.held, self.total = both, sums.astype(np.int64), [], 0
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.held:
+            self._fold()
+        out = self.keys, self.counts
+        self.keys, self.counts = self.keys[:0], self.counts[:0]
+        return out
+
+
+def _joined(rows: DataFrame) -> DataFrame:
+    """Tasks joined by fours, so that more equal keys meet in one."""
     slots = rows.sparkSession.sparkContext.defaultParallelism
-    joined = rows.coalesce(max(slots, rows.rdd.getNumPartitions() // 4))
-    sums = whole_texts(joined).mapInArrow(scan, COUNTS).groupBy("key").agg(F.sum("n").alias("n"))
-    return sums if kept is None else sums.where(kept)
+    return whole_texts(rows.coalesce(max(slots, rows.rdd.getNumPartitions() // 4)))
+
+
+def _count_words(texts: DataFrame) -> DataFrame:
+    """(key, n): occurrences of each word by its hash, and of the end token by zero."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _Counter()
+
+        def batch() -> pa.RecordBatch:
+            keys, counts = counter.take()
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=COUNTS.names)
+
+        for b in batches:
+            for piece in pieces(b):
+                hashes, limits = tokens_of(piece.column("text"))
+                if counter.add(np.concatenate([hashes, np.zeros(len(limits) - 1, np.uint64)])):
+                    yield batch()
+        yield batch()
+
+    return _joined(texts).mapInArrow(scan, COUNTS).groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _count_bigrams(texts: DataFrame, words: Words) -> DataFrame:
+    """(first, second, n): occurrences of each bigram, the bigrams of a first word side by side.
+
+    They are dealt by first word, those of a frequent one into as many groups as its count, known by then, asks for.
+    Bigrams of rare words, which seldom repeat, go to the shuffle as they are.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(words)
+    schema = "first long, part int, second long, n long"
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counter = sent.value, _Counter()
+        parts = (1 + words.n // DEALT).astype(np.uint64)
+
+        def batch(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            part = np.zeros(len(first), np.int32)
+            known = _frequent(first)
+            part[known] = mix(second[known]) % parts[first[known]]
+            return pa.RecordBatch.from_arrays([
+                pa.array(first.view(np.int64)), pa.array(part), pa.array(second.view(np.int64)), pa.array(n),
+            ], names=["first", "part", "second", "n"])
+
+        def counted() -> pa.RecordBatch:
+            keys, n = counter.take()
+            return batch(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), n)
+
+        for b in batches:
+            for piece in pieces(b):
+                hashes, limits = tokens_of(piece.column("text"))
+                line, _, owner = lines_of(words.named(hashes), limits)
+                within = owner[1:] == owner[:-1]
+                first, second = line[:-1][within], line[1:][within]
+                both = _frequent(first | second)
+                full = counter.add(_packed(first[both], second[both]))
+                yield batch(first[~both], second[~both], np.ones(np.count_nonzero(~both), np.int64))
+                if full:
+                    yield counted()
+        yield counted()
+
+    pairs = _joined(texts).mapInArrow(scan, schema).repartition("first", "part")
+    sums = pairs.groupBy("first", "part", "second").agg(F.sum("n").alias("n"))
+    return sums.select("first", "second", "n").sortWithinPartitions("first", "second")
 
 
 @dataclass
 class Model:
-    """``tokens`` (key, n): training counts by word hash. ``names`` (name, n, logp, loga): probability and backoff weight
-    by name. ``bigrams`` (key, n, gain): what a stored bigram adds to the backed-off log probability of its second word.
+    """``tokens`` (key, n): training counts by word hash. ``rare`` (name, n, loga): of the words not in ``words``.
+    ``bigrams`` (first, second, n): all of them. ``twice``: a sketch of those seen more than once.
     """
 
     tokens: DataFrame
-    names: DataFrame
+    rare: DataFrame
     bigrams: DataFrame
-    bits: np.ndarray
+    words: Words
+    twice: np.ndarray
     total: int
     distinct: int
-    total_names: int
     discounts: dict[int, float]
+    spent: list[str] = field(default_factory=list)
+
+    @property
+    def scale(self) -> float:
+        return self.total + 0.5 * (self.distinct + 1)
 
     @property
     def unknown(self) -> float:
-        """Log probability of a word of unknown name, whose backoff weight is one."""
-        return float(np.log10(0.5 / (self.total + 0.5 * (self.total_names + 1))))
+        """Log probability of an unknown word, whose backoff weight is one."""
+        return float(np.log10(0.5) - np.log10(self.scale))
 
 
 def good_turing(counts: dict[int, int], least: int, most: int) -> dict[int, float]:
@@ -157,92 +266,100 @@ def katz_discounts(counts: dict[int, int], most: int) -> dict[int, float]:
     return out
 
 
-def train(rows: DataFrame, least: int = 3, most_discounted: int = 7) -> Model:
+def _factors(discounts: dict[int, float]) -> np.ndarray:
+    """The discount of each count up to the first that stays whole."""
+    return np.array([1.0, *(discounts.get(r, 1.0) for r in range(1, DISCOUNTED + 1)), 1.0])
+
+
+def _mass(n: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    return n * factors[np.minimum(n, len(factors) - 1)]
+
+
+def _sums_by_first(bigrams: DataFrame, rare: DataFrame, words: Words, factors: np.ndarray) -> DataFrame:
+    """(first, mass, p): the discounted counts of a word's successors and the sum of their own probabilities."""
+    sent = bigrams.sparkSession.sparkContext.broadcast((words, factors))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, factors = sent.value
+        chance = (words.n + 0.5) / words.scale
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first, second = _unsigned(batch.column("first")), _unsigned(batch.column("second"))
+            n = batch.column("n").to_numpy(zero_copy_only=False)
+            p = np.zeros(len(n))
+            known = _frequent(second)
+            p[known] = chance[second[known]]
+            starts = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(first[starts].view(np.int64)), pa.array(np.add.reduceat(_mass(n, factors), starts)),
+                pa.array(np.add.reduceat(p, starts)),
+            ], names=["first", "mass", "p"])
+
+    frequent = bigrams.mapInArrow(scan, "first long, mass double, p double")
+    chance = ((F.col("n") + 0.5) / words.scale).alias("p")
+    others = bigrams.where("second < 0").select("first", F.col("second").alias("name")).join(
+        rare.select("name", chance), "name"
+    ).select("first", F.lit(0.0).alias("mass"), "p")
+    return frequent.unionByName(others).groupBy("first").agg(F.sum("mass").alias("mass"), F.sum("p").alias("p"))
+
+
+def train(rows: DataFrame) -> Model:
     """The model of all ``rows`` (text), each table written in the shared folder.
 
-    Tokens are all counted. Bigrams seen fewer than ``least`` times are left to backoff; a sketch of all bigrams spares
-    most of them the shuffle, and the others are counted exactly. With a ``least`` of 1 every bigram is stored, and the
-    discounts are Katz's; the sketch then only tells scoring which bigrams were never seen. With c for the count of
-    a bigram, d for its discount and n for the count of its first word, the bigram's share is d * c / (n + 0.5), so
-    something is always left for unseen successors, and the backoff weight spreads exactly that over them.
+    All tokens and all bigrams are counted; discounts are Katz's. With c for the count of a bigram, d for its discount
+    and n for the count of its first word, the bigram's share is d * c / (n + 0.5), so something is always left for unseen
+    successors, and the backoff weight spreads exactly that over them.
     """
-    context = rows.sparkSession.sparkContext
     texts = rows.select("text")
-
-    def words(piece: pa.RecordBatch) -> np.ndarray:
-        hashes, limits = tokens_of(piece.column("text"))
-        return np.concatenate([hashes, np.zeros(len(limits) - 1, np.uint64)])
-
-    tokens = materialize(_count(texts, words), "tokens")
-    total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-
-    def pairs(piece: pa.RecordBatch) -> np.ndarray:
-        return bigrams_of(*tokens_of(piece.column("text")))[0]
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from sketch.partial_sketches((pairs(p) for b in batches for p in pieces(b)), least=least)
-
-    bits = sketch.merged(whole_texts(texts).mapInArrow(sketched, sketch.SCHEMA), least=least)
-    sent = context.broadcast(bits)
-
-    def frequent(piece: pa.RecordBatch) -> np.ndarray:
-        keys = pairs(piece)
-        return keys[sketch.passed(sent.value, keys)]
-
-    counted = materialize(_count(texts, frequent, F.col("n") >= least), "bigram-counts")
-    found = counted.where(F.col("n") <= most_discounted + 1).groupBy("n").count().collect()
-    numbers = {r["n"]: r["count"] for r in found}
-    discounts = katz_discounts(numbers, most_discounted) if least == 1 else good_turing(numbers, least, most_discounted)
-
-    named = tokens.groupBy(name_column("key").alias("name")).agg(F.sum("n").alias("n"))
-    named = materialize(named, "name-counts")
-    total_names = named.count()
-    texts_read = tokens.where("key = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    logp = F.log10((F.col("n") + 0.5) / F.lit(total + 0.5 * (total_names + 1)))
-    begin = rows.sparkSession.createDataFrame([(BEGIN, texts_read)], "name long, n long")
-    names = named.withColumn("logp", logp).unionByName(begin.withColumn("logp", F.lit(None).cast("double")))
-
-    discounted = F.col("n") * F.coalesce(*(
-        [F.when(F.col("n") == r, F.lit(d)) for r, d in discounts.items()] + [F.lit(1.0)]
-    ))
-    second = names.where("logp is not null").select(F.col("name").alias("next"), F.col("logp").alias("next_logp"))
-    linked = materialize(
-        counted.select(
-            "key", "n", F.shiftrightunsigned("key", 32).alias("name"),
-            F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("next"), discounted.alias("mass"),
-        ).join(second, "next").drop("next"),
-        "bigram-links",
-    )
-    seen = linked.groupBy("name").agg(F.sum("mass").alias("mass"), F.sum(F.pow(F.lit(10.0), "next_logp")).alias("p"))
+    with owned_scratch() as spent:
+        tokens = materialize(_count_words(texts), "tokens")
+        total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        ends = tokens.where("key = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        least = _least(tokens.where("key <> 0"), HEAD_TOKENS)
+        found = tokens.where((F.col("key") != 0) & (F.col("n") >= least)).toArrow()
+        keys, n = _unsigned(found.column("key")), found.column("n").to_numpy()
+        order = np.lexsort((keys, -n))
+        names = np.empty(len(keys), np.uint64)
+        names[order] = np.arange(WORDS, WORDS + len(keys), dtype=np.uint64)
+        by_key = np.argsort(keys, kind="stable")
+        counts = np.concatenate([[ends, ends], n[order]]).astype(np.int64)
+        scale = total + 0.5 * (distinct + 1)
+        words = Words(keys[by_key], names[by_key], counts, scale, np.zeros(len(counts)))
+        bigrams = materialize(_count_bigrams(texts, words), "bigrams")
+        least_often = bigrams.where(F.col("n") <= DISCOUNTED + 1).groupBy("n").count().collect()
+        discounts = katz_discounts({r["n"]: r["count"] for r in least_often}, DISCOUNTED)
+        others = tokens.where((F.col("key") != 0) & (F.col("n") < least)).select(name_column("key").alias("name"), "n")
+        seen = materialize(_sums_by_first(bigrams, others, words, _factors(discounts)), "successors")
     left = (1 - F.col("mass") / (F.col("n") + 0.5)) / (1 - F.col("p"))
-    names = materialize(
-        names.join(seen, "name", "left").select("name", "n", "logp", F.coalesce(F.log10(left), F.lit(0.0)).alias("loga")),
-        "names",
+    rare = materialize(
+        others.join(seen.where("first < 0").withColumnRenamed("first", "name"), "name", "left").select(
+            "name", "n", F.coalesce(F.log10(left), F.lit(0.0)).alias("loga")
+        ), "rare-words",
     )
-    first = names.select("name", (F.col("n") + 0.5).alias("history"), "loga")
-    gain = F.log10(F.col("mass") / F.col("history")) - F.col("loga") - F.col("next_logp")
-    bigrams = materialize(linked.join(first, "name").select("key", "n", gain.alias("gain")), "bigrams")
-    return Model(tokens, names, bigrams, bits, total, distinct, total_names, discounts)
+    known = seen.where("first >= 0").toArrow()
+    at = known.column("first").to_numpy()
+    mass, p = known.column("mass").to_numpy(), known.column("p").to_numpy()
+    words.loga[at] = np.log10((1 - mass / (counts[at] + 0.5)) / (1 - p))
 
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from sketch.partial_sketches(_hashes(batches), least=1)
 
-def _head(table: DataFrame, most: int) -> DataFrame:
-    """The most frequent rows: all down to the least count of which there are at most ``most`` rows."""
-    cut = table.groupBy("n").count().select(
-        "n", F.sum("count").over(_descending()).alias("so_far")
-    ).where(F.col("so_far") <= most).agg(F.min("n")).first()[0]
-    return table.where(F.col("n") >= cut) if cut is not None else table.limit(0)
+    twice = sketch.merged(bigrams.where("n > 1").select("first", "second").mapInArrow(repeated, sketch.SCHEMA), least=1)
+    return Model(tokens, rare, bigrams, words, twice, total, distinct, discounts, spent)
 
 
-def _descending():
-    from pyspark.sql import Window
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        yield _pair_hash(_unsigned(batch.column("first")), _unsigned(batch.column("second")))
 
-    return Window.orderBy(F.desc("n"))
 
-
-def _columns(df: DataFrame, by: str) -> dict[str, np.ndarray]:
-    table = df.toArrow()
-    order = np.argsort(table.column(by).to_numpy().view(np.uint64), kind="stable")
-    return {n: table.column(n).to_numpy()[order] for n in table.column_names}
+def _least(table: DataFrame, most: int) -> int:
+    """The least count ``n`` such that at most ``most`` rows have it or more."""
+    so_far = F.sum("count").over(Window.orderBy(F.desc("n")))
+    held = table.groupBy("n").count().select("n", so_far.alias("so_far"))
+    cut = held.where(F.col("so_far") <= most).agg(F.min("n")).first()[0]
+    return cut if cut is not None else (1 << 62)
 
 
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -255,76 +372,130 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
     limits = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(limits), pa.array(values.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(limits), pa.array(values))
+
+
+def _gains(scored: DataFrame, model: Model) -> DataFrame:
+    """(first, second, gain) of at least the stored bigrams asked for: what one adds to its backed-off log probability."""
+    context = scored.sparkSession.sparkContext
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = ([b.column(c).flatten() for c in ("firsts", "seconds")] for b in batches)
+        yield from sketch.partial_sketches((_pair_hash(*map(_unsigned, pair)) for pair in lists), least=1)
 
+    bits = sketch.merged(scored.select("firsts", "seconds").mapInArrow(asked, sketch.SCHEMA), least=1)
+    sent = context.broadcast((bits, model.words, _factors(model.discounts)))
 
-def score(rows: DataFrame, model: Model, head_tokens: int = HEAD_TOKENS, head_bigrams: int = HEAD_BIGRAMS) -> DataFrame:
-    """Every row (id, held_out, text) as (id, held_out, n_tokens, n_known, base, score)."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, words, factors = sent.value
+        before, after = words.history + words.loga, words.logp
+        for batch in batches:
+            hashes = next(_hashes(iter([batch])))
+            batch = batch.filter(pa.array(sketch.passed(bits, hashes)))
+            first, second = _unsigned(batch.column("first")), _unsigned(batch.column("second"))
+            gain = np.log10(_mass(batch.column("n").to_numpy(zero_copy_only=False), factors))
+            one, two = _frequent(first), _frequent(second)
+            gain[one] -= before[first[one]]
+            gain[two] -= after[second[two]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("first"), batch.column("second"), pa.array(gain)], names=["first", "second", "gain"]
+            )
+
+    found = materialize(model.bigrams.mapInArrow(scan, "first long, second long, gain double"), "asked")
+    chance = F.log10(F.col("n") + 0.5) - float(np.log10(model.scale))
+    for side, value in (("first", F.log10(F.col("n") + 0.5) + F.col("loga")), ("second", chance)):
+        values = model.rare.select(F.col("name").alias(side), value.alias("less"))
+        rest = found.where(F.col(side) < 0).join(values, side).withColumn("gain", F.col("gain") - F.col("less"))
+        found = found.where(F.col(side) >= 0).unionByName(rest.drop("less"))
+    return found
+
+
+def score(rows: DataFrame, model: Model) -> DataFrame:
+    """Every row (id, held_out, text) as (id, held_out, n_tokens, n_known, base, score).
+
+    The rows not held out must be those of the training: their bigrams count as seen.
+    """
     context = rows.sparkSession.sparkContext
-    value = (F.col("logp") + F.col("loga")).alias("v")
-    by_name = model.names.where("logp is not null").select("name", value)
-    words = _columns(
-        _head(model.tokens.where("key <> 0"), head_tokens).withColumn("name", name_column("key"))
-        .join(by_name, "name").select("key", "n", "v"), "key",
-    )
-    pairs = _columns(_head(model.bigrams, head_bigrams).select("key", "gain"), "key")
-    ends = model.names.where(F.col("name").isin(END, BEGIN)).select("name", "n", "logp", "loga").collect()
-    end = next((r for r in ends if r["name"] == END), None)
-    begin = next((r for r in ends if r["name"] == BEGIN), None)
-    edges = (end["logp"] if end else model.unknown) + (begin["loga"] if begin else 0.0)
-    end_count = end["n"] if end else 0
-    sent = context.broadcast((words, pairs, model.bits))
+    often = _least(model.bigrams, HEAD_BIGRAMS)
+    found = model.bigrams.where((F.col("first") >= 0) & (F.col("second") >= 0) & (F.col("n") >= often)).toArrow()
+    pairs = _packed(_unsigned(found.column("first")), _unsigned(found.column("second")))
+    order = np.argsort(pairs)
+    factors = _factors(model.discounts)
+    shares = np.log10(_mass(found.column("n").to_numpy(), factors))[order]
+    once = float(np.log10(factors[1]))
+    sent = context.broadcast((model.words, pairs[order], shares, model.twice))
+    known_end = int(model.words.n[END] > 0)
     schema = T.StructType([
         T.StructField("row", T.LongType()), T.StructField("id", rows.schema["id"].dataType),
         T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
         T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("part", T.DoubleType()),
-        T.StructField("words", T.ArrayType(T.LongType())), T.StructField("pairs", T.ArrayType(T.LongType())),
+        T.StructField("words", T.ArrayType(T.LongType())), T.StructField("sides", T.ArrayType(T.ByteType())),
+        T.StructField("firsts", T.ArrayType(T.LongType())), T.StructField("seconds", T.ArrayType(T.LongType())),
     ])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, bits = sent.value
-        word_keys, pair_keys = words["key"].view(np.uint64), pairs["key"].view(np.uint64)
-        bases = np.log10(words["n"] + 0.5)
+        words, pairs, shares, twice = sent.value
+        logp, history, loga = words.logp, words.history, words.loga
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for piece in pieces(batch):
                 count = piece.num_rows
                 hashes, limits = tokens_of(piece.column("text"))
-                row = np.repeat(np.arange(count), np.diff(limits))
-                at = _find(word_keys, hashes)
-                hit = at >= 0
-                base = np.bincount(row[hit], weights=bases[at[hit]], minlength=count)
-                part = np.bincount(row[hit], weights=words["v"][at[hit]], minlength=count)
-                known = np.bincount(row[hit], minlength=count)
-                keys, owner = bigrams_of(hashes, limits)
-                likely = sketch.passed(bits, keys)
-                keys, owner = keys[likely], owner[likely]
-                there = _find(pair_keys, keys)
-                seen = there >= 0
-                part = part + np.bincount(owner[seen], weights=pairs["gain"][there[seen]], minlength=count)
+                line, inner, owner = lines_of(words.named(hashes), limits)
+                first, second, of = line[:-1], line[1:], owner[:-1]
+                within = owner[1:] == of
+                one, two = _frequent(first), _frequent(second)
+                both = np.flatnonzero(within & one & two)
+                place = _find(pairs, _packed(first[both], second[both]))
+                # A transition is settled where its bigram is known to be seen, with this log of its discounted count.
+                share, settled = np.zeros(len(first)), np.zeros(len(first), bool)
+                hit = both[place >= 0]
+                share[hit], settled[hit] = shares[place[place >= 0]], True
+                held = piece.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+                trained = np.flatnonzero(within & ~settled & ~held[of])
+                single = trained[~sketch.passed(twice, _pair_hash(first[trained], second[trained]))]
+                share[single], settled[single] = once, True
+                asked = within & ~settled
+                part = np.where(settled, share, 0.0)
+                at = within & one
+                part[at] += np.where(settled[at], -history[first[at]], loga[first[at]])
+                at = asked & two
+                part[at] += logp[second[at]]
+                token = line[(line != BEGIN)]
+                row = owner[(line != BEGIN)]
+                known = _frequent(token)
+                base = np.bincount(row[known], weights=history[token[known]], minlength=count)
+                hits = np.bincount(row[known & (token != END)], minlength=count)
+                rare = np.flatnonzero(inner & ~_frequent(line))
+                sides = settled[rare - 1].astype(np.int8) + 2 * settled[rare].astype(np.int8)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(number, number + count)), piece.column("id"), piece.column("held_out"),
-                    pa.array(np.diff(limits) + 1), pa.array(known + (1 if end_count else 0)),
-                    pa.array(base + np.log10(end_count + 0.5)), pa.array(part + edges),
-                    _lists(hashes[~hit], row[~hit], count), _lists(keys[~seen], owner[~seen], count),
+                    pa.array(np.diff(limits) + 1), pa.array(hits + known_end), pa.array(base),
+                    pa.array(np.bincount(of[within], weights=part[within], minlength=count)),
+                    _lists(line[rare].view(np.int64), owner[rare], count), _lists(sides.astype(np.int8), owner[rare], count),
+                    _lists(first[asked].view(np.int64), of[asked], count),
+                    _lists(second[asked].view(np.int64), of[asked], count),
                 ], names=schema.names)
                 number += count
 
     scored = materialize(whole_texts(rows).mapInArrow(scan, schema), "scored")
-    counts = model.tokens.select("key", F.col("n").alias("c"))
-    rare = scored.select("row", F.explode("words").alias("key")).join(counts, "key", "left").select(
-        "row", F.coalesce("c", F.lit(0)).alias("c"), name_column("key").alias("name")
-    ).join(by_name, "name", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("more_known"),
-        F.sum(F.log10(F.col("c") + 0.5)).alias("more_base"),
-        F.sum(F.coalesce("v", F.lit(model.unknown))).alias("more"),
+    gains = _gains(scored, model)
+    scale = float(np.log10(model.scale))
+    log_n = F.log10(F.coalesce("n", F.lit(0)) + 0.5)
+    before, after = F.col("side").bitwiseAND(F.lit(1)) > 0, F.col("side").bitwiseAND(F.lit(2)) > 0
+    rare = scored.select("row", F.explode(F.arrays_zip("words", "sides")).alias("w")).select(
+        "row", F.col("w.words").alias("name"), F.col("w.sides").alias("side")
+    ).join(model.rare, "name", "left").groupBy("row").agg(
+        F.count("n").alias("more_known"), F.sum(log_n).alias("more_base"),
+        F.sum(
+            F.when(before, 0.0).otherwise(log_n - scale) + F.when(after, -log_n).otherwise(F.coalesce("loga", F.lit(0.0)))
+        ).alias("more"),
     )
-    other = scored.select("row", F.explode("pairs").alias("key")).join(
-        model.bigrams.select("key", "gain"), "key"
-    ).groupBy("row").agg(F.sum("gain").alias("gains"))
-    scale = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
+    other = scored.select("row", F.explode(F.arrays_zip("firsts", "seconds")).alias("b")).select(
+        "row", F.col("b.firsts").alias("first"), F.col("b.seconds").alias("second")
+    ).join(gains, ["first", "second"]).groupBy("row").agg(F.sum("gain").alias("gains"))
     nothing = F.lit(0)
-    return scored.drop("words", "pairs").join(rare, "row", "left").join(other, "row", "left").select(
+    return scored.drop("words", "sides", "firsts", "seconds").join(rare, "row", "left").join(other, "row", "left").select(
         "id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", nothing)).alias("n_known"),
         (F.col("base") + F.coalesce("more_base", nothing) - F.col("n_tokens") * scale).alias("base"),
         (F.col("part") + F.coalesce("more", nothing) + F.coalesce("gains", nothing)).alias("score"),
@@ -341,7 +512,7 @@ def split(documents: DataFrame, folds: int, held: int, id_col: str = "doc_id", t
 
 
 def score_texts(
-    documents: DataFrame, folds: int = 5, held: int = 1, least: int = 3, id_col: str = "doc_id", text_col: str = "text"
+    documents: DataFrame, folds: int = 5, held: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row (id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``documents``.
 
@@ -352,8 +523,10 @@ def score_texts(
     table gives an empty result.
     """
     rows = split(documents, folds, held, id_col, text_col)
-    model = train(rows.where("not held_out"), least)
-    return score(rows, model).select(
+    model = train(rows.where("not held_out"))
+    scored = score(rows, model)
+    remove_scratch(documents.sparkSession, model.spent)
+    return scored.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"), "score",
     )

@@ -6,7 +6,7 @@ import zlib
 import pytest
 
 from colsight.llm import katz
-from colsight.llm.katz import good_turing, score, score_texts, split, train
+from colsight.llm.katz import katz_discounts, score_texts, split, train
 from tests.llm.conftest import ODD, rows_of
 
 
@@ -19,7 +19,7 @@ def is_held(d):
 
 
 class Brute:
-    def __init__(self, rows, least=3, most=7):
+    def __init__(self, rows, most=7):
         self.one, pairs, self.texts = collections.Counter(), collections.Counter(), 0
         for d, t, *_ in rows:
             if not is_held(d):
@@ -28,8 +28,8 @@ class Brute:
                 pairs.update(zip(["begin", *line], line))
                 self.texts += 1
         self.total, self.distinct = sum(self.one.values()), len(self.one)
-        self.pairs = {k: n for k, n in pairs.items() if n >= least}
-        self.cuts = good_turing(collections.Counter(self.pairs.values()), least, most)
+        self.pairs = pairs
+        self.cuts = katz_discounts(collections.Counter(pairs.values()), most)
         mass, seen = collections.Counter(), collections.Counter()
         for (a, b), n in self.pairs.items():
             mass[a] += n * self.cuts.get(n, 1)
@@ -70,9 +70,11 @@ def some_rows(seed=3, count=120):
     return [*rows, (None, "a b c"), (7, None), (8, ""), (9, " \n"), (11, rows[3][1]), (11, rows[3][1])]
 
 
-@pytest.mark.parametrize("heads", [(1 << 10, 1 << 10), (3, 4), (0, 0)])
+@pytest.mark.parametrize("heads", [(1 << 10, 1 << 10), (3, 4), (0, 0), (1 << 10, 0), (30, 1 << 10)])
 def test_scores_as_brute_force(documents, monkeypatch, heads):
-    monkeypatch.setattr(score, "__defaults__", heads)
+    monkeypatch.setattr(katz, "HEAD_TOKENS", heads[0])
+    monkeypatch.setattr(katz, "HEAD_BIGRAMS", heads[1])
+    monkeypatch.setattr(katz, "DEALT", 16)
     rows = some_rows()
     compare(score_texts(documents(rows)).collect(), rows)
 
