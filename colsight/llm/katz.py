@@ -55,14 +55,39 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(raw, begin, end), np.searchsorted(row, np.arange(len(limits)))
 
 
+class Places:
+    """Looks keys up among ``keys``, sorted and spread evenly as hashes are: the leading bits lead to the first that has
+    them, and from there it is a step or two.
+    """
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each, -1 where missing."""
+        out = np.full(len(wanted), -1, np.int64)
+        if not len(self.keys):
+            return out
+        at, open_ = self.starts[wanted >> self.shift], np.arange(len(wanted))
+        while len(open_):
+            there = self.keys[np.minimum(at, len(self.keys) - 1)]
+            hit = there == wanted
+            out[open_[hit]] = at[hit]
+            on = (there < wanted) & (at < len(self.keys) - 1)
+            at, wanted, open_ = at[on] + 1, wanted[on], open_[on]
+        return out
+
+
 @dataclass
 class Words:
-    """The frequent words: ``keys`` (sorted hashes) and their ``names``; by name the training count ``n``, the log
+    """The frequent words: the ``places`` of their hashes and the ``names`` at them; by name the training count ``n``, the log
     probability ``logp``, the log of what a history's counts are divided by, ``history``, and the log backoff weight
     ``loga``.
     """
 
-    keys: np.ndarray
+    places: Places
     names: np.ndarray
     n: np.ndarray
     scale: float
@@ -77,7 +102,7 @@ class Words:
         return np.log10(self.n + 0.5)
 
     def named(self, hashes: np.ndarray) -> np.ndarray:
-        at = _find(self.keys, hashes)
+        at = self.places.find(hashes)
         return np.where(at >= 0, self.names[at] if len(self.names) else np.uint64(0), hashes | _TOP)
 
 
@@ -212,7 +237,7 @@ def _count_bigrams(texts: DataFrame, words: Words) -> DataFrame:
 
     pairs = _joined(texts).mapInArrow(scan, schema).repartition("first", "part")
     sums = pairs.groupBy("first", "part", "second").agg(F.sum("n").alias("n"))
-    return sums.select("first", "second", "n").sortWithinPartitions("first", "second")
+    return sums.select("first", "second", "n").sortWithinPartitions("first")
 
 
 @dataclass
@@ -325,7 +350,7 @@ def train(rows: DataFrame) -> Model:
         by_key = np.argsort(keys, kind="stable")
         counts = np.concatenate([[ends, ends], n[order]]).astype(np.int64)
         scale = total + 0.5 * (distinct + 1)
-        words = Words(keys[by_key], names[by_key], counts, scale, np.zeros(len(counts)))
+        words = Words(Places(keys[by_key]), names[by_key], counts, scale, np.zeros(len(counts)))
         bigrams = materialize(_count_bigrams(texts, words), "bigrams")
         least_often = bigrams.where(F.col("n") <= DISCOUNTED + 1).groupBy("n").count().collect()
         discounts = katz_discounts({r["n"]: r["count"] for r in least_often}, DISCOUNTED)
@@ -362,14 +387,6 @@ def _least(table: DataFrame, most: int) -> int:
     return cut if cut is not None else (1 << 62)
 
 
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of keys among sorted ones, -1 where missing."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
-
-
 def _lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
     limits = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(limits), pa.array(values))
@@ -419,11 +436,12 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     often = _least(model.bigrams, HEAD_BIGRAMS)
     found = model.bigrams.where((F.col("first") >= 0) & (F.col("second") >= 0) & (F.col("n") >= often)).toArrow()
     pairs = _packed(_unsigned(found.column("first")), _unsigned(found.column("second")))
+    pairs = mix(pairs)
     order = np.argsort(pairs)
     factors = _factors(model.discounts)
     shares = np.log10(_mass(found.column("n").to_numpy(), factors))[order]
     once = float(np.log10(factors[1]))
-    sent = context.broadcast((model.words, pairs[order], shares, model.twice))
+    sent = context.broadcast((model.words, Places(pairs[order]), shares, model.twice))
     known_end = int(model.words.n[END] > 0)
     schema = T.StructType([
         T.StructField("row", T.LongType()), T.StructField("id", rows.schema["id"].dataType),
@@ -446,7 +464,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
                 within = owner[1:] == of
                 one, two = _frequent(first), _frequent(second)
                 both = np.flatnonzero(within & one & two)
-                place = _find(pairs, _packed(first[both], second[both]))
+                place = pairs.find(mix(_packed(first[both], second[both])))
                 # A transition is settled where its bigram is known to be seen, with this log of its discounted count.
                 share, settled = np.zeros(len(first)), np.zeros(len(first), bool)
                 hit = both[place >= 0]
