@@ -195,6 +195,53 @@ def points(df: DataFrame, columns: list[str], *, order_by: list[str] | None = No
     return picked.orderBy(*(col(c) for c in order_by)) if order_by else picked
 
 
+def _position(df: DataFrame, name: str) -> Column:
+    """A number for every value of a numeric or date column; null where it is missing or infinite."""
+    if isinstance(df.schema[name].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(col(name).cast("timestamp")).cast("double")
+    number = as_number(df, name).cast("double")
+    return F.when(F.abs(number) < F.lit(_INFINITE), number)
+
+
+def _pixel(value: str, ends: Column, size: int) -> Column:
+    """Pixel 0 to size - 1 along an axis from the least to the greatest value, which belongs to the last pixel."""
+    low, high = ends[f"low{value}"], ends[f"high{value}"]
+    share = (F.col(value) - low) * F.lit(float(size)) / F.nullif(high - low, F.lit(0.0))
+    return F.least(F.lit(size - 1), F.coalesce(F.floor(share).cast("int"), F.lit(0)))
+
+
+def _placed(df: DataFrame, x: str, y: str) -> tuple[DataFrame, Column]:
+    rows = df.select(_position(df, x).alias("_x"), _position(df, y).alias("_y")).where("_x is not null and _y is not null")
+    ends = [f(c).alias(f"{name}{c}") for c in ("_x", "_y") for name, f in (("low", F.min), ("high", F.max))]
+    return rows, rows.agg(F.struct(*ends).alias("ends")).scalar()
+
+
+def line_pixels(df: DataFrame, x: str, y: str, width: int = 1000) -> DataFrame:
+    """What a line through all rows, in order of ``x`` (ties: of ``y``), needs to be drawn ``width`` pixels wide.
+
+    One row per pixel column that has rows: their number, the first, last, lowest and highest ``y``, and the ``x`` of the
+    first and last. Dates and times are microseconds since 1970. Rows with a missing or infinite value are left out; a
+    single ``x`` is pixel 0. Columns fold before the shuffle, so at most ``width`` rows per task move.
+    """
+    rows, ends = _placed(df, x, y)
+    point = F.struct("_x", "_y")
+    return rows.groupBy(_pixel("_x", ends, width).alias("pixel")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(point).alias("first"), F.max(point).alias("last"),
+        F.min("_y").alias("low_y"), F.max("_y").alias("high_y"),
+    ).select(
+        "pixel", "n", F.col("first._x").alias("first_x"), F.col("first._y").alias("first_y"),
+        F.col("last._x").alias("last_x"), F.col("last._y").alias("last_y"), "low_y", "high_y",
+    )
+
+
+def scatter_cells(df: DataFrame, x: str, y: str, width: int = 400, height: int = 300) -> DataFrame:
+    """Rows per pixel of a scatter chart, pixels without rows left out; ends and left-out rows as in :func:`line_pixels`."""
+    rows, ends = _placed(df, x, y)
+    return rows.groupBy(
+        _pixel("_x", ends, width).alias("pixel_x"), _pixel("_y", ends, height).alias("pixel_y")
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
 def violin_bins(df: DataFrame, x: str, y: str, bins: int = 30) -> DataFrame:
     """The density behind violins: bins of ``y`` over its whole range, counted per ``x``."""
     return histogram(df, y, bins, color=x)

@@ -9,8 +9,10 @@ from colsight.operators.charts import (
     box_summary,
     date_trend,
     histogram,
+    line_pixels,
     pie_shares,
     points,
+    scatter_cells,
     top_values,
     value_bar,
     violin_bins,
@@ -193,6 +195,29 @@ def line_sorted(spark, sf_dir):
     return line.withColumn("ts", F.col("ts").cast("string"))
 
 
+@query("""
+WITH p AS (SELECT CAST(epoch_us(ts) AS DOUBLE) AS x, CAST(value AS DOUBLE) AS y FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+e AS (SELECT min(x) AS low, max(x) AS high FROM p),
+q AS (SELECT x, y, CAST(least(799, floor((x - low) * 800.0::DOUBLE / (high - low))) AS INTEGER) AS pixel FROM p, e)
+SELECT pixel, count(*) AS n, min(struct_pack(x := x, y := y)).x AS first_x, min(struct_pack(x := x, y := y)).y AS first_y,
+       max(struct_pack(x := x, y := y)).x AS last_x, max(struct_pack(x := x, y := y)).y AS last_y,
+       min(y) AS low_y, max(y) AS high_y
+FROM q GROUP BY pixel""")
+def line_pixels_events(spark, sf_dir):
+    return line_pixels(table(spark, sf_dir, "events"), "ts", "value", 800)
+
+
+@query("""
+WITH p AS (SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem
+           WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
+e AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM p)
+SELECT CAST(least(399, floor((x - lx) * 400.0::DOUBLE / (hx - lx))) AS INTEGER) AS pixel_x,
+       CAST(least(299, floor((y - ly) * 300.0::DOUBLE / (hy - ly))) AS INTEGER) AS pixel_y, count(*) AS n
+FROM p, e GROUP BY ALL""")
+def scatter_cells_lineitem(spark, sf_dir):
+    return scatter_cells(_lineitem(spark, sf_dir), "l_quantity", "l_extendedprice")
+
+
 CORRELATED = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 

@@ -8,8 +8,10 @@ from colsight.operators.charts import (
     box_summary,
     date_trend,
     histogram,
+    line_pixels,
     pie_shares,
     points,
+    scatter_cells,
     top_values,
 )
 from tests.fixtures import sales
@@ -96,3 +98,30 @@ def test_histogram_counts_infinite_values_apart(spark):
 
 def test_dates_as_text(spark):
     assert date_trend(sales(spark).where("Date like '2025%'"), "Date", "Revenue").count() == 42
+
+
+def test_pixels_keep_what_a_line_shows(spark):
+    rows = [(float(i * i % 97), float(i % 13)) for i in range(300)] + [(None, 1.0), (5.0, None), (float("inf"), 2.0), (3.0, float("nan"))]
+    df = spark.createDataFrame(rows, "x double, y double")
+    kept = sorted((x, y) for x, y in rows[:300])
+    low, high = kept[0][0], kept[-1][0]
+    want = {}
+    for x, y in kept:
+        want.setdefault(min(9, int((x - low) * 10 / (high - low))), []).append((x, y))
+    got = {r["pixel"]: tuple(r)[1:] for r in line_pixels(df, "x", "y", 10).collect()}
+    assert got == {
+        p: (len(v), *v[0], *v[-1], min(y for _, y in v), max(y for _, y in v)) for p, v in want.items()
+    }
+
+
+def test_cells_count_every_row(spark):
+    df = spark.createDataFrame([(1.0, 1.0)] * 5 + [(2.0, 3.0), (None, 1.0)], "x double, y double")
+    assert sorted(map(tuple, scatter_cells(df, "x", "y", 4, 4).collect())) == [(0, 0, 5), (3, 3, 1)]
+
+
+def test_one_value_and_no_rows_have_one_and_no_pixel(spark):
+    df = spark.createDataFrame([(7.0, 1.0), (7.0, 4.0)], "x double, y double")
+    assert [tuple(r) for r in line_pixels(df, "x", "y").collect()] == [(0, 2, 7.0, 1.0, 7.0, 4.0, 1.0, 4.0)]
+    assert line_pixels(df.where("x < 0"), "x", "y").count() == 0
+    when = spark.sql("SELECT DATE'2024-01-01' AS d, 1.0D AS y UNION ALL SELECT DATE'2024-01-03', 2.0D")
+    assert [r["pixel"] for r in line_pixels(when, "d", "y", 10).orderBy("pixel").collect()] == [0, 9]
