@@ -66,6 +66,11 @@ def nl_fulltext(spark, sf_dir):
     return filter_rows(table(spark, sf_dir, "part"), PARTS, "display the gizmo").data
 
 
+@query(f"SELECT {ORDER_COLUMNS} FROM orders")
+def nl_filter_empty_phrase(spark, sf_dir):
+    return _plain(filter_rows(table(spark, sf_dir, "orders"), ORDERS, "  ").data)
+
+
 @query("""SELECT count(*) AS original_count, count(*) FILTER (WHERE o_totalprice > 250000) AS filtered_count,
 round(count(*) FILTER (WHERE o_totalprice > 250000) * 100.0 / count(*), 1) AS percentage FROM orders""")
 def nl_filter_metrics(spark, sf_dir):

@@ -214,7 +214,25 @@ def batch_summary(log: DataFrame, n_columns: int) -> DataFrame:
     return totals.withColumn("hygiene_score", clamp_score(F.col("raw_score")))
 
 
-def throughput(progress: list) -> dict[str, float]:
-    """Mean input rows per second over the progress reports of a query (``StreamingQuery.recentProgress``)."""
-    rates = [p["processedRowsPerSecond"] for p in progress if p["numInputRows"]]
-    return {"batches": len(rates), "rows_per_second": sum(rates) / len(rates) if rates else 0.0}
+def folder_bytes(spark: SparkSession, folder: str) -> int:
+    """Bytes of all files below a folder of any file system Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+
+
+def throughput(progress: list, n_bytes: int | None = None) -> dict[str, float]:
+    """Batches with rows and their mean rows per second, from a query's reports (``StreamingQuery.recentProgress``).
+
+    With ``n_bytes``, the size of what was read (see :func:`folder_bytes`), also rows, the seconds the batches took,
+    megabytes, and megabytes per second.
+    """
+    done = [p for p in progress if p["numInputRows"]]
+    rates = [p["processedRowsPerSecond"] for p in done]
+    figures = {"batches": len(done), "rows_per_second": sum(rates) / len(rates) if rates else 0.0}
+    if n_bytes is None:
+        return figures
+    seconds = sum(p["durationMs"]["triggerExecution"] for p in done) / 1000
+    return {
+        **figures, "rows": sum(p["numInputRows"] for p in done), "seconds": seconds, "megabytes": n_bytes / 1e6,
+        "megabytes_per_second": n_bytes / 1e6 / seconds if seconds else 0.0,
+    }

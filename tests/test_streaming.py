@@ -9,6 +9,7 @@ from colsight.sources.files import read_csv_stream
 from colsight.streaming.batches import (
     batch_summary,
     clean_batches,
+    folder_bytes,
     read_parquet_stream,
     running_null_counts,
     running_numeric_stats,
@@ -108,6 +109,22 @@ def test_throughput():
     assert throughput(reports) == {"batches": 2, "rows_per_second": 20.0}
 
 
+def test_throughput_of_a_folder_in_megabytes(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"f{i}.csv").write_text(f"a,b\n{i},x\n{i + 10},y\n")
+    stream = read_csv_stream(spark, str(tmp_path / "in"), "a int, b string")
+    query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(
+        availableNow=True
+    ).start()
+    query.awaitTermination(60)
+    size = folder_bytes(spark, str(tmp_path / "in"))
+    got = throughput(query.recentProgress, size)
+    assert size == sum(f.stat().st_size for f in (tmp_path / "in").glob("*.csv"))
+    assert (got["batches"], got["rows"], got["megabytes"]) == (3, 6, size / 1e6)
+    assert got["megabytes_per_second"] == pytest.approx(size / 1e6 / got["seconds"]) and got["seconds"] > 0
+
+
 def summed(df):
     return df.groupBy("k").agg(F.sum("n").alias("n"))
 
