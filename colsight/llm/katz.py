@@ -25,7 +25,7 @@ from colsight.llm import sketch
 from colsight.llm.common import LOWER, mix, pieces, utf8, whole_texts, word_hashes, word_spans
 from colsight.session import materialize, owned_scratch, remove_scratch
 
-#: Most words and bigrams that are broadcast (40 and 16 bytes each).
+#: Most words and bigrams that are broadcast (40 and 24 bytes each).
 HEAD_TOKENS, HEAD_BIGRAMS = 1 << 19, 1 << 20
 
 #: Entries that a task counts before it hands them on.
