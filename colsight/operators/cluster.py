@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colsight.functions.numbers import as_number, col
-from colsight.session import materialize
+from colsight.session import dealt, materialize
 
 # Deviation from the overall mean that names a segment, and the guard in its denominator.
 NAMING_DEVIATION = 0.15
@@ -26,6 +26,9 @@ TOLERANCE = 1e-4
 #: Distinct points from which starts are drawn, each weighed by its rows; training reads all rows.
 SEED_ROWS = 20_000
 
+#: Points whose distances to all centres a task holds at a time.
+BLOCK = 2048
+
 
 @dataclass(frozen=True)
 class Scaling:
@@ -122,40 +125,70 @@ def _settled(sample: np.ndarray, weights: np.ndarray, centers: np.ndarray, max_i
 
 def _sample(points: DataFrame, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``SEED_ROWS`` distinct points of lowest hash, or all if there are fewer, and the number of rows of each."""
-    counted = materialize(points.groupBy(*points.columns).agg(F.count("*").alias("n")), "distinct-points")
-    share = min(1.0, 1.2 * SEED_ROWS / max(1, counted.count()))
-    near = counted.withColumn("draw", F.xxhash64(*points.columns, F.lit(seed))).where(
-        F.shiftrightunsigned("draw", 2) <= int(share * 2.0**62)
-    )
-    rows = np.array(near.orderBy("draw", *points.columns).limit(SEED_ROWS).drop("draw").collect(), dtype=float)
+    draw = F.shiftrightunsigned(F.xxhash64(*points.columns, F.lit(seed)), 2)
+    distinct = points.agg(F.approx_count_distinct(F.struct(*points.columns))).first()[0]
+    share = min(1.0, 1.2 * SEED_ROWS / max(1, distinct))
+    while True:
+        # Only points of low hash are grouped.
+        near = points.where(draw <= int(share * 2.0**62)).groupBy(*points.columns).agg(F.count("*").alias("n"))
+        lowest = near.orderBy(F.xxhash64(*points.columns, F.lit(seed)), *points.columns).limit(SEED_ROWS).collect()
+        if len(lowest) == SEED_ROWS or share == 1.0:
+            break
+        # The estimate was too high.
+        share = min(1.0, 2 * share)
+    rows = np.array(lowest, dtype=float).reshape(len(lowest), len(points.columns) + 1)
     return rows[:, :-1], rows[:, -1]
 
 
+def _blocks(batches):
+    """The batches' columns as matrices with a row per column, of at most ``BLOCK`` points and few smaller ones."""
+    held, size = [], 0
+    for batch in batches:
+        x = np.array([c.to_numpy() for c in batch.columns])
+        for at in range(0, batch.num_rows, BLOCK):
+            part = x[:, at:at + BLOCK]
+            if size + part.shape[1] > BLOCK:
+                yield np.concatenate(held, axis=1)
+                held, size = [], 0
+            held.append(part)
+            size += part.shape[1]
+    if size:
+        yield np.concatenate(held, axis=1)
+
+
 def _scan(points: DataFrame, starts: list[_Start]) -> dict[tuple[int, int], tuple]:
     """(start, cluster) to (rows, cost, sums of coordinates), for all moving starts in one pass over all rows."""
     axes = points.columns
-    sent = points.sparkSession.sparkContext.broadcast([(i, s.centers) for i, s in enumerate(starts) if s.moving])
+    moving = [(i, s.centers) for i, s in enumerate(starts) if s.moving]
+    sent = points.sparkSession.sparkContext.broadcast(([i for i, _ in moving], np.array([c for _, c in moving])))
 
     def add(batches):
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.column_stack([c.to_numpy() for c in batch.columns])
-            square = (x * x).sum(axis=1)
-            for i, centers in sent.value:
-                gaps = square[:, None] - 2 * x @ centers.T + (centers * centers).sum(axis=1)
-                near = gaps.argmin(axis=1)
-                cost = ((x - centers[near]) ** 2).sum(axis=1)
-                for c in range(len(centers)):
-                    mine = near == c
-                    row = np.concatenate([[mine.sum(), cost[mine].sum()], x[mine].sum(axis=0)])
-                    total[i, c] = total.get((i, c), 0) + row
-        keys = list(total)
-        figures = np.array([total[key] for key in keys]).reshape(len(keys), len(axes) + 2)
+        numbers, centers = sent.value
+        s, k, p = centers.shape
+        flat = centers.reshape(s * k, p)
+        length = (flat * flat).sum(axis=1)
+        # Times a point's (1, its square, coordinates): distance less that square, which does not change the nearest.
+        inward = np.column_stack([length, np.zeros(s * k), -2.0 * flat])
+        total, gaps, marks = np.zeros((s * k, p + 2)), np.empty((s * k, BLOCK)), np.empty((s * k, BLOCK))
+        for x in _blocks(batches):
+            size = x.shape[1]
+            figures = np.vstack([np.ones(size), (x * x).sum(axis=0), x])
+            # Arrays used again, as fresh ones of this size cost more than the sums.
+            gap, mark = (whole.ravel()[:s * k * size].reshape(s * k, size) for whole in (gaps, marks))
+            np.matmul(inward, figures, out=gap)
+            split = gap.reshape(s, k, size)
+            mine = split == split.min(axis=1, keepdims=True)
+            if np.count_nonzero(mine) > s * size:
+                # Of centres equally near the first.
+                mine &= mine.cumsum(axis=1) == 1
+            mark[:] = mine.reshape(s * k, size)
+            total += mark @ figures.T
+        n, square, sums = total[:, 0], total[:, 1], total[:, 2:]
+        cost = np.maximum(square - 2 * (sums * flat).sum(axis=1) + n * length, 0)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([i for i, _ in keys], pa.int32()), pa.array([c for _, c in keys], pa.int32()),
-             *(pa.array(column) for column in figures.T)], names=["start", "cluster", "n", "cost", *axes],
+            [pa.array(np.repeat(numbers, k), pa.int32()), pa.array(np.tile(np.arange(k), s), pa.int32()),
+             pa.array(n), pa.array(cost), *(pa.array(column) for column in sums.T)],
+            names=["start", "cluster", "n", "cost", *axes],
         )
 
     schema = "start int, cluster int, n double, cost double, " + ", ".join(f"{c} double" for c in axes)
@@ -187,7 +220,7 @@ def segments(
         return None
     complete = complete_rows(df, names)
     scaled = complete.select(*(z.cast("double").alias(f"z{i}") for i, z in enumerate(scaling.columns(complete))))
-    points = materialize(scaled.repartition(partitions) if partitions else scaled, "points")
+    points = materialize(dealt(scaled, partitions) if partitions else scaled, "points")
     sample, weights = _sample(points, seed)
     starts = [
         _Start(_settled(sample, weights, _first_centers(sample, weights, k, np.random.default_rng([seed, i])), max_iter))
