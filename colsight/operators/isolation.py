@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from colsight.functions.numbers import as_number, col
 from colsight.operators.quantiles import exact_quantiles
-from colsight.session import materialize
+from colsight.session import dealt, materialize
 
 TREES = 100
 TREE_ROWS = 256
@@ -78,13 +78,11 @@ def _tree_samples(rows: DataFrame, n_rows: int, trees: int, tree_rows: int, seed
     def hashed(tree, *copy):
         return F.shiftrightunsigned(F.xxhash64("key", tree, F.lit(seed), *copy), 2)
 
-    every = F.sequence(F.lit(0), F.lit(trees - 1))
-    first = F.transform(every, lambda tree: F.struct(tree.alias("tree"), hashed(tree).alias("draw")))
-    further = F.flatten(F.transform(F.sequence(F.lit(1), F.col("n").cast("int") - 1), lambda copy: F.transform(
-        every, lambda tree: F.struct(tree.alias("tree"), hashed(tree, copy).alias("draw"))
-    )))
-    draws = F.when(F.col("n") == 1, first).otherwise(F.concat(first, further))
-    few = rows.where(F.col("n") <= FEW).select(*values, F.inline(F.filter(draws, lambda d: d["draw"] <= bound)))
+    # Exploded and filtered in one generated loop: no list of draws is made for a row.
+    copies = rows.where(F.col("n") <= FEW).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    drawn = copies.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    draw = F.when(F.col("copy") == 0, hashed("tree")).otherwise(hashed("tree", "copy"))
+    few = drawn.withColumn("draw", draw).where(F.col("draw") <= bound).select(*values, "tree", "draw")
 
     def lowest(batches):
         for batch in batches:
@@ -159,9 +157,9 @@ def _walk_table(forest: Forest) -> dict:
         depth[reached] = level
     return {
         "roots": starts,
-        "feature": np.where(leaf, 0, nodes["feature"].to_numpy()),
+        "feature": np.where(leaf, 0, nodes["feature"].to_numpy()).astype(np.intp),
         "split": np.where(leaf, np.inf, nodes["split"].to_numpy()),
-        "after": np.column_stack([left, right]).ravel(),
+        "after": np.column_stack([left, right]).ravel().astype(np.intp),
         "path": depth + mean_path(nodes["size"].to_numpy()),
         "levels": levels,
         "scale": len(starts) * float(mean_path(forest.tree_rows)),
@@ -179,14 +177,23 @@ def score_rows(df: DataFrame, forest: Forest, name: str = "isolation") -> DataFr
     def score(*columns: pd.Series) -> pd.Series:
         t = shared.value
         x = np.column_stack([c.to_numpy(dtype=float) for c in columns]).ravel()
-        row = np.arange(len(columns[0])) * len(columns)
-        total = np.zeros(len(row))
+        row = np.arange(len(columns[0]), dtype=np.intp) * len(columns)
+        total, at, place = np.zeros(len(row)), np.empty_like(row), np.empty_like(row)
+        value, split, right = np.empty(len(row)), np.empty(len(row)), np.empty(len(row), bool)
+        # All places are known to exist: clipping leaves out the checks, and the arrays are used again.
         for root in t["roots"]:
-            at = np.full(len(row), root)
+            at.fill(root)
             for _ in range(t["levels"]):
-                goes_right = x.take(row + t["feature"].take(at)) > t["split"].take(at)
-                at = t["after"].take(2 * at + goes_right)
-            total += t["path"].take(at)
+                t["feature"].take(at, out=place, mode="clip")
+                place += row
+                x.take(place, out=value, mode="clip")
+                t["split"].take(at, out=split, mode="clip")
+                np.greater(value, split, out=right)
+                at += at
+                at += right
+                t["after"].take(at, out=place, mode="clip")
+                at, place = place, at
+            total += t["path"].take(at, out=value, mode="clip")
         return pd.Series(-np.power(2.0, -total / t["scale"]))
 
     inputs = [F.coalesce(as_number(df, n), F.lit(f)) for n, f in zip(forest.names, forest.fills)]
@@ -215,8 +222,7 @@ def find_outliers(
     forest = fit_forest(df, names, trees=trees, seed=seed)
     if forest is None:
         return None
-    dealt = df.repartition(partitions) if partitions else df
-    scored = materialize(score_rows(dealt, forest), "isolation")
+    scored = materialize(score_rows(dealt(df, partitions) if partitions else df, forest), "isolation")
     threshold = exact_quantiles(scored, ["isolation"], [contamination])["isolation"][0]
     rows = (
         scored.withColumn("anomaly_score", F.col("isolation") - F.lit(threshold))

@@ -25,3 +25,18 @@ def test_forest_on_a_hot_row_is_the_same_in_any_layout(spark):
     rows = spark.range(9_000).select(F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id") * 1.0).alias("a"))
     one, two = (fit_forest(rows.repartition(p), ["a"]) for p in (2, 5))
     assert np.array_equal(one.nodes.to_numpy(), two.nodes.to_numpy())
+
+
+def test_draws_are_filtered_before_lists_of_them_are_made(spark):
+    rows = spark.range(2_000).select(
+        F.xxhash64("id").alias("key"), (F.col("id") * 1.0).alias("x0"), (F.col("id") % 5 + 1).alias("n")
+    )
+    samples = _tree_samples(rows, 6_000, 20, 16, 7)
+    assert "lambda" not in samples._jdf.queryExecution().optimizedPlan().toString()
+    bound = int(4 * 16 / 6_000 * 2.0**62)
+    copies = rows.selectExpr("key", "x0", "explode(sequence(0, int(n) - 1)) AS copy").selectExpr(
+        "key", "x0", "copy", "explode(sequence(0, 19)) AS tree"
+    ).withColumn("draw", F.expr(
+        "shiftrightunsigned(if(copy = 0, xxhash64(key, tree, 7), xxhash64(key, tree, 7, copy)), 2)"
+    )).where(F.col("draw") <= bound)
+    assert sorted(map(tuple, samples.collect())) == sorted(map(tuple, copies.select("x0", "tree", "draw").collect()))
