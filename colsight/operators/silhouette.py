@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colsight.functions.numbers import col
-from colsight.session import materialize
+from colsight.session import dealt, materialize
 
 #: Cells of all clusters together, and distinct points per cell that the tree is made from.
 CELLS, POINTS_PER_CELL = 16_384, 4
 
 #: Distances a task computes at a time.
-STEP = 1 << 21
+STEP = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -133,7 +133,8 @@ def _cells(points: DataFrame, trees: dict[str, _Tree], centre: np.ndarray) -> di
                 cell = tree.cells(own) if tree else np.zeros(len(own), np.int64)
                 size = int(tree.low[tree.axis < 0].max()) + 1 if tree else 1
                 total = sums.setdefault(c, np.zeros((size, d + 2)))
-                np.add.at(total, cell, np.column_stack([np.ones(len(own)), (own * own).sum(axis=1), own]))
+                for k, figure in enumerate((None, (own * own).sum(axis=1), *own.T)):
+                    total[:, k] += np.bincount(cell, figure, size)
         for c, total in sums.items():
             used = np.flatnonzero(total[:, 0])
             yield pa.RecordBatch.from_arrays(
@@ -162,15 +163,24 @@ def _sums(x: np.ndarray, cell: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.n
     """The least and the largest that the distances of each point to the rows of all cells may sum up to."""
     n, mean, spread = cell
     low, high = np.empty(len(x)), np.empty(len(x))
-    step = max(1, STEP // len(n))
+    square = (x * x).sum(axis=1)
+    # Squared distances as one product of (x, 1, x^2) and (-2 mean, mean^2, 1).
+    outward = np.column_stack([x, np.ones(len(x)), square])
+    inward = np.vstack([-2 * mean.T, (mean * mean).sum(axis=1), np.ones(len(n))])
+    least = 1e-12 * (1 + square)[:, None]
+    step, scattered = max(1, STEP // len(n)), bool(spread.any())
+    # Arrays that fit a core's cache and are used again: fresh ones cost more than the roots.
+    gaps, wide = np.empty((step, len(n))), np.empty((step, len(n)))
     for at in range(0, len(x), step):
-        some = x[at:at + step]
-        gaps = (some * some).sum(axis=1)[:, None] - 2 * some @ mean.T + (mean * mean).sum(axis=1)
+        gap = gaps[:len(x) - at]
+        np.matmul(outward[at:at + step], inward, out=gap)
         # Points that are a cell's mean are at no distance from it, up to rounding.
-        gaps = np.where(gaps > 1e-12 * (1 + (some * some).sum(axis=1))[:, None], gaps, 0)
-        low[at:at + step] = np.sqrt(gaps) @ n
-        high[at:at + step] = np.sqrt(gaps + spread) @ n if spread.any() else low[at:at + step]
-    return low, high
+        np.multiply(gap, gap > least[at:at + step], out=gap)
+        if scattered:
+            far = np.add(gap, spread, out=wide[:len(gap)])
+            np.dot(np.sqrt(far, out=far), n, out=high[at:at + step])
+        np.dot(np.sqrt(gap, out=gap), n, out=low[at:at + step])
+    return low, high if scattered else low.copy()
 
 
 def _of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -178,14 +188,18 @@ def _of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(b - a, most, out=np.zeros(len(a)), where=most > 0)
 
 
-def silhouette(rows: DataFrame, cluster: str = "cluster", features: str = "features", cells: int = CELLS) -> Silhouette | None:
+def silhouette(
+    rows: DataFrame, cluster: str = "cluster", features: str = "features", cells: int = CELLS, partitions: int | None = None
+) -> Silhouette | None:
     """Mean silhouette over all rows with Euclidean distance; None below two clusters.
 
     ``features`` is a vector or an array of numbers of one length. Rows without it or without a cluster do not count. A
     row alone in its cluster has silhouette 0. Four passes over the rows: mean, sample, cells, silhouettes; the last one
-    takes each row to at most ``cells`` cells. More cells give a smaller error.
+    takes each row to at most ``cells`` cells. More cells give a smaller error. ``partitions`` deals the rows anew, for a
+    table of few splits, which would leave most cores idle in the last pass.
     """
-    points = materialize(_points(rows, cluster, features), "silhouette-points")
+    points = _points(rows, cluster, features)
+    points = materialize(dealt(points, partitions) if partitions else points, "silhouette-points")
     first = points.select(F.size("x").alias("d")).first()
     if first is None:
         return None

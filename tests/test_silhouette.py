@@ -52,3 +52,33 @@ def test_one_cluster_or_none(spark):
     assert silhouette(frame(spark, np.zeros((0, 2)), np.zeros(0))) is None
     same = silhouette(frame(spark, np.ones((6, 2)), np.array([0, 0, 0, 1, 1, 1])))
     assert same.value == 0.0
+
+
+def test_distance_sums_hold_little_at_a_time():
+    import tracemalloc
+
+    from colsight.operators.silhouette import _sums
+
+    rng = np.random.default_rng(3)
+    x, mean, n, spread = rng.normal(size=(1001, 4)), rng.normal(size=(4096, 4)), rng.integers(1, 9, 4096) * 1.0, rng.random(4096)
+    x[7] = mean[5]
+    tracemalloc.start()
+    low, high = _sums(x, (n, mean, spread))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+    for i in (0, 7, 500, 1000):
+        gaps = ((x[i] - mean) ** 2).sum(axis=1)
+        assert low[i] == pytest.approx(np.sqrt(gaps) @ n) and high[i] == pytest.approx(np.sqrt(gaps + spread) @ n)
+
+
+def test_rows_are_dealt_over_the_partitions_asked_for(spark, monkeypatch):
+    from colsight.operators import silhouette as module
+
+    written = []
+    keep = module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, label: keep(df, label) if written.append(df.rdd.getNumPartitions()) is None else None)
+    rng = np.random.default_rng(4)
+    points, labels = rng.normal(size=(300, 2)), rng.integers(0, 3, 300)
+    found = silhouette(frame(spark, points, labels).coalesce(1), partitions=6)
+    assert written == [6] and found.value == pytest.approx(brute(points, labels), abs=1e-8)
