@@ -1,7 +1,7 @@
 """Block postings: weights of terms in blocks of documents, the largest one of each block, and a top-k that skips blocks.
 
 Documents are put in order of the length of their vector and cut into blocks, the same for all terms. Postings are sorted by
-term and block; a small table beside them has the largest weight and the number of postings of a term in each block. A query
+term and block, a row for each, with the largest weight and the number of postings beside them as columns of their own. A query
 adds up the largest weights of its terms to a bound per block; a block whose bound is below the k-th best score found cannot
 hold a better document, and its postings are left out by a filter on the sort order.
 """
@@ -32,9 +32,26 @@ def document_blocks(norms: DataFrame) -> DataFrame:
     return ordered.select("doc", "norm", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"))
 
 
-def block_bounds(postings: DataFrame) -> DataFrame:
+def block_postings(weighed: DataFrame) -> DataFrame:
+    """(term, block, most, n, held): the postings (doc, tf, weight) of each term in each block as one row.
+
+    ``weighed`` has doc, block, term, tf and weight. Rows are ranged and sorted by term and block; a block holds few
+    documents, so a row is small, and the largest weight and the number of postings are found where they lie.
+    """
+    ranged = weighed.repartitionByRange("term", "block")
+    return ranged.groupBy("term", "block").agg(
+        F.max("weight").alias("most"), F.count("*").alias("n"), F.collect_list(F.struct("doc", "tf", "weight")).alias("held")
+    ).sortWithinPartitions("term", "block")
+
+
+def flat_postings(stored: DataFrame) -> DataFrame:
+    """(doc, block, term, tf, weight) of :func:`block_postings`; filters by term and block reach the scan."""
+    return stored.select("term", "block", F.inline("held")).select("doc", "block", "term", "tf", "weight")
+
+
+def block_bounds(stored: DataFrame) -> DataFrame:
     """(term, block, most, n): the largest weight and the number of postings of each term in each block."""
-    return postings.groupBy("term", "block").agg(F.max("weight").alias("most"), F.count("*").alias("n"))
+    return stored.select("term", "block", "most", "n")
 
 
 @dataclass(frozen=True)

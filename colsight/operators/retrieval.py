@@ -5,15 +5,21 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colsight.functions.numbers import col
 from colsight.functions.text import tokens
-from colsight.operators.postings import best_documents, block_bounds, document_blocks, scores
+from colsight.operators.postings import (
+    best_documents, block_bounds, block_postings, document_blocks, flat_postings, scores,
+)
 from colsight.session import materialize
 
 #: Scores below this are shown as this.
@@ -23,7 +29,10 @@ SCORE_FLOOR = 0.1
 EMPTY_QUERY_SCORE = 0.85
 
 #: Terms that hold at least this share of all (document, term) pairs; there are at most 1/share of them.
-_HOT_TERM_SHARE = 1e-4
+_HOT_TERM_SHARE = 1e-6
+
+#: Parts of the terms of a document whose key comes in several rows, so that no part is large.
+_PARTS = 64
 
 
 #: English words that say little about a text: articles, pronouns, prepositions, conjunctions, auxiliaries.
@@ -40,38 +49,65 @@ def english_stop_words() -> list[str]:
     return list(STOP_WORDS)
 
 
+def _counted(batches: Iterator[pa.RecordBatch], skip: pa.Array) -> Iterator[pa.RecordBatch]:
+    """``doc, terms`` from ``doc, words``: the distinct words of each row, but those of ``skip``, with their counts.
+
+    Rows without such words go.
+    """
+    for batch in batches:
+        words = batch.column("words")
+        coded = words.flatten().dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        row = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+        found, tf = np.unique(row * size + coded.indices.to_numpy(), return_counts=True)
+        wanted = ~pc.is_in(coded.dictionary, value_set=skip).to_numpy(zero_copy_only=False)[found % size]
+        found, tf = found[wanted], tf[wanted]
+        kept, starts = np.unique(found // size, return_index=True)
+        terms = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(found % size)), pa.array(tf)], ["term", "tf"])
+        limits = pa.array(np.append(starts, len(found)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc").take(pa.array(kept)), pa.ListArray.from_arrays(limits, terms)], names=["doc", "terms"]
+        )
+
+
 def term_counts(docs: DataFrame, key: str, text: str, stop_words: Sequence[str] = ()) -> DataFrame:
-    """``doc, term, tf``; a document's equal terms are combined before anything is shuffled."""
+    """``doc, terms``: the terms (term, tf) of a document, whose equal terms are combined within its row.
+
+    Nothing is shuffled but keys, unless keys come in several rows. The terms of such documents are added up and stand in
+    up to ``_PARTS`` rows; all other documents with terms have one row.
+    """
     texts = docs.select(col(key).alias("doc"), col(text).alias("text"))
-    words = texts.select("doc", F.explode(tokens(F.col("text"))).alias("term"))
-    if stop_words:
-        words = words.where(~F.col("term").isin(*stop_words))
-    return words.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    skip = list(stop_words)
+    schema = T.StructType([texts.schema["doc"], T.StructField("terms", T.ArrayType(T.StructType([
+        T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())
+    ])))])
+    rows = texts.select("doc", tokens(F.col("text")).alias("words")).mapInArrow(
+        lambda batches: _counted(batches, pa.array(skip, pa.string())), schema
+    )
+    keys = texts.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc").alias("known"))
+    repeated = materialize(keys, "repeated-keys")
+    if repeated.isEmpty():
+        return rows
+    same = F.col("doc").eqNullSafe(F.col("known"))
+    added = rows.join(repeated, same, "left_semi").select("doc", F.inline("terms")).groupBy("doc", "term").agg(
+        F.sum("tf").alias("tf")
+    ).groupBy("doc", F.pmod(F.hash("term"), F.lit(_PARTS)).alias("part")).agg(
+        F.collect_list(F.struct("term", "tf")).alias("terms")
+    )
+    return rows.join(repeated, same, "left_anti").unionByName(added.select("doc", "terms"))
 
 
 def vocabulary(counts: DataFrame, n_docs: int, max_terms: int | None = None) -> DataFrame:
     """``term, df, idf``: all terms, or the ``max_terms`` most frequent in the corpus, with smooth idf."""
-    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    terms = counts.select(F.inline("terms")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")
+    )
     if max_terms is not None:
         terms = terms.orderBy(F.desc("total"), "term").limit(max_terms)
     idf = F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1)) + 1
     return terms.select("term", "df", idf.alias("idf"))
 
 
-def _with_idf(counts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Joins idf to the counts.
-
-    Frequent terms are hot join keys, so terms with at least 0.01 % of all pairs, at most ten thousand of them, are
-    broadcast, and only the others are joined by shuffle.
-    """
-    hot = F.col("df") >= terms.agg(F.sum("df")).scalar() * _HOT_TERM_SHARE
-    frequent = F.broadcast(terms.where(hot))
-    rare = terms.where(~hot)
-    return counts.join(frequent, "term").unionByName(
-        counts.join(frequent.select("term"), "term", "left_anti").join(rare, "term")
-    )
-
-
 @dataclass(frozen=True)
 class TextIndex:
     """Written block postings of a table of texts and its vocabulary; build once, search often."""
@@ -91,21 +127,35 @@ def build_index(
 
     Weights have unit length per document. A search reads the row groups of its terms alone, and of these the blocks that
     may hold one of the best documents.
+
+    Terms with at least a millionth of all pairs, a million at most, are broadcast; only pairs of the others are joined by
+    shuffle, and written with their idf. Frequent pairs stay packed by document until its block is known, so they are
+    shuffled once packed and once when they are ranged by term.
     """
     stop_words = tuple(english_stop_words() if stop_words is None else stop_words)
-    counts = materialize(term_counts(docs, key, text, stop_words), "term-counts")
+    counts = materialize(term_counts(docs, key, text, stop_words), "term-counts", "zstd")
     terms = materialize(vocabulary(counts, docs.count(), max_terms), "vocabulary")
-    raw = _with_idf(counts, terms).select("doc", "term", "tf", (F.col("tf") * F.col("idf")).alias("raw"))
-    norms = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    hot = F.col("df") >= (terms.agg(F.sum("df")).first()[0] or 0) * _HOT_TERM_SHARE
+    frequent, rare = F.broadcast(terms.where(hot).select("term", "idf")), terms.where(~hot).select("term", "idf")
+    raw = (F.col("tf") * F.col("idf")).alias("raw")
+    seldom = None
+    if not rare.isEmpty():
+        others = counts.select("doc", F.inline("terms")).join(frequent.select("term"), "term", "left_anti")
+        seldom = materialize(others.join(rare, "term").select("doc", "term", "tf", raw), "rare-terms", "zstd")
+
+    def raws(packed: DataFrame, *more: str) -> DataFrame:
+        return packed.select("doc", *more, F.inline("terms")).join(frequent, "term").select("doc", *more, "term", "tf", raw)
+
+    pairs = raws(counts) if seldom is None else raws(counts).unionByName(seldom)
+    norms = pairs.groupBy("doc").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     blocks = materialize(document_blocks(materialize(norms, "norms")), "blocks").withColumnRenamed("doc", "known")
-    weighed = raw.join(blocks, F.col("doc").eqNullSafe(F.col("known"))).select(
-        "doc", "block", "term", "tf", (F.col("raw") / F.col("norm")).alias("weight")
-    )
-    # Written before it is ranged, as ranges are chosen by a sample that would run the joins a second time.
-    ranged = materialize(weighed, "weighed").repartitionByRange("term", "block")
-    postings = materialize(ranged.sortWithinPartitions("term", "block"), "postings")
-    bounds = materialize(block_bounds(postings).sortWithinPartitions("term"), "bounds")
-    return TextIndex(docs.select(col(key).alias("doc")), postings, bounds, terms, stop_words)
+    same = F.col("doc").eqNullSafe(F.col("known"))
+    placed = raws(counts.join(blocks, same), "block", "norm")
+    if seldom is not None:
+        placed = placed.unionByName(seldom.join(blocks, same).drop("known"))
+    weighed = placed.select("doc", "block", "term", "tf", (F.col("raw") / F.col("norm")).alias("weight"))
+    stored = materialize(block_postings(weighed), "postings", "zstd")
+    return TextIndex(docs.select(col(key).alias("doc")), flat_postings(stored), block_bounds(stored), terms, stop_words)
 
 
 def index_weights(index: TextIndex) -> DataFrame:
