@@ -48,12 +48,16 @@ def statistics(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "lines", F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     )
     hashed = words.withColumn("hashes", F.expr("transform(words, w -> xxhash64(w))"))
-    windows = hashed.withColumn("windows", F.expr(f"""
-        if(size(words) < {WINDOW}, cast(array() as array<struct<h: bigint, i: int>>),
-           array_sort(transform(sequence(0, size(words) - {WINDOW}),
-             i -> named_struct('h', xxhash64({', '.join(f'hashes[i + {k}]' for k in range(WINDOW))}), 'i', i))))"""))
+    starts = hashed.withColumn("starts", F.expr(f"""
+        if(size(words) < {WINDOW}, cast(array() as array<bigint>),
+           transform(sequence(0, size(words) - {WINDOW}),
+             i -> xxhash64({', '.join(f'hashes[i + {k}]' for k in range(WINDOW))})))"""))
+    # Most texts repeat no window; only those of the others are put in order.
+    windows = starts.withColumn("windows", F.expr("""
+        if(size(array_distinct(starts)) = size(starts), cast(array() as array<struct<h: bigint, i: int>>),
+           sort_array(transform(starts, (h, i) -> named_struct('h', h, 'i', i))))"""))
     places = windows.withColumn("places", F.expr("""
-        array_sort(transform(
+        sort_array(transform(
           filter(windows, (w, j) -> (j > 0 and w.h = windows[j - 1].h)
                                  or (j < size(windows) - 1 and w.h = windows[j + 1].h)), w -> w.i))"""))
     covered = F.expr(f"""
