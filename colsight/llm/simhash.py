@@ -71,19 +71,19 @@ def _voted(blocks: Iterator[np.ndarray]) -> int:
     return int(np.packbits(votes * 2 > total, bitorder="little").view("<u8")[0])
 
 
-def covering_masks(radius: int, seed: int = 1) -> list[int]:
-    """Masks such that any ``radius`` differing bits lie outside at least one of them.
+def covering_masks(radius: int, seed: int = 1, bits: int = BITS) -> list[int]:
+    """Masks over ``bits`` places such that any ``radius`` differing ones lie outside at least one of them.
 
-    Every bit gets a nonzero vector of radius + 1 binary digits. The mask of a nonzero vector v holds the bits whose
-    vector has an odd product with v. For any ``radius`` bits their vectors span less than the whole space, so some v
+    Every place gets a nonzero vector of radius + 1 binary digits. The mask of a nonzero vector v holds the places whose
+    vector has an odd product with v. For any ``radius`` places their vectors span less than the whole space, so some v
     is orthogonal to all of them, and its mask avoids them.
     """
     size = 1 << (radius + 1)
-    order = np.random.default_rng(seed).permutation(BITS)
-    vectors = np.empty(BITS, int)
-    vectors[order] = 1 + np.arange(BITS) % (size - 1)
+    order = np.random.default_rng(seed).permutation(bits)
+    vectors = np.empty(bits, int)
+    vectors[order] = 1 + np.arange(bits) % (size - 1)
     return [
-        sum(1 << bit for bit in range(BITS) if (int(vectors[bit]) & v).bit_count() % 2)
+        sum(1 << bit for bit in range(bits) if (int(vectors[bit]) & v).bit_count() % 2)
         for v in range(1, size)
     ]
 
