@@ -80,7 +80,10 @@ def _with_features(df: DataFrame, names: list[str], scaling: Scaling) -> DataFra
 
 @dataclass(frozen=True)
 class Segments:
-    """A K-means result; ``rows`` holds the table's columns plus ``cluster`` (0-based) and ``features``."""
+    """A K-means result; ``rows`` holds the table's columns plus ``cluster`` (0-based) and ``features``.
+
+    ``points`` holds these two alone, with features as an array: the same ones, from the columns that training wrote.
+    """
 
     rows: DataFrame
     names: list[str]
@@ -88,6 +91,7 @@ class Segments:
     inertia: float
     centers: np.ndarray
     scaling: Scaling
+    points: DataFrame
 
 
 @dataclass
@@ -244,11 +248,16 @@ def segments(
     best = min(starts, key=lambda s: s.cost)
     centers = best.centers[np.lexsort(best.centers.T[::-1])]
     featured = _with_features(df, names, scaling)
-    gaps = F.array(*(
-        sum(((z - float(v)) * (z - float(v)) for z, v in zip(scaling.columns(featured), c)), F.lit(0.0)) for c in centers
-    ))
-    nearest = F.array_position(gaps, F.array_min(gaps)).cast("int") - 1
-    return Segments(featured.withColumn("cluster", nearest), list(names), k, float(best.cost), centers, scaling)
+
+    def nearest(axes: list[Column]) -> Column:
+        gaps = F.array(*(sum(((z - float(v)) * (z - float(v)) for z, v in zip(axes, c)), F.lit(0.0)) for c in centers))
+        return F.array_position(gaps, F.array_min(gaps)).cast("int") - 1
+
+    axes = [F.col(c) for c in points.columns]
+    return Segments(
+        featured.withColumn("cluster", nearest(scaling.columns(featured))), list(names), k, float(best.cost), centers,
+        scaling, points.select(nearest(axes).alias("cluster"), F.array(*axes).alias("features")),
+    )
 
 
 def sizes(rows: DataFrame, cluster: str = "cluster") -> DataFrame:

@@ -268,7 +268,7 @@ def silhouette_euclidean_planted(spark, sf_dir):
 @query()
 def silhouette_euclidean_segments(spark, sf_dir):
     """Euclidean silhouette of the line items' segments, with the bound of its error."""
-    found = silhouette(_segments(spark, sf_dir).rows, partitions=spark.sparkContext.defaultParallelism)
+    found = silhouette(_segments(spark, sf_dir).points, partitions=spark.sparkContext.defaultParallelism)
     return spark.createDataFrame([(found.value, found.error, found.n_rows)], "silhouette double, error double, n_rows long")
 
 
